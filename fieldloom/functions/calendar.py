@@ -45,7 +45,8 @@ def days_in_month(year: Column, month: Column, phase: Column) -> Column:
 
 
 def format_date(year: Column, month: Column, day: Column) -> Column:
-    return F.format_string("%d-%02d-%02d", year, month, day)
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    return F.concat(year.cast("string"), F.lit("-"), two(month), F.lit("-"), two(day))
 
 
 def subtract_days(date, days: Column, phase: Column) -> Column:

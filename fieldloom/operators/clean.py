@@ -9,15 +9,22 @@ from ..functions.scalars import at_least, log_rain, within
 from .impute import present
 
 
-def clip_outliers(df: DataFrame, limit: float = Z_LIMIT, cols: list[str] = CLIPPED) -> DataFrame:
+def outlier_stats(df: DataFrame, cols: list[str] = CLIPPED) -> DataFrame:
+    """Mean and sample sd of every clipped column, in one row."""
+    cols = present(cols, df)
+    return df.agg(*[F.avg(c).alias(f"{c}_mu") for c in cols], *[F.stddev_samp(c).alias(f"{c}_sd") for c in cols])
+
+
+def clip_outliers(
+    df: DataFrame, limit: float = Z_LIMIT, cols: list[str] = CLIPPED, stats: DataFrame | None = None,
+) -> DataFrame:
     """Clip to mean +- limit * sample sd of the frame itself; constant columns stay as they are."""
     cols = present(cols, df)
-    stats = df.select(F.struct(
-        *[F.avg(c).alias(f"{c}_mu") for c in cols],
-        *[F.stddev_samp(c).alias(f"{c}_sd") for c in cols])).scalar()
+    table = outlier_stats(df, cols) if stats is None else stats
+    one = table.select(F.struct("*")).scalar()
 
     def clipped(c: str):
-        mu, sd = stats[f"{c}_mu"], stats[f"{c}_sd"]
+        mu, sd = one[f"{c}_mu"], one[f"{c}_sd"]
         bounded = within(F.col(c), mu - limit * sd, mu + limit * sd)
         return F.when(sd > 0, bounded).otherwise(F.col(c)).alias(c)
 

@@ -54,7 +54,10 @@ def prepend(pad: DataFrame, test: DataFrame, days: int) -> DataFrame:
     return pad.unionByName(shifted, allowMissingColumns=True)
 
 
-def pad_from_climatology(train: DataFrame, test: DataFrame, weeks: int = PAD_WEEKS_V51) -> DataFrame:
+def pad_from_climatology(
+    train: DataFrame, test: DataFrame, weeks: int = PAD_WEEKS_V51, overall: DataFrame | None = None,
+) -> DataFrame:
     """``test`` with ``weeks`` whole weeks in front, drawn from the climatology of ``train``."""
     pad = pad_days(test, leap_phases(train), weeks * 7)
-    return prepend(fill_pad(pad, climatology(train), global_means(train)), test, weeks * 7)
+    means = global_means(train) if overall is None else overall
+    return prepend(fill_pad(pad, climatology(train), means), test, weeks * 7)

@@ -24,10 +24,14 @@ def percentile_table(long: DataFrame, percents: list[int] = PERCENTS) -> DataFra
         F.max(F.when(F.abs(F.col("prob") - p / 100) < 1e-9, F.col("quantile"))).alias(f"p{p}") for p in percents])
 
 
+def share_name(label: str) -> str:
+    return "share_" + label.replace("-", "_to_").replace(".", "_")
+
+
 def share_table(long: DataFrame) -> DataFrame:
     """Share of values per interval; values outside all intervals count in the denominator only."""
     return long.groupBy("grp").agg(*[
-        F.avg(F.coalesce(in_bin(F.col("value"), low, high), F.lit(False)).cast("double")).alias(name.replace("-", "_to_").replace(".", "_") if low is not None else name)
+        F.avg(F.coalesce(in_bin(F.col("value"), low, high), F.lit(False)).cast("double")).alias(share_name(name))
         for name, low, high in SHARE_BINS])
 
 

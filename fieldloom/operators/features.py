@@ -141,6 +141,6 @@ def index_v54(weekly: DataFrame, stats: DataFrame, is_train: bool) -> DataFrame:
     return finish_index(index_frames_v54(weekly), stats, is_train, "v54")
 
 
-def size_violations(weekly: DataFrame, weeks: int) -> DataFrame:
-    """Regions whose number of weeks differs from ``weeks``; empty when the panel is sound."""
-    return weekly.groupBy(KEY).agg(F.count(F.lit(1)).alias("weeks")).filter(F.col("weeks") != weeks)
+def size_violations(df: DataFrame, expected: int) -> DataFrame:
+    """Regions whose number of rows differs from ``expected``; empty when the panel is sound."""
+    return df.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") != expected)

@@ -61,8 +61,8 @@ def fit_severity(frame: DataFrame, settings: TreeSettings):
 
 
 def fit_occurrence(frame: DataFrame, settings: TreeSettings):
-    return GBTClassifier(labelCol="occurs", lossType="logistic", predictionCol="_class", rawPredictionCol="_raw",
-                         probabilityCol="_prob", **_params(settings)).fit(frame)
+    model = GBTClassifier(labelCol="occurs", predictionCol="_class", **_params(settings))
+    return model.setRawPredictionCol("_raw").setProbabilityCol("_prob").fit(frame)
 
 
 def predict(severity, occurrence, frame: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def adversarial(
     scored, weights = [], []
     for f in range(folds):
         frame = both.withColumn("is_val", F.col("fold") == f)
-        model = GBTClassifier(labelCol="label", probabilityCol="_prob", **_params(settings)).fit(frame)
+        model = GBTClassifier(labelCol="label", **_params(settings)).setProbabilityCol("_prob").fit(frame)
         scored.append(model.transform(frame.filter("is_val")).select(
             *ids, "fold", "label", vector_to_array("_prob")[1].alias("score")))
         weights.append(model.featureImportances.toArray())

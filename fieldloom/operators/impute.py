@@ -15,8 +15,9 @@ def present(cols: list[str], df: DataFrame) -> list[str]:
 def fill_along(df: DataFrame, cols: list[str], pos: str, rows: int, backward: bool) -> DataFrame:
     """Unlimited forward fill, then backward fill if asked for, per region.
 
-    Rows are filled inside their chunk. What an earlier (later) chunk hands over is its last
-    (first) value, found in one small table with a row per region and chunk.
+    Rows are filled inside their chunk. What an earlier chunk hands over is its last value, found
+    in one small table with a row per region and chunk. A row that is still missing then has no
+    value before it, so backward fill takes the first value of its chunk, else of a later one.
     """
     df = spread(df, pos, rows)
     known = {c: F.when(F.col(c).isNotNull(), F.col(pos)) for c in cols}
@@ -26,20 +27,17 @@ def fill_along(df: DataFrame, cols: list[str], pos: str, rows: int, backward: bo
     )
     by_chunk = Window.partitionBy(KEY).orderBy(CHUNK)
     past = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    future = by_chunk.rowsBetween(1, Window.unboundedFollowing)
+    # The next value seen from here, by running over the chunks from the last to the first.
+    onward = Window.partitionBy(KEY).orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, 0)
     handed = edges.select(
         KEY, CHUNK,
         *[F.last(f"_l_{c}", True).over(past).alias(f"_l_{c}") for c in cols],
-        *([F.first(f"_f_{c}", True).over(future).alias(f"_f_{c}") for c in cols] if backward else []),
+        *([F.last(f"_f_{c}", True).over(onward).alias(f"_f_{c}") for c in cols] if backward else []),
     )
-    w = chunk_window(pos)
-    up_to = w.rowsBetween(Window.unboundedPreceding, 0)
-    onward = w.rowsBetween(0, Window.unboundedFollowing)
+    up_to = chunk_window(pos).rowsBetween(Window.unboundedPreceding, 0)
 
     def filled(c: str):
-        steps = [F.last(c, True).over(up_to), F.col(f"_l_{c}")]
-        if backward:
-            steps += [F.first(c, True).over(onward), F.col(f"_f_{c}")]
+        steps = [F.last(c, True).over(up_to), F.col(f"_l_{c}")] + ([F.col(f"_f_{c}")] if backward else [])
         return F.coalesce(*steps).alias(c)
 
     return df.join(handed, [KEY, CHUNK]).select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window, functions as F
@@ -46,7 +48,7 @@ def standardise(stats: DataFrame, cols: list[str]) -> DataFrame:
 
 def cluster_regions(
     stats: DataFrame, cols: list[str] = CLUSTER_FEATURES_V51, k: int = CLUSTERS,
-    restarts: int = CLUSTER_RESTARTS, seed: int = SEED,
+    restarts: int = CLUSTER_RESTARTS, seed: int = SEED, parallelism: int = 5,
 ) -> DataFrame:
     """Add ``cluster_id``: k-means on standardised statistics, least cost of several restarts.
 
@@ -55,10 +57,9 @@ def cluster_regions(
     raw = VectorAssembler(inputCols=cols, outputCol="_raw").transform(stats)
     scaler = StandardScaler(withMean=True, inputCol="_raw", outputCol="_x").fit(raw)
     points = scaler.transform(raw).persist()
-    models = [
-        KMeans(k=k, featuresCol="_x", predictionCol="_label", seed=seed + i).fit(points)
-        for i in range(restarts)
-    ]
+    fit = lambda i: KMeans(k=k, featuresCol="_x", predictionCol="_label", seed=seed + i).fit(points)
+    with ThreadPoolExecutor(parallelism) as pool:
+        models = list(pool.map(fit, range(restarts)))
     best = min(models, key=lambda m: m.summary.trainingCost)
     labelled = best.transform(points).drop("_raw", "_x")
     points.unpersist()

@@ -47,6 +47,11 @@ def impute_v54(daily: DataFrame) -> DataFrame:
     return stage(impute.fill_climate(daily, lambda df: stage(df, "short-fill")), "filled")
 
 
+def clip(daily: DataFrame) -> DataFrame:
+    """Clip by the cohort's own statistics, computed once for all readers of the result."""
+    return clean.clip_outliers(daily, stats=stage(clean.outlier_stats(daily), "outlier-stats"))
+
+
 def preprocess(
     train_daily: DataFrame, test_daily: DataFrame, variant: str = "v51", keep_days: int = KEEP_DAYS,
     clusters: bool = True,
@@ -56,9 +61,9 @@ def preprocess(
         raise ValueError(f"unknown variant {variant!r}")
     fill = impute_v51 if variant == "v51" else impute_v54
     pad_weeks = PAD_WEEKS_V51 if variant == "v51" else PAD_WEEKS_V54
-    train_daily = clean.clip_outliers(fill(train_daily))
-    test_daily = clean.clip_outliers(fill(test_daily))
-    padded = climatology.pad_from_climatology(train_daily, test_daily, pad_weeks)
+    train_daily, test_daily = (clip(fill(df)) for df in (train_daily, test_daily))
+    overall = stage(climatology.global_means(train_daily), "means")
+    padded = climatology.pad_from_climatology(train_daily, test_daily, pad_weeks, overall)
 
     train_w = stage(weekly_frames(clean.keep_first_days(train_daily, keep_days), variant), "train-weeks")
     test_w = stage(weekly_frames(padded, variant), "test-weeks")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..constants import MEASURES, RAW_PROFILE_COLUMNS
-from ..functions.calendar import ordinal
+from ..functions.calendar import format_date, ordinal
 from ..functions.scalars import nan_to_null
 from ..operators.splits import dense_position
 
@@ -73,8 +73,9 @@ def order_line_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, i, d = F.col("region_id"), F.col("day_idx"), F.col("d")
     days = (
         spark.read.parquet(f"{sf_dir}/supplier.parquet")
-        .select(F.col("s_suppkey").alias("region_id"),
-                F.explode(F.sequence(F.lit(0), F.lit(DAYS - 1))).alias("day_idx"))
+        .select(F.col("s_suppkey").alias("region_id"))
+        .repartition("region_id")  # keys only, so that the calendar unfolds in parallel
+        .withColumn("day_idx", F.explode(F.sequence(F.lit(0), F.lit(DAYS - 1))))
         .withColumn("d", F.date_add(F.lit("1995-01-02").cast("date"), i))
         .filter(~((r % 10 == 9) & (F.month(d) == 2) & (F.dayofmonth(d) == 29)))
     )
@@ -87,7 +88,7 @@ def order_line_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     hum, tmp = F.col("humidity"), F.col("tmp")
     return (
         days.join(seen, ["region_id", "d"], "left")
-        .withColumn("date", F.format_string("%d-%02d-%02d", F.year(d) + r % 4, F.month(d), F.dayofmonth(d)))
+        .withColumn("date", format_date(F.year(d) + r % 4, F.month(d), F.dayofmonth(d)))
         .withColumn("dp_tmp", tmp - (100.0 - hum) / 5.0)
         .withColumn("wb_tmp", tmp - (100.0 - hum) / 10.0)
         .withColumn("tmp_range", F.col("tmp_max") - F.col("tmp_min"))
