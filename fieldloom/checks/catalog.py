@@ -671,8 +671,8 @@ def _(spark, sf):
 
 
 SMALL = hurdle.HurdleSettings(
-    severity=hurdle.TreeSettings(rounds=2, depth=3, step=0.3, min_rows=20, features="0.1"),
-    occurrence=hurdle.TreeSettings(rounds=2, depth=3, step=0.3, min_rows=20, features="0.1"))
+    severity=hurdle.TreeSettings(rounds=2, depth=2, step=0.3, min_rows=20, features="0.1", bins=16),
+    occurrence=hurdle.TreeSettings(rounds=2, depth=2, step=0.3, min_rows=20, features="0.1", bins=16))
 
 
 def _trained(spark, sf):

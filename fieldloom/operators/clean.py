@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..constants import CLIPPED, KEEP_DAYS, LOGGED, UNUSED_BY_MODEL, Z_LIMIT
 from ..functions.scalars import at_least, log_rain, within
-from .impute import present
+from .impute import present, with_row
 
 
 def outlier_stats(df: DataFrame, cols: list[str] = CLIPPED) -> DataFrame:
@@ -21,14 +21,13 @@ def clip_outliers(
     """Clip to mean +- limit * sample sd of the frame itself; constant columns stay as they are."""
     cols = present(cols, df)
     table = outlier_stats(df, cols) if stats is None else stats
-    one = table.select(F.struct("*")).scalar()
 
     def clipped(c: str):
-        mu, sd = one[f"{c}_mu"], one[f"{c}_sd"]
+        mu, sd = F.col(f"_one.{c}_mu"), F.col(f"_one.{c}_sd")
         bounded = within(F.col(c), mu - limit * sd, mu + limit * sd)
         return F.when(sd > 0, bounded).otherwise(F.col(c)).alias(c)
 
-    return df.select(*[clipped(c) if c in cols else F.col(c) for c in df.columns])
+    return with_row(df, table).select(*[clipped(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def not_below_zero(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..constants import MEASURES, PAD_WEEKS_V51
 from ..functions.calendar import day_of, month_of, ordinal, subtract_days, year_of, year_slot
-from .impute import present
+from .impute import present, with_row
 from .splits import KEY
 
 
@@ -42,11 +42,9 @@ def pad_days(test: DataFrame, phases: DataFrame, days: int) -> DataFrame:
 def fill_pad(pad: DataFrame, baseline: DataFrame, overall: DataFrame) -> DataFrame:
     """Look the padded days up in the climatology; days it lacks get the overall mean."""
     cols = present(MEASURES, baseline)
-    means = overall.select(F.struct(*cols)).scalar()
-    return (
-        pad.withColumn("doy", year_slot("date")).join(baseline, [KEY, "doy"], "left")
-        .select(KEY, "date", "pos", *[F.coalesce(F.col(c), means[c]).alias(c) for c in cols])
-    )
+    looked_up = pad.withColumn("doy", year_slot("date")).join(baseline, [KEY, "doy"], "left")
+    return with_row(looked_up, overall.select(*cols)).select(
+        KEY, "date", "pos", *[F.coalesce(F.col(c), F.col(f"_one.{c}")).alias(c) for c in cols])
 
 
 def prepend(pad: DataFrame, test: DataFrame, days: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassifier
@@ -82,12 +84,13 @@ def _one_class(samples: DataFrame, horizon: int) -> dict:
 
 def train_hurdle(
     samples: DataFrame, test: DataFrame, settings: HurdleSettings | None = None,
-    horizon: int = HORIZON, model_folder: str | None = None,
+    horizon: int = HORIZON, model_folder: str | None = None, parallelism: int = 5,
 ) -> tuple[DataFrame, DataFrame]:
     """Fit every fold and horizon; return long out-of-fold and test predictions.
 
     ``samples`` has fold, split, x, y and encodings; ``test`` has fold, x and encodings. The loop
-    runs over folds and horizons only; each fit is one distributed job.
+    runs over folds and horizons only; each fit is distributed, and the fits of a fold share its
+    cached frame, ``parallelism`` at a time.
     """
     settings = settings or HurdleSettings()
     spark = samples.sparkSession
@@ -98,22 +101,33 @@ def train_hurdle(
     held, ahead = [], []
     for fold in folds:
         rows = vector_frame(samples.filter(F.col("fold") == fold)).select(
-            KEY, "start", "features", "y", (F.col("split") == "val").alias("is_val")).persist()
+            KEY, "features", "y", (F.col("split") == "val").alias("is_val")).persist()
         new = vector_frame(test.filter(F.col("fold") == fold)).select(KEY, "features")
-        for h in range(horizon):
+
+        def fit(task: tuple[int, str]):
+            h, part = task
             frame = rows.select(
-                KEY, "start", "features", "is_val", F.col("y")[h].cast("double").alias("y"),
+                "features", "is_val", F.col("y")[h].cast("double").alias("y"),
                 (F.col("y")[h] > 0).cast("double").alias("occurs"))
-            severity = fit_severity(frame, settings.severity)
-            occurrence = constant.get((fold, h)) if (fold, h) in constant else fit_occurrence(frame, settings.occurrence)
+            if part == "severity":
+                model = fit_severity(frame, settings.severity)
+            elif (fold, h) in constant:
+                return constant[fold, h]
+            else:
+                model = fit_occurrence(frame, settings.occurrence)
             if model_folder:
-                severity.write().overwrite().save(f"{model_folder}/severity_fold{fold}_h{h + 1}")
-                if not isinstance(occurrence, float):
-                    occurrence.write().overwrite().save(f"{model_folder}/occurrence_fold{fold}_h{h + 1}")
+                model.write().overwrite().save(f"{model_folder}/{part}_fold{fold}_h{h + 1}")
+            return model
+
+        tasks = [(h, part) for h in range(horizon) for part in ("severity", "occurrence")]
+        with ThreadPoolExecutor(parallelism) as pool:
+            models = dict(zip(tasks, pool.map(fit, tasks)))
+        for h in range(horizon):
+            pair = models[h, "severity"], models[h, "occurrence"]
             tag = [F.lit(fold).alias("fold"), F.lit(h + 1).alias("horizon")]
-            held.append(predict(severity, occurrence, frame.filter("is_val")).select(
-                *tag, KEY, "pred_a", "prob_b", F.col("y").alias("y_true")))
-            ahead.append(predict(severity, occurrence, new).select(*tag, KEY, "pred_a", "prob_b"))
+            val = rows.filter("is_val").select(KEY, "features", F.col("y")[h].cast("double").alias("y_true"))
+            held.append(predict(*pair, val).select(*tag, KEY, "pred_a", "prob_b", "y_true"))
+            ahead.append(predict(*pair, new).select(*tag, KEY, "pred_a", "prob_b"))
         rows.unpersist()
     return _union(held), _union(ahead)
 

@@ -12,6 +12,11 @@ def present(cols: list[str], df: DataFrame) -> list[str]:
     return [c for c in cols if c in df.columns]
 
 
+def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table as the struct ``_one``: a single scalar subquery."""
+    return df.withColumn("_one", one_row.select(F.struct("*")).scalar())
+
+
 def fill_along(df: DataFrame, cols: list[str], pos: str, rows: int, backward: bool) -> DataFrame:
     """Unlimited forward fill, then backward fill if asked for, per region.
 
@@ -78,10 +83,9 @@ def fill_region_mean(daily: DataFrame, cols: list[str]) -> DataFrame:
 
 def fill_global_mean(daily: DataFrame, cols: list[str], source: DataFrame | None = None) -> DataFrame:
     """Replace what is still missing by the overall mean (of ``source`` if given)."""
-    means = (daily if source is None else source).select(
-        F.struct(*[F.avg(c).alias(c) for c in cols])).scalar()
-    return daily.select(*[
-        F.coalesce(F.col(c), means[c]).alias(c) if c in cols else F.col(c) for c in daily.columns
+    means = (daily if source is None else source).agg(*[F.avg(c).alias(c) for c in cols])
+    return with_row(daily, means).select(*[
+        F.coalesce(F.col(c), F.col(f"_one.{c}")).alias(c) if c in cols else F.col(c) for c in daily.columns
     ])
 
 
@@ -101,11 +105,11 @@ def fill_climate(daily: DataFrame, staged=lambda df: df) -> DataFrame:
     # missing row, so sums and counts per region give it without filling the rows first.
     per_region = short.groupBy(KEY).agg(
         F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in cols])
-    means = per_region.select(F.struct(*[
+    means = per_region.agg(*[
         (F.sum(F.col(c) * F.col("_n")) / F.sum(F.when(F.col(c).isNotNull(), F.col("_n")))).alias(c)
-        for c in cols])).scalar()
-    return filled.select(*[
-        F.coalesce(F.col(c), means[c]).alias(c) if c in cols else F.col(c) for c in filled.columns
+        for c in cols])
+    return with_row(filled, means).select(*[
+        F.coalesce(F.col(c), F.col(f"_one.{c}")).alias(c) if c in cols else F.col(c) for c in filled.columns
     ])
 
 

@@ -12,7 +12,7 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-PROBES = 4096
+MAX_CUTS = 4096
 ROWS_PER_BUCKET = 500_000
 SALTS = 65_536
 
@@ -27,16 +27,15 @@ def cut_table(long: DataFrame) -> DataFrame:
     """(grp, tops, cells): sorted cuts per group, arranged in two levels for a short search.
 
     The number of groups is the number of compared columns or tables and each has at most
-    ``PROBES`` cuts, so this is small whatever the data; it is fixed here, as literals, because
+    ``MAX_CUTS`` cuts, so this is small whatever the data; it is fixed here, as literals, because
     bucket counts and bucket contents must be based on the same cuts.
     """
-    probs = [i / PROBES for i in range(1, PROBES)]
-    stats = long.groupBy("grp").agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("value", probs, 10 * PROBES).alias("q")).collect()
+    biggest = long.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
+    wanted = min(MAX_CUTS, max(16, biggest // ROWS_PER_BUCKET))
+    probs = [i / wanted for i in range(1, wanted)]
     rows = []
-    for grp, n, q in stats:
-        wanted = min(PROBES, max(16, n // ROWS_PER_BUCKET))
-        cuts = sorted(set(q[:: max(1, PROBES // wanted)]))
+    for grp, q in long.groupBy("grp").agg(F.percentile_approx("value", probs, 20 * wanted)).collect():
+        cuts = sorted(set(q))
         width = max(1, math.isqrt(len(cuts)))
         cells = [cuts[i:i + width] for i in range(0, len(cuts), width)]
         rows.append((grp, [c[-1] for c in cells], cells))

@@ -9,6 +9,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..constants import CLUSTER_FEATURES_V51, CLUSTER_RESTARTS, CLUSTERS, SEED
+from .impute import with_row
 from .splits import KEY, attach
 
 
@@ -37,13 +38,11 @@ def region_stats_v54(weekly: DataFrame) -> DataFrame:
 
 def standardise(stats: DataFrame, cols: list[str]) -> DataFrame:
     """Centre and divide by the population sd (a constant column is only centred)."""
-    m = stats.select(F.struct(
-        *[F.avg(c).alias(f"{c}_mu") for c in cols],
-        *[F.stddev_pop(c).alias(f"{c}_sd") for c in cols])).scalar()
-    return stats.withColumns({
-        c: (F.col(c) - m[f"{c}_mu"]) / F.when(m[f"{c}_sd"] == 0, F.lit(1.0)).otherwise(m[f"{c}_sd"])
-        for c in cols
-    })
+    one = stats.agg(
+        *[F.avg(c).alias(f"{c}_mu") for c in cols], *[F.stddev_pop(c).alias(f"{c}_sd") for c in cols])
+    sd = lambda c: F.when(F.col(f"_one.{c}_sd") == 0, F.lit(1.0)).otherwise(F.col(f"_one.{c}_sd"))
+    scaled = {c: (F.col(c) - F.col(f"_one.{c}_mu")) / sd(c) for c in cols}
+    return with_row(stats, one).withColumns(scaled).drop("_one")
 
 
 def cluster_regions(
