@@ -281,14 +281,14 @@ def _(spark, sf):
 
 @register("p3_pad_days", "select region_id, date, pos from pad54")
 def _(spark, sf):
-    return climatology.pad_days(src.test(spark, sf), climatology.leap_phases(src.train(spark, sf)), 49)
+    return climatology.pad_days(src.test(spark, sf), climatology.leap_phases(src.train(spark, sf)), 49).drop("ordinal")
 
 
 @register("p4_filled_pad", f"select region_id, date, {qs(MEASURES)} from filled_pad51")
 def _(spark, sf):
     train, test = src.clean(spark, sf, "v51")
     pad = climatology.pad_days(test, climatology.leap_phases(train), 21)
-    return climatology.fill_pad(pad, climatology.climatology(train), climatology.global_means(train)).drop("pos")
+    return climatology.fill_pad(pad, climatology.climatology(train), climatology.global_means(train)).drop("pos", "ordinal")
 
 
 @register("p5_prepend", "select region_id, date, pos from padded51")

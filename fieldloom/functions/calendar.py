@@ -38,6 +38,14 @@ def ordinal(date) -> Column:
     return ((year_of(date).cast("long") - 1) * SLOTS_PER_YEAR) + year_slot(date) - 1
 
 
+def date_of_ordinal(n: Column) -> Column:
+    """The date string with ordinal ``n``."""
+    slot = (n % SLOTS_PER_YEAR + 1).cast("int")
+    offsets = F.array(*[F.lit(o) for o in MONTH_OFFSETS])
+    month = F.size(F.filter(offsets, lambda o: o < slot))
+    return format_date(F.floor(n / SLOTS_PER_YEAR) + 1, month, slot - F.element_at(offsets, month))
+
+
 def days_in_month(year: Column, month: Column, phase: Column) -> Column:
     lengths = F.array(*[F.lit(n) for n in MONTH_LENGTHS])
     leap = F.pmod(year, F.lit(4)) == F.coalesce(phase, F.lit(DEFAULT_LEAP_PHASE))

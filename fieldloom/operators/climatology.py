@@ -36,6 +36,7 @@ def pad_days(test: DataFrame, phases: DataFrame, days: int) -> DataFrame:
         .withColumn("back", F.explode(F.sequence(F.lit(1), F.lit(days))))
         .select(KEY, subtract_days("first", F.col("back"), F.col("phase")).alias("date"),
                 (F.lit(days) - F.col("back")).cast("long").alias("pos"))
+        .withColumn("ordinal", ordinal("date"))
     )
 
 
@@ -44,7 +45,7 @@ def fill_pad(pad: DataFrame, baseline: DataFrame, overall: DataFrame) -> DataFra
     cols = present(MEASURES, baseline)
     looked_up = pad.withColumn("doy", year_slot("date")).join(baseline, [KEY, "doy"], "left")
     return with_row(looked_up, overall.select(*cols)).select(
-        KEY, "date", "pos", *[F.coalesce(F.col(c), F.col(f"_one.{c}")).alias(c) for c in cols])
+        *pad.columns, *[F.coalesce(F.col(c), F.col(f"_one.{c}")).alias(c) for c in cols])
 
 
 def prepend(pad: DataFrame, test: DataFrame, days: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..constants import WEEKLY_MEANS, WEEKLY_SPREADS, WEEKLY_SUMS
-from ..functions.calendar import ordinal, week_angle
+from ..functions.calendar import date_of_ordinal, ordinal, week_angle
 from .splits import CHUNK, KEY
 
 
@@ -32,10 +32,11 @@ def roll_up(daily: DataFrame) -> DataFrame:
     aggs += [F.avg(c).alias(c) for c in WEEKLY_MEANS if c in has]
     if "score" in has:
         aggs.append(F.max("score").alias("score"))
-    aggs.append(F.max_by("date", "pos").alias("week_end_date"))
+    # The last day as a number: with fixed-width buffers only, Spark aggregates by hash, unsorted.
+    last = F.max("ordinal" if "ordinal" in has else ordinal("date"))
+    aggs.append(last.alias("day_ordinal"))
     keys = [KEY] + ([CHUNK] if CHUNK in has else []) + ["week_idx"]
     weekly = week_index(daily).groupBy(*keys).agg(*aggs)
     angle = week_angle("week_end_date")
-    return weekly.withColumns({
-        "week_sin": F.sin(angle), "week_cos": F.cos(angle), "day_ordinal": ordinal("week_end_date"),
-    })
+    return weekly.withColumn("week_end_date", date_of_ordinal(F.col("day_ordinal"))).withColumns(
+        {"week_sin": F.sin(angle), "week_cos": F.cos(angle)})

@@ -74,7 +74,9 @@ def order_line_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = (
         spark.read.parquet(f"{sf_dir}/supplier.parquet")
         .select(F.col("s_suppkey").alias("region_id"))
-        .repartition("region_id")  # keys only, so that the calendar unfolds in parallel
+        # Keys only. The explicit number keeps the calendar unfolding in parallel: by size alone
+        # adaptive execution would merge so small a shuffle into one task.
+        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "region_id")
         .withColumn("day_idx", F.explode(F.sequence(F.lit(0), F.lit(DAYS - 1))))
         .withColumn("d", F.date_add(F.lit("1995-01-02").cast("date"), i))
         .filter(~((r % 10 == 9) & (F.month(d) == 2) & (F.dayofmonth(d) == 29)))

@@ -94,10 +94,11 @@ def test_fused_frames_match_pandas_across_chunks(spark, small_chunks, variant, w
         np.testing.assert_allclose(got["tmp_lag2w"], w.groupby("region_id")["tmp"].shift(2))
 
 
-def test_fused_plan_has_one_exchange(spark):
-    """Roll-up and all trailing features reuse the one shuffle of the days."""
-    plan_text = plan.weekly_frames(random_daily(spark), "v54")._jdf.queryExecution().executedPlan().toString()
-    assert plan_text.count("Exchange hashpartitioning") == 1
+def test_fused_plan_shuffles_weeks_not_days(spark):
+    """Days are aggregated by hash before the first shuffle; all trailing features share the second."""
+    text = plan.weekly_frames(random_daily(spark), "v54")._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 2
+    assert "SortAggregate" not in text and text.count("HashAggregate") == 2
 
 
 def test_pipeline_shapes(spark):
