@@ -17,6 +17,7 @@ from ..operators import (
     clean, climatology, distributions as dist, encoding, ensemble as ens, explore, features, hurdle, impute, ranks,
     regions, weekly as wk, windows,
 )
+from ..operators.splits import attach
 from ..plans import modelling, preprocess as plan
 from ..session import shared_folder, stage
 from ..sources import panel, tables
@@ -145,7 +146,7 @@ def _(spark, sf):
   when m in (4,6,9,11) then 30 else 31 end as bigint) as days from p_train left join p_phase using (region_id)""")
 def _(spark, sf):
     df = src.train(spark, sf)
-    return df.join(climatology.leap_phases(df), "region_id", "left").select(
+    return attach(df, climatology.leap_phases(df), "pos").select(
         "region_id", "date", cal.days_in_month(cal.year_of("date"), cal.month_of("date"), F.col("phase")).alias("days"))
 
 
@@ -154,7 +155,7 @@ from p_train t left join p_phase p using (region_id) join p_calendar a on a.phas
 join p_calendar b on b.phase = a.phase and b.k = a.k - (t.pos % 49 + 1)""")
 def _(spark, sf):
     df = src.train(spark, sf)
-    return df.join(climatology.leap_phases(df), "region_id", "left").select(
+    return attach(df, climatology.leap_phases(df), "pos").select(
         "region_id", "date", cal.subtract_days("date", F.col("pos") % 49 + 1, F.col("phase")).alias("earlier"))
 
 
@@ -690,6 +691,14 @@ def _(spark, sf):
     return _trained(spark, sf).predictions
 
 
+@register("s7_reload_models")
+def _(spark, sf):
+    _trained(spark, sf)
+    severity = hurdle.load_severity(_folder(spark, sf, "models"), 0, 1)
+    test = hurdle.vector_frame(src.samples(spark, sf).test.filter("fold = 0"))
+    return severity.transform(test).select("region_id", "pred_a")
+
+
 @register("m5_gate_out_of_fold", "select region_id, fold, horizon, " + q("pred") + " from gated")
 def _(spark, sf):
     return _gated(spark, sf).select("region_id", "fold", "horizon", "pred")
@@ -875,11 +884,12 @@ def _(spark, sf):
     return dist.empirical_cdf(ranks.long_form(_tr(spark, sf), ["score", "surf_pre", "surf_pre_week_max"]))
 
 
-@register("x8_feature_shift", "select feature, " + qs(["tr_mean", "te_mean", "tr_p99", "te_p99", "ratio"]) + ", " + q("pct", "p99_pct") + ", cast(case when pct > 15 then 2 when pct > 8 then 1 else 0 end as bigint) as danger from (select *, least(te_mean/(tr_mean + 1e-9), 1e5) as ratio, (te_p99 - tr_p99)/(abs(tr_p99) + 1e-9)*100 as pct from ("
+@register("x8_feature_shift", "select feature, " + qs(["tr_mean", "te_mean", "tr_p99", "te_p99", "ratio"]) + ", " + q("pct", "p99_pct") + ", cast(case when pct > 15 then 2 when pct > 8 then 1 else 0 end as bigint) as danger from (select *, greatest(least(te_mean/(tr_mean + 1e-9), 1e5), -1e5) as ratio, (te_p99 - tr_p99)/(abs(tr_p99) + 1e-9)*100 as pct from ("
           + " union all ".join(f"select '{c}' as feature, (select avg({c}) from e_train) as tr_mean, (select avg({c}) from e_test) as te_mean, (select quantile_cont(cast({c} as double), 0.99) from e_train) as tr_p99, (select quantile_cont(cast({c} as double), 0.99) from e_test) as te_p99" for c in COMPARED_FEATURES) + "))")
 def _(spark, sf):
     # The train mean of the anomaly is 0 up to the order of summation, so its ratio is held at a bound.
-    return explore.feature_shift(_tr(spark, sf), _te(spark, sf)).withColumn("ratio", F.least("ratio", F.lit(1e5)))
+    return explore.feature_shift(_tr(spark, sf), _te(spark, sf)).withColumn(
+        "ratio", F.greatest(F.least("ratio", F.lit(1e5)), F.lit(-1e5)))
 
 
 @register("x9_feature_density", " union all ".join("select '" + c + "' as cohort, * from (" + _density_sql(long(f"e_{c}", DENSITY_FEATURES), "min(value) - (max(value)-min(value))/2.0", "max(value) + (max(value)-min(value))/2.0", "0.3*stddev_samp(value)", 41) + ")" for c in ("train", "test")), 6)

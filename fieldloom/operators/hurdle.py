@@ -6,9 +6,9 @@ from concurrent.futures import ThreadPoolExecutor
 
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from ..constants import ENCODED, HORIZON, SEED
@@ -67,6 +67,18 @@ def fit_occurrence(frame: DataFrame, settings: TreeSettings):
     return model.setRawPredictionCol("_raw").setProbabilityCol("_prob").fit(frame)
 
 
+def model_path(folder: str, part: str, fold: int, horizon: int) -> str:
+    return f"{folder}/{part}_fold{fold}_h{horizon}"
+
+
+def load_severity(folder: str, fold: int, horizon: int) -> GBTRegressionModel:
+    return GBTRegressionModel.load(model_path(folder, "severity", fold, horizon))
+
+
+def load_occurrence(folder: str, fold: int, horizon: int) -> GBTClassificationModel:
+    return GBTClassificationModel.load(model_path(folder, "occurrence", fold, horizon))
+
+
 def predict(severity, occurrence, frame: DataFrame) -> DataFrame:
     """``pred_a`` and ``prob_b``; a number in place of the classifier is a constant probability."""
     out = severity.transform(frame)
@@ -116,7 +128,7 @@ def train_hurdle(
             else:
                 model = fit_occurrence(frame, settings.occurrence)
             if model_folder:
-                model.write().overwrite().save(f"{model_folder}/{part}_fold{fold}_h{h + 1}")
+                model.write().overwrite().save(model_path(model_folder, part, fold, h + 1))
             return model
 
         tasks = [(h, part) for h in range(horizon) for part in ("severity", "occurrence")]
