@@ -8,7 +8,7 @@ enough for one task. The cuts only balance the work: whatever they are, ranks ar
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -23,8 +23,16 @@ def long_form(df: DataFrame, cols: list[str], ids: list[str] = ()) -> DataFrame:
     return df.select(*ids, F.inline(pairs)).filter(F.col("value").isNotNull())
 
 
-def cut_table(long: DataFrame) -> DataFrame:
-    """(grp, tops, cells): sorted cuts per group, arranged in two levels for a short search.
+@dataclass
+class Cuts:
+    """Sorted cuts per group as a small table (grp, gid, cuts) and the steps of a search in them."""
+
+    table: DataFrame
+    steps: int
+
+
+def cut_table(long: DataFrame) -> Cuts:
+    """Cuts that divide each group evenly, the more the larger the biggest group is.
 
     The number of groups is the number of compared columns or tables and each has at most
     ``MAX_CUTS`` cuts, so this is small whatever the data; it is fixed here, as literals, because
@@ -33,42 +41,39 @@ def cut_table(long: DataFrame) -> DataFrame:
     biggest = long.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
     wanted = min(MAX_CUTS, max(16, biggest // ROWS_PER_BUCKET))
     probs = [i / wanted for i in range(1, wanted)]
-    rows = []
-    for grp, q in long.groupBy("grp").agg(F.percentile_approx("value", probs, 20 * wanted)).collect():
-        cuts = sorted(set(q))
-        width = max(1, math.isqrt(len(cuts)))
-        cells = [cuts[i:i + width] for i in range(0, len(cuts), width)]
-        rows.append((grp, [c[-1] for c in cells], cells))
-    schema = "grp string, tops array<double>, cells array<array<double>>"
-    return long.sparkSession.createDataFrame(rows, schema)
-
-
-def bucketed(long: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Add ``bucket``: 2k for values between cuts k-1 and k, 2k+1 for values equal to cut k."""
+    found = long.groupBy("grp").agg(F.percentile_approx("value", probs, 20 * wanted)).collect()
+    rows = [(grp, i, sorted(set(q))) for i, (grp, q) in enumerate(found)]
+    table = long.sparkSession.createDataFrame(rows, "grp string, gid int, cuts array<double>")
+    return Cuts(table, max((len(r[2]) for r in rows), default=0).bit_length())
+
+
+def bucketed(long: DataFrame, cuts: Cuts) -> DataFrame:
+    """Add ``gid`` and ``bucket``: 2k for values between cuts k-1 and k, 2k+1 for those equal to cut k.
+
+    k, the number of cuts below the value, is found by halving steps written out as one column
+    each, which stay inside generated code.
+    """
     v = F.col("value")
-    out = long.join(F.broadcast(cuts), "grp")
-    cell = F.size(F.filter("tops", lambda t: t < v))
-    width = F.size(F.element_at("cells", 1))
-    out = out.withColumn("_cell", cell).withColumn(
-        "_in", F.coalesce(F.get("cells", F.col("_cell")), F.array().cast("array<double>")))
-    below = F.size(F.filter("_in", lambda t: t < v))
-    k = F.col("_cell") * width + below
-    hit = F.coalesce(F.get("_in", below) == v, F.lit(False)).cast("int")
-    return out.withColumn("bucket", 2 * k + hit).drop("tops", "cells", "_cell", "_in")
+    out = long.join(F.broadcast(cuts.table), "grp").withColumn("_k", F.lit(0))
+    for step in (2 ** i for i in reversed(range(cuts.steps))):
+        below = F.get("cuts", F.col("_k") + (step - 1)) < v
+        out = out.withColumn("_k", F.col("_k") + F.when(below, step).otherwise(0))
+    hit = F.coalesce(F.get("cuts", F.col("_k")) == v, F.lit(False)).cast("int")
+    return out.withColumn("bucket", 2 * F.col("_k") + hit).drop("cuts", "_k")
 
 
 def bucket_sizes(rows: DataFrame, weight: str | None = None) -> DataFrame:
-    """(grp, bucket, n, before, total): at most a few thousand rows per group."""
+    """(gid, bucket, n, before, total): at most a few thousand rows per group."""
     size = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    sizes = rows.groupBy("grp", "bucket").agg(size.alias("n"))
-    by_bucket = Window.partitionBy("grp").orderBy("bucket")
+    sizes = rows.groupBy("gid", "bucket").agg(size.alias("n"))
+    by_bucket = Window.partitionBy("gid").orderBy("bucket")
     earlier = F.sum("n").over(by_bucket.rowsBetween(Window.unboundedPreceding, -1))
     return sizes.select(
-        "grp", "bucket", "n", F.coalesce(earlier, F.lit(0)).alias("before"),
-        F.sum("n").over(Window.partitionBy("grp")).alias("total"))
+        "gid", "bucket", "n", F.coalesce(earlier, F.lit(0)).alias("before"),
+        F.sum("n").over(Window.partitionBy("gid")).alias("total"))
 
 
-def average_ranks(long: DataFrame, row: list[str], cuts: DataFrame | None = None) -> DataFrame:
+def average_ranks(long: DataFrame, row: list[str], cuts: Cuts | None = None) -> DataFrame:
     """Add ``rank`` (ties share their mean rank) within ``grp``.
 
     ``row`` names the columns that identify a row; they only spread heavy values over tasks. Values
@@ -78,14 +83,14 @@ def average_ranks(long: DataFrame, row: list[str], cuts: DataFrame | None = None
     sizes = bucket_sizes(rows)
     single = F.col("bucket") % 2 == 1
     spot = F.when(single, F.pmod(F.xxhash64(*row), F.lit(SALTS))).otherwise(F.lit(0))
-    w = Window.partitionBy("grp", "bucket", "_spot").orderBy("value")
+    w = Window.partitionBy("gid", "bucket", "_spot").orderBy("value")
     up_to = F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     placed = rows.withColumn("_spot", spot).withColumn("_lo", F.rank().over(w)).withColumn("_hi", up_to)
     inside = F.when(single, (F.col("n") + 1) / 2.0).otherwise((F.col("_lo") + F.col("_hi")) / 2.0)
     return (
-        placed.join(F.broadcast(sizes), ["grp", "bucket"])
+        placed.join(F.broadcast(sizes), ["gid", "bucket"])
         .withColumn("rank", F.col("before") + inside)
-        .drop("_spot", "_lo", "_hi", "n", "before", "total", "bucket")
+        .drop("_spot", "_lo", "_hi", "n", "before", "total", "bucket", "gid")
     )
 
 
@@ -93,19 +98,19 @@ def value_counts(long: DataFrame) -> DataFrame:
     return long.groupBy("grp", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def cumulative_counts(long: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
+def cumulative_counts(long: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     """(grp, value, cnt, before, total): how many rows of the group lie strictly below."""
     rows = bucketed(value_counts(long), cut_table(long) if cuts is None else cuts)
     sizes = bucket_sizes(rows, weight="cnt")
-    w = Window.partitionBy("grp", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("gid", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumn("_in", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
-        .join(F.broadcast(sizes), ["grp", "bucket"])
+        .join(F.broadcast(sizes), ["gid", "bucket"])
         .select("grp", "value", "cnt", (F.col("before") + F.col("_in")).alias("before"), "total")
     )
 
 
-def quantiles(long: DataFrame, probs: list[float], cuts: DataFrame | None = None) -> DataFrame:
+def quantiles(long: DataFrame, probs: list[float], cuts: Cuts | None = None) -> DataFrame:
     """(grp, prob, quantile): exact, linear between neighbouring order statistics.
 
     Only the buckets that hold a wanted rank are sorted.
@@ -113,18 +118,18 @@ def quantiles(long: DataFrame, probs: list[float], cuts: DataFrame | None = None
     rows = bucketed(long, cut_table(long) if cuts is None else cuts)
     sizes = bucket_sizes(rows)
     wanted = (
-        sizes.select("grp", "bucket", "n", "before", "total", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
+        sizes.select("gid", "bucket", "n", "before", "total", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
         .withColumn("_h", (F.col("total") - 1) * F.col("prob"))
         .withColumn("lo", F.floor("_h")).withColumn("hi", F.ceil("_h"))
         .withColumn("frac", F.col("_h") - F.col("lo"))
         .filter((F.col("before") <= F.col("hi")) & (F.col("lo") < F.col("before") + F.col("n")))
     )
-    needed = wanted.select("grp", "bucket").distinct()
-    kept = rows.join(F.broadcast(needed), ["grp", "bucket"], "left_semi")
-    counts = kept.groupBy("grp", "bucket", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    w = Window.partitionBy("grp", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    needed = wanted.select("gid", "bucket").distinct()
+    kept = rows.join(F.broadcast(needed), ["gid", "bucket"], "left_semi")
+    counts = kept.groupBy("grp", "gid", "bucket", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    w = Window.partitionBy("gid", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_in", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
-    ranked = counts.join(F.broadcast(wanted), ["grp", "bucket"]).withColumn(
+    ranked = counts.join(F.broadcast(wanted), ["gid", "bucket"]).withColumn(
         "_from", F.col("before") + F.col("_in"))
     holds = lambda r: (F.col("_from") <= F.col(r)) & (F.col(r) < F.col("_from") + F.col("cnt"))
     found = ranked.groupBy("grp", "prob").agg(
@@ -141,10 +146,10 @@ def auc(scored: DataFrame, label: str = "label", score: str = "score") -> DataFr
         F.count(F.lit(1)).alias("cnt"), F.sum("_y").alias("_pos"))
     rows = bucketed(counts, cut_table(long))
     sizes = bucket_sizes(rows, weight="cnt")
-    w = Window.partitionBy("grp", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("gid", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     ranked = (
         rows.withColumn("_in", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
-        .join(F.broadcast(sizes), ["grp", "bucket"])
+        .join(F.broadcast(sizes), ["gid", "bucket"])
         .withColumn("_rank", F.col("before") + F.col("_in") + (F.col("cnt") + 1) / 2.0)
     )
     sums = ranked.agg(F.sum(F.col("_rank") * F.col("_pos")).alias("r"),
