@@ -118,3 +118,16 @@ from documents d left join g on d.doc_id = g.doc_id"""
 
 
 SECRETS = _secrets()
+
+
+JACCARD = r"""
+with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from t),
+n as (select doc_id, count(*) as n from s group by doc_id),
+i as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id != b.doc_id group by all),
+e as (select x, y from i join n p on x = p.doc_id join n q on y = q.doc_id where 100 * c >= 75 * (p.n + q.n - c)),
+r as (select x, y from e union select r.x, e.y from r join e on r.y = e.x)
+select t.doc_id, coalesce(any_value(n.n), 0) as n_shingles, least(t.doc_id, coalesce(min(r.y), t.doc_id)) as component_id
+from t left join n on t.doc_id = n.doc_id left join r on t.doc_id = r.x group by t.doc_id"""
