@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import stage
 from .graph import components
 from .signature_tree import signature, similar_candidates
-from .words import shingle_sets, text_slices, words_of
+from .words import LOWERED, mixed, shingle_sets, text_slices, words_of
 
 BLOCK = 1024
 SAMPLE_DOCS = 8192
@@ -86,7 +86,7 @@ def _common_tokens(docs: DataFrame, text: str, sim: Similarity) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, part in text_slices(batch.column(0)):
-                sets = [s for s in shingle_sets(words_of(part, True), sim.words) if len(s)]
+                sets = [s for s in shingle_sets(words_of(part, LOWERED), sim.words) if len(s)]
                 if sets:
                     token, n = np.unique(np.concatenate(sets), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
@@ -125,11 +125,10 @@ def document_sets(docs: DataFrame, doc_id: str, text: str, sim: Similarity) -> D
         common = held.value
         low = np.zeros(1 << 20, bool)
         low[(common & U(0xFFFFF)).astype(np.int64)] = True
-        from .words import mixed
         for batch in batches:
             for at, part in text_slices(batch.column(3)):
                 n, s1, s2, sig, cold, hot, whole = [], [], [], [], [], [], []
-                for tokens in shingle_sets(words_of(part, True), sim.words):
+                for tokens in shingle_sets(words_of(part, LOWERED), sim.words):
                     size = len(tokens)
                     n.append(size)
                     if not size:
@@ -402,7 +401,7 @@ def _whole_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, doc_id: str
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in text_slices(batch.column(1)):
-                sets = [as_binary(s) for s in shingle_sets(words_of(part, True), sim.words)]
+                sets = [as_binary(s) for s in shingle_sets(words_of(part, LOWERED), sim.words)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(part)), pa.array(sets, pa.binary())], ["rid", "tokens"])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import jaccard_join, line_dedup, mixing, secrets, sql, url_filter
+from . import decontaminate, jaccard_join, line_dedup, mixing, secrets, sql, url_filter
 
 #: Fixed rules of the url query.
 URL_RULES = [
@@ -37,10 +37,17 @@ def op8_line_dedup(spark, sf_dir) -> DataFrame:
                       F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_decontaminate(spark, sf_dir) -> DataFrame:
+    """Every (doc_id, item_id) found, with the word edits between them."""
+    found = decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    pairs = found.select("doc_id", F.explode(F.arrays_zip("item_ids", "item_edits")).alias("m"))
+    return pairs.select("doc_id", F.col("m")["item_ids"].alias("item_id"), F.col("m")["item_edits"].alias("edits"))
+
+
 def op10_secret_scan(spark, sf_dir) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_ngram_jaccard, op7_url_filter, op8_line_dedup, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_ngram_jaccard, op7_url_filter, op8_line_dedup, op9_decontaminate, op10_secret_scan)}
 SQL = {"op1_mix_sources": sql.MIX, "op4_ngram_jaccard": sql.JACCARD, "op7_url_filter": sql.urls(URL_RULES), "op8_line_dedup": sql.LINES,
        "op10_secret_scan": sql.SECRETS}

@@ -25,6 +25,9 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[65:91] += 32
+#: Lower-cased, ASCII punctuation as white space.
+PLAIN = LOWERED.copy()
+PLAIN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 32
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -57,6 +60,11 @@ class Words:
     hash: np.ndarray
     first: np.ndarray  # one more than texts
     offsets: np.ndarray  # byte offsets of the texts, one more than texts
+    sums: np.ndarray  # running sums over the bytes
+
+    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges; a word's range has the word's hash."""
+        return mixed((self.sums[end] - self.sums[start]) * powers(BASE_INVERSE, len(self.sums))[start])
 
     def __len__(self) -> int:
         return len(self.first) - 1
@@ -85,16 +93,16 @@ def byte_offsets(texts: pa.Array) -> np.ndarray:
     return found.astype(np.int64)
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
-    """Words of each text; a null text has none."""
+def words_of(texts: pa.Array, bytes_as: np.ndarray | None = None) -> Words:
+    """Words of each text; a null text has none. ``bytes_as`` (LOWERED, PLAIN) replaces each byte first."""
     offsets = byte_offsets(texts)
     raw = texts.buffers()[2] if len(texts) else None
     base = offsets[0]
     offsets = offsets - base
     size = int(offsets[-1])
     data = np.frombuffer(raw, np.uint8, size, int(base)) if raw is not None and size else np.zeros(0, np.uint8)
-    if lower:
-        data = LOWERED[data]
+    if bytes_as is not None:
+        data = bytes_as[data]
     space = IS_SPACE[data]
     edge = np.zeros(size + 1, bool)
     edge[offsets] = True
@@ -106,8 +114,9 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     end = np.flatnonzero(~space & (after | edge[1:])) + 1
     sums = np.zeros(size + 1, U)
     np.cumsum(BYTE_VALUE[data] * powers(BASE, size), out=sums[1:])
-    value = (sums[end] - sums[start]) * powers(BASE_INVERSE, size + 1)[start]
-    return Words(data, start, end, mixed(value), np.searchsorted(start, offsets), offsets)
+    found = Words(data, start, end, start, np.searchsorted(start, offsets), offsets, sums)
+    found.hash = found.span_hash(start, end)
+    return found
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
