@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, mixing, secrets, sql, url_filter
+from . import decontaminate, jaccard_join, line_dedup, mixing, perplexity, secrets, sql, url_filter
 
 #: Fixed rules of the url query.
 URL_RULES = [
@@ -26,6 +26,11 @@ def op4_ngram_jaccard(spark, sf_dir) -> DataFrame:
     return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_perplexity_rules(spark, sf_dir) -> DataFrame:
+    judged = perplexity.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *perplexity.STATISTICS, "base_failed", "kept", "log_perplexity")
+
+
 def op7_url_filter(spark, sf_dir) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).select(
         "page_id", "host", "path", "rule", "verdict")
@@ -48,6 +53,6 @@ def op10_secret_scan(spark, sf_dir) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_ngram_jaccard, op7_url_filter, op8_line_dedup, op9_decontaminate, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_ngram_jaccard, op5_perplexity_rules, op7_url_filter, op8_line_dedup, op9_decontaminate, op10_secret_scan)}
 SQL = {"op1_mix_sources": sql.MIX, "op4_ngram_jaccard": sql.JACCARD, "op7_url_filter": sql.urls(URL_RULES), "op8_line_dedup": sql.LINES,
        "op10_secret_scan": sql.SECRETS}
