@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, mixing, perplexity, secrets, sql, url_filter
+from . import decontaminate, jaccard_join, language_id, line_dedup, mixing, perplexity, secrets, sql, url_filter
 
 #: Fixed rules of the url query.
 URL_RULES = [
@@ -22,6 +22,17 @@ def op1_mix_sources(spark, sf_dir) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
+def op2_language_id(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
+    model = language_id.fit(docs.filter(~F.col("held_out")))
+    return language_id.identify(docs.select("doc_id", "held_out", "text"), model).select(
+        "doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_ngram_jaccard(spark, sf_dir) -> DataFrame:
     return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"))
 
@@ -53,6 +64,6 @@ def op10_secret_scan(spark, sf_dir) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_ngram_jaccard, op5_perplexity_rules, op7_url_filter, op8_line_dedup, op9_decontaminate, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op4_ngram_jaccard, op5_perplexity_rules, op7_url_filter, op8_line_dedup, op9_decontaminate, op10_secret_scan)}
 SQL = {"op1_mix_sources": sql.MIX, "op4_ngram_jaccard": sql.JACCARD, "op7_url_filter": sql.urls(URL_RULES), "op8_line_dedup": sql.LINES,
        "op10_secret_scan": sql.SECRETS}
