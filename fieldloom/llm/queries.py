@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from . import decontaminate, jaccard_join, language_id, line_dedup, mixing, perplexity, secrets, sql, url_filter
+from . import decontaminate, jaccard_join, language_id, line_dedup, mixing, perplexity, secrets, sql, toxicity, url_filter
 
 #: Fixed rules of the url query.
 URL_RULES = [
@@ -33,6 +33,16 @@ def op2_language_id(spark, sf_dir) -> DataFrame:
         "doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_toxicity(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    grammar = toxicity.fit(docs.filter(~F.col("held_out")).join(labels, "doc_id"))
+    scored = toxicity.score(docs, grammar)
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+                         "clause_weight", "clauses")
+
+
 def op4_ngram_jaccard(spark, sf_dir) -> DataFrame:
     return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"))
 
@@ -64,6 +74,6 @@ def op10_secret_scan(spark, sf_dir) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op4_ngram_jaccard, op5_perplexity_rules, op7_url_filter, op8_line_dedup, op9_decontaminate, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_toxicity, op4_ngram_jaccard, op5_perplexity_rules, op7_url_filter, op8_line_dedup, op9_decontaminate, op10_secret_scan)}
 SQL = {"op1_mix_sources": sql.MIX, "op4_ngram_jaccard": sql.JACCARD, "op7_url_filter": sql.urls(URL_RULES), "op8_line_dedup": sql.LINES,
        "op10_secret_scan": sql.SECRETS}
