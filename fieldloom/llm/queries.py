@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from . import decontaminate, jaccard_join, language_id, line_dedup, mixing, perplexity, secrets, sql, toxicity, url_filter
+from . import decontaminate, jaccard_join, language_id, line_dedup, mixing, perplexity, secrets, sql, token_counts, toxicity, url_filter
 
 #: Fixed rules of the url query.
 URL_RULES = [
@@ -13,6 +15,10 @@ URL_RULES = [
     url_filter.Rule("net", "/fr/", "block"),
 ]
 
+#: Where the tokenizer vocabularies are, and an e-mail address.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,6 +58,26 @@ def op5_perplexity_rules(spark, sf_dir) -> DataFrame:
     return judged.select("doc_id", *perplexity.STATISTICS, "base_failed", "kept", "log_perplexity")
 
 
+def redactions(text: Column) -> Column:
+    """Edits that replace e-mail addresses and long hexadecimal keys."""
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    found = F.concat(F.when(F.contains(text, F.lit("@")), secrets.matches(text, 0, EMAIL)).otherwise(none),
+                     F.when(text.rlike(secrets.HEX), secrets.matches(text, 1, secrets.HEX)).otherwise(none))
+    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.when(
+        m["kind"] == 0, "[email]").otherwise("[key]").alias("replacement")))
+
+
+def op6_edit_token_counts(spark, sf_dir) -> DataFrame:
+    """Token counts of all documents before and after their redaction."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(redactions(F.col("text")), F.array().cast(
+        token_counts.EDITS)).alias("edits"))
+    vocabulary = token_counts.Vocabulary.read(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    state = token_counts.build(docs, vocabulary).withColumn("n_tokens_before", F.col("n_tokens"))
+    edited = token_counts.apply_edits(state, vocabulary)
+    return edited.select("doc_id", "n_tokens_before", "n_edits", F.col("n_tokens").alias("n_tokens_after"),
+                         F.length("text").alias("n_chars_after"), "reencoded_chars")
+
+
 def op7_url_filter(spark, sf_dir) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).select(
         "page_id", "host", "path", "rule", "verdict")
@@ -74,6 +100,6 @@ def op10_secret_scan(spark, sf_dir) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_toxicity, op4_ngram_jaccard, op5_perplexity_rules, op7_url_filter, op8_line_dedup, op9_decontaminate, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_toxicity, op4_ngram_jaccard, op5_perplexity_rules, op6_edit_token_counts, op7_url_filter, op8_line_dedup, op9_decontaminate, op10_secret_scan)}
 SQL = {"op1_mix_sources": sql.MIX, "op4_ngram_jaccard": sql.JACCARD, "op7_url_filter": sql.urls(URL_RULES), "op8_line_dedup": sql.LINES,
        "op10_secret_scan": sql.SECRETS}
