@@ -409,11 +409,10 @@ def _whole_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, doc_id: str
 
 
 # --- the operator ------------------------------------------------------------------------------
-def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim: Similarity = Similarity()) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links), one row per row of ``docs``."""
+def linked_sets(docs: DataFrame, doc_id: str, text: str, sim: Similarity) -> DataFrame:
+    """One row per row of ``docs``: rid, doc_id, text_hash, n and the root (a rid) of its group, null for an empty set."""
     sets = stage(document_sets(docs, doc_id, text, sim), "sets")
-    classes = sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"))
-    classes = stage(classes, "classes")
+    classes = stage(sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("rid").alias("rid")), "classes")
     copies = stage(sets.filter("n > 0").select("rid").join(classes.select("rid"), "rid", "left_anti"), "copies")
     reps = sets.filter("n > 0").join(copies, "rid", "left_anti")
     links, dealt = pivot_links(reps, sim)
@@ -425,20 +424,45 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     blocks = stage(lists.distinct().withColumn("block", F.monotonically_increasing_id()), "blocks")
     first = stage(_candidates(blocks, reps, sim, None), "candidates")
     pairs = first.select("a", "b").distinct()
-    ends = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-    whole = stage(_whole_sets(docs, reps, ends, doc_id, text, sim), "whole")
+    whole = stage(_whole_sets(docs, reps, _ends(pairs), doc_id, text, sim), "whole")
     found = stage(_verified(pairs, whole, sim), "links")
     found = found if links is None else found.unionByName(links)
     roots = stage(components(found), "components")
     if first.filter("open").limit(1).count():
-        more = stage(_candidates(blocks, reps, sim, roots).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "candidates")
-        ends = more.select(F.col("a").alias("rid")).unionByName(more.select(F.col("b").alias("rid"))).distinct()
-        ends = ends.join(whole.select("rid"), "rid", "left_anti")
+        more = _candidates(blocks, reps, sim, roots).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+        more = stage(more, "candidates")
+        ends = _ends(more).join(whole.select("rid"), "rid", "left_anti")
         both = whole.unionByName(stage(_whole_sets(docs, reps, ends, doc_id, text, sim), "whole"))
         extra = stage(_verified(more, both, sim), "links")
         roots = stage(components(found.unionByName(extra)), "components")
-    labelled = classes.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = labelled.join(least, "root").select("s1", "s2", "component_id")
-    return sets.select("doc_id", "n", "s1", "s2").join(labelled, ["s1", "s2"], "left").select(
+    labelled = classes.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left")
+    labelled = labelled.select("s1", "s2", F.coalesce("root", "rid").alias("root"))
+    return sets.select("rid", "doc_id", "text_hash", "n", "s1", "s2").join(labelled, ["s1", "s2"], "left").drop("s1", "s2")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
+
+
+def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim: Similarity = Similarity()) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links), one row per row of ``docs``."""
+    linked = stage(linked_sets(docs, doc_id, text, sim), "linked")
+    least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("root", "of")
+    return linked.join(least, F.col("root") == F.col("of"), "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim: Similarity = Similarity()) -> DataFrame:
+    """``docs`` with one row of each group, the one of the smallest id (null last), and all rows of empty sets."""
+    linked = stage(linked_sets(docs, doc_id, text, sim).filter("n > 0"), "linked")
+    rank = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("rid").alias("c"))
+    stays = linked.groupBy("root").agg(F.min(rank)["c"].alias("rid")).withColumn("stays", F.lit(1)).select("rid", "stays")
+    keys = linked.join(stays, "rid", "left").groupBy("doc_id", "text_hash").agg(
+        F.count(F.lit(1)).alias("rows"), F.max(F.coalesce("stays", F.lit(0))).alias("stays"))
+    keys = stage(keys.filter("stays = 0 OR rows > 1").withColumnsRenamed({"doc_id": "i", "text_hash": "h"}), "dropped")
+    of = F.col(doc_id).eqNullSafe(F.col("i")) & (F.xxhash64(F.col(text)) == F.col("h"))
+    kept = docs.join(keys.select("i", "h"), of, "left_anti")
+    repeated = keys.filter("stays = 1").select("i", "h")
+    if repeated.limit(1).count():
+        kept = kept.unionByName(docs.join(repeated, of, "left_semi").dropDuplicates([doc_id, text]))
+    return kept

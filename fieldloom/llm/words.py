@@ -1,4 +1,4 @@
-"""Word and shingle hashes of Arrow text batches, computed with numpy over slices of about a megabyte.
+"""Word and shingle hashes of Arrow text batches, computed with numpy over slices of about half a megabyte.
 
 A word is a run without ASCII white space. Its 64-bit hash is a mixed difference of running sums of
 byte values times powers of an odd number, so no Python code runs per word. Equal words have equal
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 U = np.uint64
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 BYTE_VALUE = _RANDOM.integers(1, 2**63, 256, dtype=U) * U(2) + U(1)
