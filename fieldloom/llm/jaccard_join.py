@@ -5,7 +5,7 @@
    order here puts the tokens found often in a bounded sample last, so common passages are rarely in a
    prefix. Equal sets form a class, and only one document of a class goes on.
 2. Prefix tokens are dealt by hash. Documents with a token in common form a block, cut to at most
-   ``BLOCK`` members (two halves of every pair of parts, if it was larger).
+   ``block`` members (two halves of every pair of parts, if it was larger).
 3. Each block's members form a signature tree. Its dual traversal drops pairs whose overlap cannot suffice.
 4. The rest is verified on whole sets. A block whose pairs are many first offers a few for each member; when
    the links found so far are joined to components, only pairs between different components are left.
@@ -34,12 +34,8 @@ from .graph import components
 from .signature_tree import signature, similar_candidates
 from .words import LOWERED, mixed, shingle_sets, text_slices, words_of
 
-BLOCK = 1024
 SAMPLE_DOCS = 8192
-COMMON_IN_SAMPLE = 12
-PIVOTS = 64
 ENTRIES_PER_TASK = 1_000_000
-FEW_PER_MEMBER = 3
 BROADCAST_ROWS = 1_000_000
 U = np.uint64
 
@@ -51,6 +47,12 @@ class Similarity:
     num: int = 3
     den: int = 4
     words: int = 5
+    #: How the work is cut; no result depends on these: members of a block, pairs a member offers at first,
+    #: documents of the sample that make a token common, pivots of a round.
+    block: int = 1024
+    few: int = 3
+    often: int = 12
+    pivots: int = 64
 
     def probe(self, n: int) -> int:
         """Prefix of a set of n tokens that meets every similar set of at most its size."""
@@ -73,7 +75,7 @@ def as_binary(x: np.ndarray) -> bytes:
 
 
 def _common_tokens(docs: DataFrame, text: str, sim: Similarity) -> np.ndarray:
-    """Sorted tokens in at least ``COMMON_IN_SAMPLE`` documents of a sample of about ``SAMPLE_DOCS``.
+    """Sorted tokens in at least ``often`` documents of a sample of about ``SAMPLE_DOCS``.
 
     They only set the token order, which never changes a result. At most the sample's tokens divided
     by that number can qualify.
@@ -92,7 +94,7 @@ def _common_tokens(docs: DataFrame, text: str, sim: Similarity) -> np.ndarray:
                     yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
 
     counts = chosen.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    found = [r["token"] for r in counts.filter(F.col("n") >= COMMON_IN_SAMPLE).select("token").collect()]
+    found = [r["token"] for r in counts.filter(F.col("n") >= sim.often).select("token").collect()]
     return np.sort(np.array(found, np.int64).view(U))
 
 
@@ -156,12 +158,12 @@ def document_sets(docs: DataFrame, doc_id: str, text: str, sim: Similarity) -> D
 
 # --- families of common tokens -----------------------------------------------------------------
 def _choose_pivots(hot: DataFrame, sim: Similarity) -> dict[int, np.ndarray]:
-    """Up to ``PIVOTS`` mutually unlinked sets among a bounded random draw of ``hot`` (rid, whole)."""
-    drawn = hot.orderBy(F.xxhash64("rid")).limit(8 * PIVOTS).collect()
+    """Up to ``pivots`` mutually unlinked sets among a bounded random draw of ``hot`` (rid, whole)."""
+    drawn = hot.orderBy(F.xxhash64("rid")).limit(8 * sim.pivots).collect()
     chosen: dict[int, np.ndarray] = {}
     for row in drawn:
         tokens = np.frombuffer(row["whole"], U)
-        if len(chosen) < PIVOTS and not any(
+        if len(chosen) < sim.pivots and not any(
                 sim.linked(len(np.intersect1d(tokens, p, True)), len(tokens), len(p)) for p in chosen.values()):
             chosen[row["rid"]] = tokens
     return chosen
@@ -201,7 +203,7 @@ def pivot_links(sets: DataFrame, sim: Similarity, rounds: int = 4) -> tuple[Data
     hot = stage(sets.filter(F.col("whole").isNotNull()).select("rid", "whole"), "hot-sets")
     near, rest = None, hot
     for _ in range(rounds):
-        if rest.count() <= BLOCK:
+        if rest.count() <= sim.block:
             break
         found = stage(_against_pivots(hot, _choose_pivots(rest, sim), sim), "pivots")
         near = found if near is None else near.unionByName(found)
@@ -259,12 +261,12 @@ def _deal(reps: DataFrame, sim: Similarity, buckets: int) -> DataFrame:
 
 
 def _cut_block(rids: np.ndarray, sizes: np.ndarray, sim: Similarity) -> Iterator[np.ndarray]:
-    """Blocks of at most ``BLOCK`` members in which all pairs of similar size meet."""
-    if len(rids) <= BLOCK:
+    """Blocks of at most ``block`` members in which all pairs of similar size meet."""
+    if len(rids) <= sim.block:
         yield rids
         return
     order = np.argsort(sizes, kind="stable")
-    rids, sizes, half = rids[order], sizes[order], BLOCK // 2
+    rids, sizes, half = rids[order], sizes[order], sim.block // 2
     starts = range(0, len(rids), half)
     for i in starts:
         top = sizes[min(i + half, len(rids)) - 1]
@@ -357,7 +359,7 @@ def _candidates(blocks: DataFrame, reps: DataFrame, sim: Similarity, roots: Data
                 root = m.field("root").to_numpy()
                 pairs = similar_candidates(size, m.field("signature").to_pylist(), sim.num, sim.den)
                 pairs = pairs[root[pairs[:, 0]] != root[pairs[:, 1]]]
-                many = first and len(pairs) > FEW_PER_MEMBER * len(rid)
+                many = first and len(pairs) > sim.few * len(rid)
                 if many:  # neighbours in a ring over the members, and whatever stands first for each
                     hub = np.bincount(pairs.ravel(), minlength=len(rid)).argmax()
                     with_hub = (pairs == hub).any(1)
