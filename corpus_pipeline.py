@@ -14,15 +14,15 @@ from fieldloom.session import stage
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the statistics and the perplexity bands accept."""
-    return perplexity.judge(docs).filter("kept").select(*docs.columns)
+    return perplexity.accepted(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines found in ten or more of them; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs).drop("text").withColumnRenamed("kept_text", "text")
+    out = line_dedup.without_frequent_lines(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,12 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .text import aside
 from .words import PLAIN, U, mixed, text_slices, windows, words_of
 
 ITEM_BLOCK = 20_000
 WALKS = 8
 PLACES = 3
 WINDOWS_AT_ONCE = 4096
+FOUND = ("item_ids", "item_edits")
 PAD = U(0x0123456789ABCDEF)
 
 
@@ -208,7 +210,7 @@ class Items:
 def find_items(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
                item_text: str = "text", limits: Limits = Limits()) -> DataFrame:
     """``docs`` with item_ids (sorted, empty if clean) and item_edits (edits of each); such columns are replaced."""
-    kept = [c for c in docs.columns if c.lower() not in ("item_ids", "item_edits")]
+    kept = [c for c in docs.columns if c.lower() not in FOUND]
     empty = F.array().cast("array<long>")
     out = docs.select(*kept, empty.alias("item_ids"), empty.alias("item_edits"))
     blocks = max(1, ceil(items.count() / ITEM_BLOCK))
@@ -239,5 +241,6 @@ def _adder(held, text_at: int, columns: int):
 
 def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text", **more) -> DataFrame:
     """The rows of ``docs`` in which no item is found."""
-    found = find_items(docs, items, text, **more)
-    return found.filter(F.size("item_ids") == 0).select(*[c for c in docs.columns if c in found.columns])
+    own, back = aside(docs, FOUND)
+    found = find_items(own, items, text, **more)
+    return found.filter(F.size("item_ids") == 0).select(*own.columns).withColumnsRenamed(back)

@@ -17,8 +17,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder, stage
-from .text import SPACES, ascii_lower, free_name
+from .text import SPACES, ascii_lower, aside, free_name
 
+NEW = ("kept_text", "n_lines", "n_dropped")
 RUN = "h1 long, h2 long, n long"
 
 
@@ -130,9 +131,15 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     return _drop_lines(docs, hits, doc_id, text, min_chars)
 
 
+def without_frequent_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **more) -> DataFrame:
+    """``docs`` with its own columns, the frequent lines taken out of ``text``."""
+    own, back = aside(docs, NEW)
+    out = dedup_lines(own, doc_id, text, **more).withColumn(text, F.col("kept_text"))
+    return out.select(*own.columns).withColumnsRenamed(back)
+
+
 def _drop_lines(docs: DataFrame, hits: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
-    new = ["kept_text", "n_lines", "n_dropped"]
-    kept = [c for c in docs.columns if c.lower() not in new]
+    kept = [c for c in docs.columns if c.lower() not in NEW]
     h, i, t, k, n = (free_name(docs, x) for x in ("_hits", "_hit_id", "_hit_text", "_kept", "_th"))
     hits = hits.select(F.col("_id").alias(i), F.col("_text_hash").alias(t), F.col("_hits").alias(h))
     docs = docs.withColumn(n, F.xxhash64(F.col(text)))

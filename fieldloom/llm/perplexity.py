@@ -26,12 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import stage
-from .words import IS_SPACE, SLICE_BYTES, U, Words, mixed, text_slices, windows, words_of
+from .text import aside
+from .words import IS_SPACE, U, Words, mixed, text_slices, windows, words_of
 
 ORDER = 5
 MOST_NGRAMS = 4_000_000
 FLUSH = 500_000
 BIN = 1000
+JUDGED = ("log_perplexity", "base_failed", "kept", "band_lang", "q1", "q3", "wide")
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 IS_SYMBOL = np.zeros(256, bool)
 IS_SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
@@ -322,9 +324,15 @@ def bands(measured: DataFrame, rules: Rules, lang: str = "lang") -> DataFrame:
     return quartiles.select("band_lang", "q1", "q3", wide.alias("wide"))
 
 
+def accepted(docs: DataFrame, text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> DataFrame:
+    """The rows of ``docs`` that pass, with their own columns."""
+    own, back = aside(docs, (*STATISTICS, *JUDGED))
+    return judge(own, text, lang, rules).filter("kept").select(*own.columns).withColumnsRenamed(back)
+
+
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> DataFrame:
     """``docs`` with the statistics, log_perplexity, base_failed and kept."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("base_failed", "kept", "band_lang", "q1", "q3", "wide")])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in JUDGED])
     measured = measure(docs, fit(docs, text, lang), text, lang)
     slim = stage(measured.select(F.col(lang).alias("lang"), *STATISTICS, "log_perplexity"), "measured-bands")
     limits = stage(bands(slim, rules), "bands")

@@ -20,3 +20,13 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = "_" + wanted
     return wanted
+
+
+def aside(docs: DataFrame, new: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns named like ``new`` ones renamed, and the names to give them back."""
+    back: dict[str, str] = {}
+    for c in docs.columns:
+        if c.lower() in new:
+            other = free_name(docs, f"_own_{c}")
+            docs, back[other] = docs.withColumnRenamed(c, other), c
+    return docs, back
