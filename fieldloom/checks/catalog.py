@@ -773,9 +773,10 @@ def _(spark, sf):
     return modelling.infer(panel.prediction_fixture(spark, sf), "SOFT")
 
 
-@register("e4_forecast_summary", "select " + q("avg(value)", "mean_pred", 6) + ", " + q("avg(case when value = 0 then 1.0 else 0.0 end)", "zero_share", 6) + " from subs where grp = 'hard50'", 6)
+@register("e4_forecast_summary", "select (select " + q("avg(severity)", "mean_severity", 6).rsplit(" as ", 1)[0] + " from merged) as mean_severity, (select " + q("avg(prob)", "mean_prob", 6).rsplit(" as ", 1)[0] + " from merged) as mean_prob, " + q("avg(value)", "mean_pred", 6) + ", " + q("avg(case when value = 0 then 1.0 else 0.0 end)", "zero_share", 6) + " from subs where grp = 'hard50'", 6)
 def _(spark, sf):
-    return ens.forecast_summary(ens.forecast(_merged(spark, sf)))
+    merged = stage(_merged(spark, sf), "merged")
+    return ens.forecast_summary(merged, ens.forecast(merged))
 
 
 # --- submissions ---------------------------------------------------------------------------------------------------------------
@@ -810,9 +811,9 @@ select v.grp, g.range as j, lo + g.range*(hi-lo)/{float(points - 1)} as x, exp(-
 from ({source}) v join (select grp, cast(count(*) as double) as n, {lo} as lo, {hi} as hi, {h} as h from ({source}) group by grp) s using (grp), range(0,{points}) g) group by grp, j"""
 
 
-@register("q3_density", _density_sql("select * from subs", "-0.2", "5.2", "0.5*stddev_samp(value)*pow(count(*), -0.2)", 41), 6)
+@register("q3_density", _density_sql("select * from subs", "-0.2", "5.2", "0.5*stddev_samp(value)*pow(count(*), -0.2)", 200), 6)
 def _(spark, sf):
-    return dist.density(_submissions(spark, sf), 41, -0.2, 5.2)
+    return dist.density(_submissions(spark, sf), 200, -0.2, 5.2)
 
 
 # --- profiles --------------------------------------------------------------------------------------------------------------------
@@ -827,8 +828,8 @@ def _te(spark, sf):
 RAWF = ["prec", "tmp", "humidity", "wind", "pet_raw", "vpd_raw"]
 
 
-@register("x1_severity_shift", "select feature, " + qs(["safe_mean", "ext_mean", "edge"]) + ", " + q("(ext_mean - safe_mean)/(abs(safe_mean) + 1e-5)*100", "shift_pct") + ", coalesce(abs((ext_mean - safe_mean)/(abs(safe_mean) + 1e-5)*100) > 40, false) as flag from ("
-          + " union all ".join(f"select '{c}' as feature, avg(case when score = 0 then {c} end) as safe_mean, avg(case when score > 3.5 then {c} end) as ext_mean, quantile_cont({c}, {0.1 if c in ('prec', 'humidity') else 0.9}) filter (where score > 3.5) as edge from raw_train" for c in RAWF) + ")")
+@register("x1_severity_shift", "select feature, safe_days, ext_days, " + qs(["safe_mean", "ext_mean", "edge"]) + ", " + q("(ext_mean - safe_mean)/(abs(safe_mean) + 1e-5)*100", "shift_pct") + ", coalesce(abs((ext_mean - safe_mean)/(abs(safe_mean) + 1e-5)*100) > 40, false) as flag from ("
+          + " union all ".join(f"select '{c}' as feature, count(*) filter (where score = 0) as safe_days, count(*) filter (where score > 3.5) as ext_days, avg(case when score = 0 then {c} end) as safe_mean, avg(case when score > 3.5 then {c} end) as ext_mean, quantile_cont({c}, {0.1 if c in ('prec', 'humidity') else 0.9}) filter (where score > 3.5) as edge from raw_train" for c in RAWF) + ")")
 def _(spark, sf):
     return explore.severity_shift(src.train(spark, sf))
 
@@ -852,9 +853,9 @@ def _(spark, sf):
 
 
 @register("x4_panel_audit", " union all ".join(
-    f"select '{c}' as cohort, cast(sum(n) as bigint) as rows, count(*) as regions, min(n) as weeks_min, max(n) as weeks_max, {q('avg(n)', 'weeks_mean')}, cast(37 as bigint) as present, cast(37 as bigint) as expected from (select region_id, count(*) as n from e_{c} group by region_id)" for c in ("train", "test")))
+    f"select '{c}' as cohort, cast(sum(n) as bigint) as rows, count(*) as regions, min(n) as weeks_min, max(n) as weeks_max, {q('avg(n)', 'weeks_mean')}, cast({36 if c == 'test' else 37} as bigint) as present, cast(37 as bigint) as expected, '{'tmp_max' if c == 'test' else ''}' as missing from (select region_id, count(*) as n from e_{c} group by region_id)" for c in ("train", "test")))
 def _(spark, sf):
-    return explore.panel_audit(_tr(spark, sf), _te(spark, sf))
+    return explore.panel_audit(_tr(spark, sf), _te(spark, sf).drop("tmp_max"))
 
 
 @register("x4_audit_nulls", each("select '@' as \"column\", count(*) - count(@) as nulls from e_train", PROFILE_FEATURES + ["score"], " union all "))
@@ -884,17 +885,15 @@ def _(spark, sf):
     return dist.empirical_cdf(ranks.long_form(_tr(spark, sf), ["score", "surf_pre", "surf_pre_week_max"]))
 
 
-@register("x8_feature_shift", "select feature, " + qs(["tr_mean", "te_mean", "tr_p99", "te_p99", "ratio"]) + ", " + q("pct", "p99_pct") + ", cast(case when pct > 15 then 2 when pct > 8 then 1 else 0 end as bigint) as danger from (select *, greatest(least(te_mean/(tr_mean + 1e-9), 1e5), -1e5) as ratio, (te_p99 - tr_p99)/(abs(tr_p99) + 1e-9)*100 as pct from ("
+@register("x8_feature_shift", "select feature, " + qs(["tr_mean", "te_mean", "tr_p99", "te_p99", "ratio"]) + ", " + q("pct", "p99_pct") + ", cast(case when pct > 15 then 2 when pct > 8 then 1 else 0 end as bigint) as danger from (select *, te_mean/(round(tr_mean, 12) + 1e-9) as ratio, (te_p99 - tr_p99)/(abs(tr_p99) + 1e-9)*100 as pct from ("
           + " union all ".join(f"select '{c}' as feature, (select avg({c}) from e_train) as tr_mean, (select avg({c}) from e_test) as te_mean, (select quantile_cont(cast({c} as double), 0.99) from e_train) as tr_p99, (select quantile_cont(cast({c} as double), 0.99) from e_test) as te_p99" for c in COMPARED_FEATURES) + "))")
 def _(spark, sf):
-    # The train mean of the anomaly is 0 up to the order of summation, so its ratio is held at a bound.
-    return explore.feature_shift(_tr(spark, sf), _te(spark, sf)).withColumn(
-        "ratio", F.greatest(F.least("ratio", F.lit(1e5)), F.lit(-1e5)))
+    return explore.feature_shift(_tr(spark, sf), _te(spark, sf))
 
 
-@register("x9_feature_density", " union all ".join("select '" + c + "' as cohort, * from (" + _density_sql(long(f"e_{c}", DENSITY_FEATURES), "min(value) - (max(value)-min(value))/2.0", "max(value) + (max(value)-min(value))/2.0", "0.3*stddev_samp(value)", 41) + ")" for c in ("train", "test")), 6)
+@register("x9_feature_density", " union all ".join("select '" + c + "' as cohort, * from (" + _density_sql(long(f"e_{c}", DENSITY_FEATURES), "min(value) - (max(value)-min(value))/2.0", "max(value) + (max(value)-min(value))/2.0", "0.3*stddev_samp(value)", 1000) + ")" for c in ("train", "test")), 6)
 def _(spark, sf):
-    a, b = (dist.density(ranks.long_form(df, DENSITY_FEATURES), 41, factor=0.3).withColumn("cohort", F.lit(n))
+    a, b = (dist.density(ranks.long_form(df, DENSITY_FEATURES), 1000, factor=0.3).withColumn("cohort", F.lit(n))
             for n, df in (("train", _tr(spark, sf)), ("test", _te(spark, sf))))
     return a.unionByName(b)
 
@@ -943,9 +942,18 @@ def _(spark, sf):
     return explore.spearman_with_score(_even(_tr(spark, sf), DROUGHT_FEATURES)).select("feature", "r")
 
 
-@register("x11_spearman_significance")
+def _log10_p_sql(r, n):
+    z = f"((8*({n}-2)+1.0)/(8*({n}-2)+3.0)*sqrt(({n}-2)*ln(1 + {r}*{r}/(1-{r}*{r})))/sqrt(2.0))"
+    poly = "0.0"
+    for c in reversed(explore.ERFC):
+        poly = f"({poly}*t + ({c}))"
+    return f"(select (ln(t) - x*x + {poly})/ln(10.0) from (select x, 2/(2 + x) as t from (select {z} as x)))"
+
+
+@register("x11_spearman_significance", "select feature, n, " + qs(["r", "log10_p"], 3) + ", case when log10_p < -3 then '***' when log10_p < -2 then '**' when log10_p < log10(0.05) then '*' else '' end as stars from (select *, "
+          + _log10_p_sql("r", "n") + " as log10_p from (select p.feature, p.r, n from (select count(*) as n, unnest([" + ", ".join(f"{{'feature': '{c}', 'r': corr({c}, score)}}" for c in DROUGHT_FEATURES) + "]) as p from (" + _ranked_sql(DROUGHT_FEATURES + ["score"]) + "))))", 3)
 def _(spark, sf):
-    return explore.spearman_with_score(_tr(spark, sf))
+    return explore.spearman_with_score(_even(_tr(spark, sf), DROUGHT_FEATURES)).drop("p_value")
 
 
 def _scored(spark, sf):
@@ -957,9 +965,18 @@ def _(spark, sf):
     return explore.correlation_matrix(_scored(spark, sf), CORR)
 
 
+def _spearman(spark, sf):
+    return explore.spearman_matrix(_even(_scored(spark, sf), CORR), CORR, WEEK)
+
+
 @register("x12_spearman_matrix", _matrix_sql(_ranked_sql(CORR), CORR), 6)
 def _(spark, sf):
-    return explore.spearman_matrix(_even(_scored(spark, sf), CORR), CORR, WEEK)
+    return _spearman(spark, sf)
+
+
+@register("x13_score_ranking_spearman", "select p.feature, " + q("p.r", "r", 6) + " from (select unnest([" + ", ".join(f"{{'feature': '{c}', 'r': corr({c}, score)}}" for c in PROFILE_FEATURES) + "]) as p from (" + _ranked_sql(CORR) + "))", 6)
+def _(spark, sf):
+    return explore.score_ranking(src.stored(spark, sf, "spearman", lambda: stage(_spearman(spark, sf), "spearman")))
 
 
 @register("x13_score_ranking", "select p.feature, " + q("p.r", "r", 6) + " from (select unnest([" + ", ".join(f"{{'feature': '{c}', 'r': corr({c}, score)}}" for c in PROFILE_FEATURES) + "]) as p from e_train where score is not null)", 6)
@@ -1085,9 +1102,12 @@ def _(spark, sf):
     r, w = F.col("region_id"), F.col("week_idx")
     order = ((r * 1009 + w * 9176) % 1000003) * 1000000000 + r * 1000 + w
     df = _scored(spark, sf).select(*WEEK, (F.col("score") > 0).cast("long").alias("label"))
-    return explore.stratified_folds(df, order, 3, bucket=F.floor(order / F.lit(10 ** 12)))
+    return explore.stratified_folds(df, order, 3)
+
+
+SAMPLE_ORDER = "(region_id*1009 + week_idx*9176) % 1000003"
 
 
-@register("q_seeded_sample")
+@register("q_seeded_sample", f"select region_id, week_idx, {qs(['tmp', 'score'])} from e_train order by {SAMPLE_ORDER}, region_id, week_idx limit 2000")
 def _(spark, sf):
-    return explore.seeded_sample(_tr(spark, sf).select(*WEEK, "tmp", "score"), 2000, WEEK)
+    return explore.seeded_sample(_tr(spark, sf).select(*WEEK, "tmp", "score"), 2000, WEEK, order=F.expr(SAMPLE_ORDER))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import PERCENTS, SHARE_BINS
 from ..functions.scalars import in_bin
-from .ranks import cut_table, cumulative_counts, quantiles, value_counts
+from .ranks import cumulative_counts, place, placed_quantiles, quantiles
 
 
 def submission_values(wide: DataFrame, model: str) -> DataFrame:
@@ -36,32 +39,44 @@ def share_table(long: DataFrame) -> DataFrame:
 
 
 def density(
-    long: DataFrame, points: int = 41, low: float | None = None, high: float | None = None,
+    long: DataFrame, points: int = 200, low: float | None = None, high: float | None = None,
     factor: float | None = None, scott: float = 0.5,
 ) -> DataFrame:
     """Gaussian kernel density (grp, x, density) on an even grid.
 
     Bandwidth is ``factor`` times the sample sd or, without one, ``scott`` times Scott's rule. The
-    grid spans [low, high], by default the data range widened by half of it on either side.
+    grid spans [low, high], by default the data range widened by half of it on either side. Each task
+    adds up the kernels of its values on the whole grid and hands on one row per group and point.
     """
-    counts = value_counts(long)
-    n, sd = F.sum("cnt"), F.stddev_samp("value")
     half = (F.max("value") - F.min("value")) / 2.0
-    stats = long.groupBy("grp").agg(
-        F.count(F.lit(1)).cast("double").alias("_n"), sd.alias("_sd"),
-        (F.lit(float(low)) if low is not None else F.min("value") - half).alias("_lo"),
-        (F.lit(float(high)) if high is not None else F.max("value") + half).alias("_hi"))
-    width = F.col("_sd") * (F.lit(factor) if factor is not None else scott * F.pow("_n", F.lit(-0.2)))
+    sd = F.stddev_samp("value")
+    width = sd * (F.lit(factor) if factor is not None else scott * F.pow(F.count(F.lit(1)).cast("double"), F.lit(-0.2)))
     # One row per group; groups are columns or models.
-    stats = stats.withColumn("_h", width)
-    x = F.col("_lo") + F.col("j") * (F.col("_hi") - F.col("_lo")) / F.lit(float(points - 1))
-    u = (x - F.col("value")) / F.col("_h")
-    kernel = F.col("cnt") * F.exp(-0.5 * u * u) / (F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi)))
-    return (
-        counts.join(F.broadcast(stats), "grp")
-        .withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .groupBy("grp", "j").agg(F.max(x).alias("x"), F.sum(kernel).alias("density"))
-    )
+    stats = {r["grp"]: r for r in long.groupBy("grp").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), width.alias("h"),
+        (F.lit(float(low)) if low is not None else F.min("value") - half).alias("lo"),
+        (F.lit(float(high)) if high is not None else F.max("value") + half).alias("hi")).collect()}
+    grids = {g: r["lo"] + np.arange(points) * (r["hi"] - r["lo"]) / (points - 1) for g, r in stats.items()}
+    widths = {g: r["h"] or float("nan") for g, r in stats.items()}
+
+    def kernels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = {}
+        for batch in batches:
+            for g, values in batch.groupby("grp")["value"]:
+                v, grid = values.to_numpy(), grids[g]
+                for at in range(0, len(v), 1024):
+                    u = (grid - v[at:at + 1024, None]) / widths[g]
+                    total[g] = total.get(g, 0.0) + np.exp(-0.5 * u * u).sum(0)
+        for g, sums in total.items():
+            yield pd.DataFrame({"grp": g, "j": np.arange(points), "part": sums})
+
+    parts = long.select("grp", "value").mapInPandas(kernels, "grp string, j int, part double")
+    scale = long.sparkSession.createDataFrame(
+        [(g, float(r["lo"]), float(r["hi"]), r["h"] and r["n"] * r["h"] * math.sqrt(2 * math.pi)) for g, r in stats.items()],
+        "grp string, lo double, hi double, scale double")
+    x = F.col("lo") + F.col("j") * (F.col("hi") - F.col("lo")) / F.lit(float(points - 1))
+    sums = parts.groupBy("grp", "j").agg(F.sum("part").alias("part"))
+    return sums.join(F.broadcast(scale), "grp").select("grp", "j", x.alias("x"), (F.col("part") / F.col("scale")).alias("density"))
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
@@ -108,13 +123,13 @@ def empirical_cdf(long: DataFrame) -> DataFrame:
 
 def box_stats(long: DataFrame) -> DataFrame:
     """Quartiles, whiskers (the outermost points within 1.5 IQR) and outlier counts per group."""
-    cuts = cut_table(long)
-    q = quantiles(long, [0.25, 0.5, 0.75], cuts)
+    placed = place(long)
+    q = placed_quantiles(placed, [0.25, 0.5, 0.75])
     at = lambda p: F.max(F.when(F.col("prob") == p, F.col("quantile")))
     # One row per group; groups are columns or clusters.
     box = q.groupBy("grp").agg(at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"))
     v, iqr = F.col("value"), F.col("q3") - F.col("q1")
     inside = (v >= F.col("q1") - 1.5 * iqr) & (v <= F.col("q3") + 1.5 * iqr)
-    return long.join(F.broadcast(box), "grp").groupBy("grp", "q1", "median", "q3").agg(
+    return placed.rows.join(F.broadcast(box), "grp").groupBy("grp", "q1", "median", "q3").agg(
         F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
         F.count(F.when(~inside, 1)).alias("outliers"), F.count(F.lit(1)).alias("n"))

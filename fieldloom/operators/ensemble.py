@@ -98,6 +98,8 @@ def wide_forecast(long: DataFrame, horizon: int = HORIZON) -> DataFrame:
     return wide.select(KEY, *[F.col(str(h)).alias(f"pred_week{h}") for h in weeks])
 
 
-def forecast_summary(long: DataFrame) -> DataFrame:
-    return long.agg(F.avg("pred").alias("mean_pred"),
-                    F.avg((F.col("pred") == 0).cast("double")).alias("zero_share"))
+def forecast_summary(merged: DataFrame, long: DataFrame) -> DataFrame:
+    """Mean severity and probability before the gate, mean and exact-zero share after it."""
+    after = long.agg(F.avg("pred").alias("mean_pred"), F.avg((F.col("pred") == 0).cast("double")).alias("zero_share"))
+    before = merged.agg(F.struct(F.avg("severity").alias("s"), F.avg("prob").alias("p"))).scalar()
+    return after.select(before["s"].alias("mean_severity"), before["p"].alias("mean_prob"), "mean_pred", "zero_share")

@@ -38,20 +38,23 @@ def with_proxies(daily: DataFrame) -> DataFrame:
 
 
 def severity_shift(train: DataFrame) -> DataFrame:
-    """Safe against extreme days: means, the extreme edge and the relative shift."""
+    """Safe against extreme days: cohort sizes, means, the extreme edge and the relative shift."""
     df = with_proxies(train)
     feats = present(["prec", "tmp", "humidity", "wind", "pet_raw", "vpd_raw"], df)
     safe, ext = F.col("score") == 0, F.col("score") > 3.5
     wide = df.agg(
+        F.count(F.when(safe, 1)).alias("safe_days"), F.count(F.when(ext, 1)).alias("ext_days"),
         *[F.avg(F.when(safe, F.col(c))).alias(f"s{i}") for i, c in enumerate(feats)],
         *[F.avg(F.when(ext, F.col(c))).alias(f"e{i}") for i, c in enumerate(feats)])
-    means = _wide_to_rows(wide, feats, {"safe_mean": "s", "ext_mean": "e"})
+    means = wide.select("safe_days", "ext_days", _rows(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"s{i}").alias("safe_mean"), F.col(f"e{i}").alias("ext_mean"))
+        for i, c in enumerate(feats)]))
     low_side = F.col("grp").isin("prec", "humidity")
     edges = quantiles(long_form(df.filter(ext), feats), [0.1, 0.9]).filter(
         F.when(low_side, F.col("prob") < 0.5).otherwise(F.col("prob") > 0.5))
     shift = (F.col("ext_mean") - F.col("safe_mean")) / (F.abs("safe_mean") + 1e-5) * 100
     return means.join(edges.select(F.col("grp").alias("feature"), F.col("quantile").alias("edge")), "feature", "left").select(
-        "feature", "safe_mean", "ext_mean", "edge", shift.alias("shift_pct"),
+        "feature", "safe_mean", "ext_mean", "safe_days", "ext_days", "edge", shift.alias("shift_pct"),
         F.coalesce(F.abs(shift) > 40, F.lit(False)).alias("flag"))
 
 
@@ -83,7 +86,7 @@ def hot_and_dry(train: DataFrame, test: DataFrame) -> DataFrame:
 # --- weekly panel ------------------------------------------------------------------
 
 def panel_audit(train: DataFrame, test: DataFrame, expected: list[str] = PROFILE_FEATURES) -> DataFrame:
-    """Shape, feature coverage and weeks per region of both cohorts."""
+    """Shape, feature coverage (with the names of missing ones) and weeks per region of both cohorts."""
     parts = []
     for name, df in (("train", train), ("test", test)):
         per = df.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
@@ -91,7 +94,8 @@ def panel_audit(train: DataFrame, test: DataFrame, expected: list[str] = PROFILE
             F.sum("n").cast("long").alias("rows"), F.count(F.lit(1)).alias("regions"), F.min("n").alias("weeks_min"),
             F.max("n").alias("weeks_max"), F.avg("n").alias("weeks_mean")).select(
             F.lit(name).alias("cohort"), "*", F.lit(len(present(expected, df))).cast("long").alias("present"),
-            F.lit(len(expected)).cast("long").alias("expected")))
+            F.lit(len(expected)).cast("long").alias("expected"),
+            F.lit(",".join(c for c in expected if c not in df.columns)).alias("missing")))
     return parts[0].unionByName(parts[1])
 
 
@@ -123,7 +127,8 @@ def feature_shift(train: DataFrame, test: DataFrame, cols: list[str] = COMPARED_
         sides.append(_wide_to_rows(wide, cols, {f"{p}_mean": "m"}).join(F.broadcast(tops), "feature", "left"))
     both = sides[0].join(F.broadcast(sides[1]), "feature")
     pct = (F.col("te_p99") - F.col("tr_p99")) / (F.abs("tr_p99") + 1e-9) * 100
-    return both.withColumn("ratio", F.col("te_mean") / (F.col("tr_mean") + 1e-9)).withColumn("p99_pct", pct).withColumn(
+    # A mean that is 0 but for the order of summation counts as 0.
+    return both.withColumn("ratio", F.col("te_mean") / (F.round("tr_mean", 12) + 1e-9)).withColumn("p99_pct", pct).withColumn(
         "danger", F.when(pct > 15, 2).when(pct > 8, 1).otherwise(0))
 
 
@@ -185,36 +190,51 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def rank_columns(df: DataFrame, cols: list[str], ids: list[str]) -> DataFrame:
     """``cols`` replaced by their average ranks; rows must be complete."""
-    ranked = average_ranks(long_form(df, cols, ids), ids)
-    return ranked.groupBy(*ids).agg(*[F.max(F.when(F.col("grp") == c, F.col("rank"))).alias(c) for c in cols])
+    ranked = average_ranks(long_form(df, cols, ids), ids).select(*ids, "grp", "rank")
+    by_name = F.map_from_entries(F.collect_list(F.struct("grp", "rank")))
+    return ranked.groupBy(*ids).agg(by_name.alias("_r")).select(*ids, *[F.col("_r")[c].alias(c) for c in cols])
 
 
 def spearman_matrix(df: DataFrame, cols: list[str], ids: list[str]) -> DataFrame:
     return correlation_matrix(rank_columns(df, cols, ids), cols)
 
 
-def spearman_with_score(weekly: DataFrame, cols: list[str] = DROUGHT_FEATURES) -> DataFrame:
-    """Rank correlation of each feature with the score, by magnitude, with significance stars.
+#: Coefficients of log(erfc(x) / t) + x^2 in t = 2 / (2 + x), fractional error below 1.2e-7.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587,
+        -0.82215223, 0.17087277)
+
+
+def log_p_value(r: Column, n: Column) -> Column:
+    """Natural log of the two-sided p-value of a correlation ``r`` over ``n`` rows.
 
-    The p-value is the normal tail of t (at these sample sizes t is normal to all shown digits),
-    by the rational approximation of erfc with error below 1.5e-7.
+    t has n - 2 degrees of freedom and is turned into a normal deviate (Wallace); logs keep very small values.
     """
+    free = n - 2
+    t2 = free * r * r / (1 - r * r)
+    z = (8 * free + 1) / (8 * free + 3) * F.sqrt(free * F.log1p(t2 / free))
+    x = z / F.sqrt(F.lit(2.0))
+    t = 2 / (2 + x)
+    poly = F.lit(0.0)
+    for c in reversed(ERFC):
+        poly = poly * t + c
+    return F.log(t) - x * x + poly
+
+
+def spearman_with_score(weekly: DataFrame, cols: list[str] = DROUGHT_FEATURES) -> DataFrame:
+    """Rank correlation of each feature with the score, by magnitude, with p-value and significance stars."""
     ids = [KEY, "week_idx"]
     cols = present(cols, weekly)
     whole = weekly.dropna(subset=cols + ["score"])
     ranked = rank_columns(whole, cols + ["score"], ids)
     wide = ranked.agg(F.count(F.lit(1)).alias("n"), *[F.corr(c, "score").alias(f"r{i}") for i, c in enumerate(cols)])
-    r = F.col("r")
     out = wide.select("n", _rows(*[F.struct(F.lit(c).alias("feature"), F.col(f"r{i}").alias("r")) for i, c in enumerate(cols)]))
-    t = F.abs(r) * F.sqrt((F.col("n") - 2) / (1 - r * r))
-    out = out.withColumn("t", F.when(F.abs(r) < 1, t))
-    z = F.col("t") / F.sqrt(F.lit(2.0))
-    u = 1 / (1 + 0.3275911 * z)  # fixed values: rational approximation of erfc
-    poly = u * (0.254829592 + u * (-0.284496736 + u * (1.421413741 + u * (-1.453152027 + u * 1.061405429))))
-    out = out.withColumn("p_value", F.coalesce(poly * F.exp(-z * z), F.when(F.abs(r) >= 1, F.lit(0.0))))
+    r = F.col("r")
+    log_p = F.when((F.abs(r) < 1) & (F.col("n") > 2), log_p_value(r, F.col("n")))
+    out = out.withColumn("log10_p", log_p / F.log(F.lit(10.0)))
+    out = out.withColumn("p_value", F.when(F.abs(r) >= 1, F.lit(0.0)).otherwise(F.exp(log_p)))
     p = F.col("p_value")
     stars = F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
-    return out.select("feature", "r", "p_value", stars.alias("stars")).orderBy(F.desc(F.abs(r)))
+    return out.select("feature", "n", "r", "p_value", "log10_p", stars.alias("stars")).orderBy(F.desc(F.abs(r)))
 
 
 def score_ranking(matrix: DataFrame) -> DataFrame:
@@ -298,18 +318,58 @@ def cluster_pairs(assigned: DataFrame) -> DataFrame:
 
 # --- sampling and folds --------------------------------------------------------------
 
-def seeded_sample(df: DataFrame, n: int, ids: list[str], seed: int = 42) -> DataFrame:
-    """``n`` rows, the same ones whenever ids and seed are the same."""
-    return df.orderBy(F.xxhash64(*ids, F.lit(seed)), *ids).limit(n)
+SAMPLE_BUCKETS = 65_536
+
 
+def hash_order(ids: list[str], seed: int) -> Column:
+    return F.xxhash64(*ids, F.lit(seed))
 
-def stratified_folds(df: DataFrame, order: Column, k: int = 3, bucket: Column | None = None) -> DataFrame:
-    """Deal the rows of each label out to ``k`` folds in the order of ``order``.
 
-    ``bucket`` must not decrease along ``order``; rows are numbered within (label, bucket) and
-    continue where the earlier buckets of the label stop, so no label is gathered in one task.
+def seeded_sample(df: DataFrame, n: int, ids: list[str], seed: int = 42, order: Column | None = None) -> DataFrame:
+    """The ``n`` rows of least ``order`` (a long, by default a hash of the ids); the same ones every time.
+
+    Counts of the leading parts of ``order`` give the part in which the n-th row lies. Rows of lower
+    parts are taken where they are and only that part, which is cut again while it is large, is sorted.
+    """
+    rows = df.withColumn("_o", hash_order(ids, seed) if order is None else order)
+    ends = rows.agg(F.min("_o").alias("lo"), F.max("_o").alias("hi")).first()
+    if ends["lo"] is None or n <= 0:
+        return df.limit(0)
+    lo, hi, taken, left = ends["lo"], ends["hi"], None, n
+    while True:
+        width = max(1, -(-(hi - lo + 1) // SAMPLE_BUCKETS))
+        inside = rows.filter((F.col("_o") >= lo) & (F.col("_o") <= hi))
+        part = F.floor((F.col("_o").cast("decimal(38,0)") - F.lit(lo).cast("decimal(38,0)")) / F.lit(width).cast("decimal(38,0)")).cast("long")
+        counts = inside.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+        border = None
+        for r in counts:  # at most SAMPLE_BUCKETS numbers
+            if r["n"] > left:
+                border = r
+                break
+            left -= r["n"]
+        if border is None:
+            taken = F.col("_o") <= hi
+            return rows.filter(taken).drop("_o")
+        lo = lo + border["part"] * width
+        hi = min(hi, lo + width - 1)
+        if border["n"] <= SAMPLE_BUCKETS or width == 1:
+            edge = rows.filter((F.col("_o") >= lo) & (F.col("_o") <= hi)).orderBy("_o", *ids).limit(left)
+            return rows.filter(F.col("_o") < lo).unionByName(edge).drop("_o")
+
+
+FOLD_BUCKET_ROWS = 100_000
+
+
+def stratified_folds(df: DataFrame, order: Column, k: int = 3) -> DataFrame:
+    """Deal the rows of each label out to ``k`` folds in the order of ``order``, a long.
+
+    Rows are numbered within even ranges of ``order``, as many as keep one near ``FOLD_BUCKET_ROWS`` rows
+    if the order is hash-like, and continue where the earlier ranges of the label stop.
     """
     rows = df.withColumn("_order", order)
-    block = F.floor(F.col("_order") / 1000) if bucket is None else bucket
+    ends = rows.agg(F.min("_order").alias("lo"), F.max("_order").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    parts = max(1, -(-ends["n"] // FOLD_BUCKET_ROWS))
+    lo, width = ends["lo"] or 0, max(1, -(-((ends["hi"] or 0) - (ends["lo"] or 0) + 1) // parts))
+    block = F.floor((F.col("_order").cast("decimal(38,0)") - F.lit(lo).cast("decimal(38,0)")) / F.lit(width).cast("decimal(38,0)")).cast("long")
     dealt = dense_position(rows, ["_order"], block, out="_pos", key="label")
     return dealt.select(*df.columns, (F.col("_pos") % k).cast("int").alias("fold"))

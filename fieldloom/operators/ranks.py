@@ -1,18 +1,23 @@
 """Exact ranks, quantiles and rank statistics without one global sort.
 
-Values are cut at approximate quantiles of their group into buckets whose exact sizes are counted.
-A value that equals a cut gets a bucket of its own, so a heavy value (every value with a noticeable
-share of the rows is a cut) is ranked from its count alone; the values between two cuts are few
-enough for one task. The cuts only balance the work: whatever they are, ranks are exact.
+Values are cut at approximate quantiles of their group into buckets whose exact sizes are counted. A
+bucket with more than ``ROWS_PER_BUCKET`` rows is cut again, at quantiles of its own, until none is left, so the
+number of buckets grows with the rows. A value that equals a cut gets a bucket of its own; a heavy value (every
+value with a noticeable share of a bucket is a cut) is ranked from its count alone and never sorted.
+
+The placed rows are stored, so bucket counts and contents come from the same values even if the input is
+a plan whose averages differ in the last bit between two evaluations. The cuts only balance the work.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..session import stage
 
-MAX_CUTS = 4096
+CUTS = 256
 ROWS_PER_BUCKET = 500_000
 SALTS = 65_536
 
@@ -24,71 +29,82 @@ def long_form(df: DataFrame, cols: list[str], ids: list[str] = ()) -> DataFrame:
 
 
 @dataclass
-class Cuts:
-    """Sorted cuts per group as a small table (grp, gid, cuts) and the steps of a search in them."""
+class Placed:
+    """Stored rows with ``gid`` and ``bucket``, and the bucket sizes (gid, bucket, n, before, total).
 
-    table: DataFrame
-    steps: int
+    A bucket is the list of its numbers on each level; lists sort like the values. An odd last
+    number marks the bucket of a single value.
+    """
 
+    rows: DataFrame
+    sizes: DataFrame
 
-def cut_table(long: DataFrame) -> Cuts:
-    """Cuts that divide each group evenly, the more the larger the biggest group is.
 
-    The number of groups is the number of compared columns or tables and each has at most
-    ``MAX_CUTS`` cuts, so this is small whatever the data; it is fixed here, as literals, because
-    bucket counts and bucket contents must be based on the same cuts.
-    """
-    biggest = long.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
-    wanted = min(MAX_CUTS, max(16, biggest // ROWS_PER_BUCKET))
-    probs = [i / wanted for i in range(1, wanted)]
-    found = long.groupBy("grp").agg(F.percentile_approx("value", probs, 20 * wanted)).collect()
-    rows = [(grp, i, sorted(set(q))) for i, (grp, q) in enumerate(found)]
-    table = long.sparkSession.createDataFrame(rows, "grp string, gid int, cuts array<double>")
-    return Cuts(table, max((len(r[2]) for r in rows), default=0).bit_length())
+def _cuts() -> Column:
+    probs = [i / CUTS for i in range(1, CUTS)]
+    return F.sort_array(F.array_distinct(F.percentile_approx("value", probs, 20 * CUTS)))
 
 
-def bucketed(long: DataFrame, cuts: Cuts) -> DataFrame:
-    """Add ``gid`` and ``bucket``: 2k for values between cuts k-1 and k, 2k+1 for those equal to cut k.
+def _bucket_in(cuts: Column, value: Column, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_b``: 2k for values between cuts k-1 and k, 2k+1 for those equal to cut k.
 
     k, the number of cuts below the value, is found by halving steps written out as one column
     each, which stay inside generated code.
     """
-    v = F.col("value")
-    out = long.join(F.broadcast(cuts.table), "grp").withColumn("_k", F.lit(0))
-    for step in (2 ** i for i in reversed(range(cuts.steps))):
-        below = F.get("cuts", F.col("_k") + (step - 1)) < v
+    out = rows.withColumn("_k", F.lit(0))
+    for step in (2 ** i for i in reversed(range(CUTS.bit_length()))):
+        below = F.get(cuts, F.col("_k") + (step - 1)) < value
         out = out.withColumn("_k", F.col("_k") + F.when(below, step).otherwise(0))
-    hit = F.coalesce(F.get("cuts", F.col("_k")) == v, F.lit(False)).cast("int")
-    return out.withColumn("bucket", 2 * F.col("_k") + hit).drop("cuts", "_k")
+    hit = F.coalesce(F.get(cuts, F.col("_k")) == value, F.lit(False)).cast("int")
+    return out.withColumn("_b", 2 * F.col("_k") + hit).drop("_k")
+
 
+def _single() -> Column:
+    return F.element_at("bucket", -1) % 2 == 1
 
-def bucket_sizes(rows: DataFrame, weight: str | None = None) -> DataFrame:
-    """(gid, bucket, n, before, total): at most a few thousand rows per group."""
-    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    sizes = rows.groupBy("gid", "bucket").agg(size.alias("n"))
+
+def place(long: DataFrame, weight: str | None = None) -> Placed:
+    """Deal the values of each ``grp`` into buckets; sizes count rows, or add up ``weight``.
+
+    There is one group per compared column, table or cluster, so the first cuts are a small table.
+    Later cuts are joined by bucket; their number grows with the rows and Spark picks the join.
+    """
+    groups = stage(long.groupBy("grp").agg(_cuts().alias("_cuts")).withColumn(
+        "gid", F.monotonically_increasing_id()), "rank-groups")
+    first = _bucket_in(F.col("_cuts"), F.col("value"), long.join(F.broadcast(groups), "grp")).drop("_cuts")
+    rows = stage(first.withColumn("bucket", F.array("_b")).drop("_b"), "rank-rows")
+    while True:
+        counts = stage(rows.groupBy("gid", "bucket").agg(F.count(F.lit(1)).alias("_rows")), "rank-counts")
+        large = counts.filter((F.col("_rows") > ROWS_PER_BUCKET) & ~_single()).select("gid", "bucket")
+        if not large.limit(1).count():
+            break
+        own = rows.join(large, ["gid", "bucket"]).groupBy("gid", "bucket").agg(_cuts().alias("_cuts"))
+        joined = rows.join(stage(own, "rank-cuts"), ["gid", "bucket"], "left")
+        placed = _bucket_in(F.col("_cuts"), F.col("value"), joined)
+        deeper = F.when(F.col("_cuts").isNull(), F.col("bucket")).otherwise(F.concat("bucket", F.array("_b")))
+        rows = stage(placed.withColumn("bucket", deeper).drop("_cuts", "_b"), "rank-rows")
+    sizes = counts.withColumnRenamed("_rows", "n") if weight is None else rows.groupBy("gid", "bucket").agg(F.sum(weight).alias("n"))
     by_bucket = Window.partitionBy("gid").orderBy("bucket")
     earlier = F.sum("n").over(by_bucket.rowsBetween(Window.unboundedPreceding, -1))
-    return sizes.select(
+    return Placed(rows, stage(sizes.select(
         "gid", "bucket", "n", F.coalesce(earlier, F.lit(0)).alias("before"),
-        F.sum("n").over(Window.partitionBy("gid")).alias("total"))
+        F.sum("n").over(Window.partitionBy("gid")).alias("total")), "rank-sizes"))
 
 
-def average_ranks(long: DataFrame, row: list[str], cuts: Cuts | None = None) -> DataFrame:
+def average_ranks(long: DataFrame, row: list[str]) -> DataFrame:
     """Add ``rank`` (ties share their mean rank) within ``grp``.
 
-    ``row`` names the columns that identify a row; they only spread heavy values over tasks. Values
-    must not change when recomputed, so start from a stored table.
+    ``row`` names the columns that identify a row; they only spread heavy values over tasks.
     """
-    rows = bucketed(long, cut_table(long) if cuts is None else cuts)
-    sizes = bucket_sizes(rows)
-    single = F.col("bucket") % 2 == 1
+    placed = place(long)
+    single = _single()
     spot = F.when(single, F.pmod(F.xxhash64(*row), F.lit(SALTS))).otherwise(F.lit(0))
     w = Window.partitionBy("gid", "bucket", "_spot").orderBy("value")
     up_to = F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = rows.withColumn("_spot", spot).withColumn("_lo", F.rank().over(w)).withColumn("_hi", up_to)
+    ranked = placed.rows.withColumn("_spot", spot).withColumn("_lo", F.rank().over(w)).withColumn("_hi", up_to)
     inside = F.when(single, (F.col("n") + 1) / 2.0).otherwise((F.col("_lo") + F.col("_hi")) / 2.0)
     return (
-        placed.join(F.broadcast(sizes), ["gid", "bucket"])
+        ranked.join(placed.sizes, ["gid", "bucket"])
         .withColumn("rank", F.col("before") + inside)
         .drop("_spot", "_lo", "_hi", "n", "before", "total", "bucket", "gid")
     )
@@ -98,34 +114,36 @@ def value_counts(long: DataFrame) -> DataFrame:
     return long.groupBy("grp", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def cumulative_counts(long: DataFrame, cuts: Cuts | None = None) -> DataFrame:
+def cumulative_counts(long: DataFrame) -> DataFrame:
     """(grp, value, cnt, before, total): how many rows of the group lie strictly below."""
-    rows = bucketed(value_counts(long), cut_table(long) if cuts is None else cuts)
-    sizes = bucket_sizes(rows, weight="cnt")
+    placed = place(value_counts(long), weight="cnt")
     w = Window.partitionBy("gid", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        rows.withColumn("_in", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
-        .join(F.broadcast(sizes), ["gid", "bucket"])
+        placed.rows.withColumn("_in", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
+        .join(placed.sizes, ["gid", "bucket"])
         .select("grp", "value", "cnt", (F.col("before") + F.col("_in")).alias("before"), "total")
     )
 
 
-def quantiles(long: DataFrame, probs: list[float], cuts: Cuts | None = None) -> DataFrame:
+def quantiles(long: DataFrame, probs: list[float]) -> DataFrame:
     """(grp, prob, quantile): exact, linear between neighbouring order statistics.
 
     Only the buckets that hold a wanted rank are sorted.
     """
-    rows = bucketed(long, cut_table(long) if cuts is None else cuts)
-    sizes = bucket_sizes(rows)
+    return placed_quantiles(place(long), probs)
+
+
+def placed_quantiles(placed: Placed, probs: list[float]) -> DataFrame:
     wanted = (
-        sizes.select("gid", "bucket", "n", "before", "total", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
+        placed.sizes.select("gid", "bucket", "n", "before", "total", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
         .withColumn("_h", (F.col("total") - 1) * F.col("prob"))
         .withColumn("lo", F.floor("_h")).withColumn("hi", F.ceil("_h"))
         .withColumn("frac", F.col("_h") - F.col("lo"))
         .filter((F.col("before") <= F.col("hi")) & (F.col("lo") < F.col("before") + F.col("n")))
     )
+    # A few ranks per group: at most two buckets for each.
     needed = wanted.select("gid", "bucket").distinct()
-    kept = rows.join(F.broadcast(needed), ["gid", "bucket"], "left_semi")
+    kept = placed.rows.join(F.broadcast(needed), ["gid", "bucket"], "left_semi")
     counts = kept.groupBy("grp", "gid", "bucket", "value").agg(F.count(F.lit(1)).alias("cnt"))
     w = Window.partitionBy("gid", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_in", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
@@ -144,12 +162,11 @@ def auc(scored: DataFrame, label: str = "label", score: str = "score") -> DataFr
                          F.col(label).cast("long").alias("_y"))
     counts = long.groupBy("grp", "value").agg(
         F.count(F.lit(1)).alias("cnt"), F.sum("_y").alias("_pos"))
-    rows = bucketed(counts, cut_table(long))
-    sizes = bucket_sizes(rows, weight="cnt")
+    placed = place(counts, weight="cnt")
     w = Window.partitionBy("gid", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     ranked = (
-        rows.withColumn("_in", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
-        .join(F.broadcast(sizes), ["gid", "bucket"])
+        placed.rows.withColumn("_in", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
+        .join(placed.sizes, ["gid", "bucket"])
         .withColumn("_rank", F.col("before") + F.col("_in") + (F.col("cnt") + 1) / 2.0)
     )
     sums = ranked.agg(F.sum(F.col("_rank") * F.col("_pos")).alias("r"),

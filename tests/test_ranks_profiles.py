@@ -35,6 +35,36 @@ def test_ranks_with_a_heavy_value(spark, skewed, many_buckets):
     assert got.tolist() == pd.Series(skewed).rank().tolist()
 
 
+def test_no_sorted_bucket_is_above_the_limit(spark, skewed, monkeypatch):
+    """Whatever the limit, only buckets of a single value hold more rows, and ranks stay exact."""
+    monkeypatch.setattr(ranks, "ROWS_PER_BUCKET", 3)
+    monkeypatch.setattr(ranks, "CUTS", 7)
+    placed = ranks.place(values(spark, skewed))
+    sizes = placed.sizes.withColumn("single", F.element_at("bucket", -1) % 2 == 1)
+    assert sizes.filter("n > 3 and not single").count() == 0 and sizes.filter("n >= 1000 and single").count() == 1
+    assert sizes.agg(F.max(F.size("bucket"))).first()[0] > 2
+    got = ranks.average_ranks(values(spark, skewed), ["id"]).orderBy("id").toPandas()["rank"]
+    assert got.tolist() == pd.Series(skewed).rank().tolist()
+
+
+def test_sample_and_folds_of_any_order(spark, monkeypatch):
+    df = spark.range(5000).select("id", (F.col("id") % 3).alias("label"), ((F.col("id") * 7919) % 5003).alias("o"))
+    monkeypatch.setattr(explore, "SAMPLE_BUCKETS", 4)
+    got = [r.o for r in explore.seeded_sample(df, 700, ["id"], order=F.col("o")).collect()]
+    assert sorted(got) == sorted(r.o for r in df.collect())[:700]
+    assert explore.seeded_sample(df, 9000, ["id"]).count() == 5000 and explore.seeded_sample(df, 0, ["id"]).count() == 0
+    monkeypatch.setattr(explore, "FOLD_BUCKET_ROWS", 50)
+    rows = explore.stratified_folds(df, F.col("o"), 3).orderBy("label", "o").collect()
+    assert all(r.fold == i % 3 for label in range(3) for i, r in enumerate(x for x in rows if x.label == label))
+
+
+def test_p_values_follow_the_t_distribution(spark):
+    """Two-sided values of t with 58 degrees of freedom, from tables."""
+    df = spark.createDataFrame([(t, (t * t / (58 + t * t)) ** 0.5) for t in (1.0, 1.671553, 2.001717, 2.663287, 3.466329)], "t double, r double")
+    got = [r[0] for r in df.select(F.exp(explore.log_p_value(F.col("r"), F.lit(60)))).collect()]
+    np.testing.assert_allclose(got[1:], [0.1, 0.05, 0.01, 0.001], rtol=5e-3)
+
+
 def test_quantiles_with_a_heavy_value(spark, skewed, many_buckets):
     probs = [0, 0.1, 0.25, 1 / 3, 0.5, 0.9, 0.99, 1]
     got = ranks.quantiles(values(spark, skewed), probs).orderBy("prob").toPandas()["quantile"]
