@@ -42,8 +42,8 @@ def op2_language_id(spark, sf_dir) -> DataFrame:
 def op3_toxicity(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    grammar = toxicity.fit(docs.filter(~F.col("held_out")).join(labels, "doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out())
+    grammar = toxicity.fit(docs, labels)
     scored = toxicity.score(docs, grammar)
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
                          "clause_weight", "clauses")

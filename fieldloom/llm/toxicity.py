@@ -10,7 +10,7 @@ Insult entries are a fixed list and what labelled documents teach: words and ste
 toxic documents hold far more often, by log-likelihood ratio, weighted by their log-odds. A logistic
 curve over the clause weights of the same documents turns the sum into a score.
 
-At most about ``LABELLED`` documents of each label are learnt from, drawn by a hash of their text and weighted up
+At most about ``LABELLED`` documents of each label are learnt from, drawn by a hash of their id and weighted up
 again. Null and empty texts have no clause and get the lowest score; documents without label teach
 nothing; if there are no labels only the fixed list is used, with default weights.
 """
@@ -29,7 +29,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stage
 
-LABELLED = 6000
+LABELLED = 3000
+FLUSH = 200_000
 STEMS = (4, 5, 6)
 MOST_ENTRIES = 5000
 LEAST_DOCS = 5
@@ -164,21 +165,24 @@ def entries_of(text: str) -> set[str]:
     return {w for w in words if 2 < len(w) <= 24} | {w[:k] + "*" for w in words for k in STEMS if len(w) >= k}
 
 
-def count_entries(rows: DataFrame) -> DataFrame:
-    """(entry, toxic, clean): documents of each label that hold the entry; ``rows`` has text and label."""
+def count_entries(rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
+    """(entry, docs): how many texts hold each entry (of ``only``); ``rows`` has text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
         for batch in batches:
-            held = {0: Counter(), 1: Counter()}
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held[label].update(entries_of(text or ""))
-            names = list(held[0] | held[1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), *(pa.array([held[k][n] for n in names], pa.int64()) for k in (1, 0))],
-                ["entry", "toxic", "clean"])
+            for text in batch.column(0).to_pylist():
+                found = entries_of(text or "")
+                held.update(found if only is None else found & only)
+            if len(held) > FLUSH:
+                yield table(held)
+                held = Counter()
+        yield table(held)
+
+    def table(held: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["entry", "docs"])
 
-    return rows.select("text", "label").mapInArrow(count, "entry string, toxic long, clean long").groupBy("entry").agg(
-        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return rows.select("text").mapInArrow(count, "entry string, docs long").groupBy("entry").agg(F.sum("docs").alias("docs"))
 
 
 def _ratio(a, b, toxic: int, clean: int) -> Column:
@@ -204,23 +208,36 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return beta
 
 
-def fit(train: DataFrame, text: str = "text", label: str = "toxic", labelled: int = LABELLED) -> Grammar:
-    """Learn entries and the curve from labelled documents (label 0 or 1, others are left out)."""
-    rows = train.filter(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(
-        F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
+        labelled: int = LABELLED) -> Grammar:
+    """Learn entries and the curve from the ``labels`` (doc_id, label 0 or 1, others are left out) of ``docs``.
+
+    The sample is drawn from the labels alone, so that only its few rows meet the texts.
+    """
+    rows = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(
+        F.col(doc_id).alias("i"), F.col(label).cast("int").alias("label"))
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     base = {w: DEFAULT_WEIGHT for w in INSULTS}
     if not sizes.get(0) or not sizes.get(1):
         return Grammar(base)
     share = {k: min(1.0, labelled / n) for k, n in sizes.items()}
     limit = F.when(F.col("label") == 1, int(share[1] * 1_000_003) + 1).otherwise(int(share[0] * 1_000_003) + 1)
-    drawn = stage(rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < limit), "toxic-sample")
+    few = rows.filter(F.pmod(F.xxhash64("i"), F.lit(1_000_003)) < limit)
+    texts = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(text).alias("text"))
+    # At most about twice ``labelled`` rows.
+    drawn = stage(texts.join(F.broadcast(few), F.col("d") == F.col("i")).select("text", "label"), "toxic-sample")
     got = {r["label"]: r["count"] for r in drawn.groupBy("label").count().collect()}
+    if not got.get(0) or not got.get(1):
+        return Grammar(base)
     toxic, clean = got.get(1, 0), got.get(0, 0)
-    a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
+    # Entries of the toxic sample first; in the clean one only those are counted.
+    often = stage(count_entries(drawn.filter("label = 1")).filter(F.col("docs") >= LEAST_DOCS), "toxic-entries")
+    known = frozenset(r["entry"] for r in often.select("entry").collect())
+    rare = count_entries(drawn.filter("label = 0"), known).withColumnsRenamed({"entry": "e", "docs": "clean"})
+    both = often.join(rare, F.col("entry") == F.col("e"), "left")
+    a, b = F.col("docs").cast("double"), F.coalesce("clean", F.lit(0)).cast("double")
     odds = F.log((a + 0.5) / (toxic + 1.0)) - F.log((b + 0.5) / (clean + 1.0))
-    chosen = count_entries(drawn).filter(F.col("toxic") >= LEAST_DOCS).select(
-        "entry", odds.alias("odds"), _ratio(a, b, toxic, clean).alias("ratio"))
+    chosen = both.select("entry", odds.alias("odds"), _ratio(a, b, toxic, clean).alias("ratio"))
     chosen = chosen.filter((F.col("ratio") >= LEAST_RATIO) & (F.col("odds") >= 2.0))
     learnt = {r["entry"]: r["odds"] for r in chosen.orderBy(F.desc("ratio"), "entry").limit(MOST_ENTRIES).collect()}
     words = base | {e: w for e, w in learnt.items() if not e.endswith("*")}

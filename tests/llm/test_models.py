@@ -59,7 +59,8 @@ def test_product_automaton_is_closed():
 def test_held_out_toxicity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(
         spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
-    grammar = toxicity.fit(docs.filter("doc_id % 3 != 1"))
+    labels = docs.select("doc_id", "toxic").filter("doc_id % 3 != 1")
+    grammar = toxicity.fit(docs, labels)
     got = toxicity.score(docs.filter("doc_id % 3 = 1"), grammar).select("toxic", "score").collect()
     caught = [r.score >= 0.7 for r in got if r.toxic == 1]
     wrong = [r.score >= 0.7 for r in got if r.toxic == 0]
@@ -67,7 +68,9 @@ def test_held_out_toxicity(spark):
 
 
 def test_awkward_toxicity(spark):
-    grammar = toxicity.fit(awkward.frame(spark).selectExpr("*", "cast(null as int) as toxic"))
+    nothing = awkward.frame(spark).selectExpr("doc_id", "cast(null as int) as toxic")
+    assert toxicity.fit(awkward.empty(spark), nothing.selectExpr("doc_id", "doc_id % 2 as toxic")).stems == {}
+    grammar = toxicity.fit(awkward.frame(spark), nothing)
     got = toxicity.score(awkward.frame(spark), grammar).collect()
     assert len(got) == len(awkward.rows()) and all(0 <= r.score < 0.7 for r in got)
     assert toxicity.score(awkward.empty(spark), grammar).collect() == []
