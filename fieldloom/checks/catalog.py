@@ -554,14 +554,39 @@ def _(spark, sf):
     return _clusters(spark, sf)
 
 
-@register("k5_cluster_sizes")
+@register("k4_cluster_checks", "select count(distinct region_id) as regions, cast(10 as bigint) as clusters, cast(0 as bigint) as nearer_elsewhere, cast(0 as bigint) as out_of_order from m51_train")
 def _(spark, sf):
-    return regions.cluster_sizes(_clusters(spark, sf))
+    """Regions nearer to the mean of another cluster, and clusters not numbered from wet to dry."""
+    z = regions.standardise(stage(_stats51(spark, sf), "region-stats"), CLUSTER_FEATURES_V51)
+    z = z.join(_clusters(spark, sf).select("region_id", "cluster_id"), "region_id")
+    means = z.groupBy("cluster_id").agg(*[F.avg(c).alias(c) for c in CLUSTER_FEATURES_V51]).collect()  # ten rows
+    centres = {r["cluster_id"]: [r[c] for c in CLUSTER_FEATURES_V51] for r in means}
+    far = {k: sum((F.col(c) - v) * (F.col(c) - v) for c, v in zip(CLUSTER_FEATURES_V51, at)) for k, at in centres.items()}
+    best, own = F.least(*far.values()), F.coalesce(*[F.when(F.col("cluster_id") == k, d) for k, d in far.items()])
+    order = _clusters(spark, sf).groupBy("cluster_id").agg(F.avg("prec_mean").alias("wet"))
+    later = order.select(F.col("cluster_id").alias("next"), F.col("wet").alias("next_wet"))
+    turned = order.join(later, F.col("next") == F.col("cluster_id") + 1).agg(
+        F.count(F.when(F.col("next_wet") > F.col("wet"), 1))).scalar()
+    return z.agg(F.count(F.lit(1)).alias("regions"), F.countDistinct("cluster_id").alias("clusters"), F.count(
+        F.when(own > best + 1e-6, 1)).alias("nearer_elsewhere")).withColumn("out_of_order", turned)
 
 
-@register("k6_assign_clusters")
+def _given_clusters(spark, sf):
+    """An arithmetic assignment that leaves out every third region."""
+    return src.train(spark, sf).select("region_id").distinct().filter("region_id % 3 <> 0").withColumn("cluster_id", F.col("region_id") * 7 % 10)
+
+
+GIVEN = "(select distinct region_id, region_id * 7 % 10 as cluster_id from p_train where region_id % 3 <> 0)"
+
+
+@register("k5_cluster_sizes", f"select cluster_id, count(*) as regions from {GIVEN} group by cluster_id")
+def _(spark, sf):
+    return regions.cluster_sizes(_given_clusters(spark, sf)).select("cluster_id", F.col("regions"))
+
+
+@register("k6_assign_clusters", f"select w.region_id, w.week_idx, coalesce(c.cluster_id, 0) as cluster_id from m51_test w left join {GIVEN} c using (region_id)")
 def _(spark, sf):
-    return regions.assign_clusters(src.weekly(spark, sf, "v51")[1], _clusters(spark, sf)).select(*WEEK, "cluster_id")
+    return regions.assign_clusters(src.panels(spark, sf, "v51")[1], _given_clusters(spark, sf)).select(*WEEK, "cluster_id")
 
 
 # --- windows, folds, encoding -----------------------------------------------------------------------------------------
@@ -671,14 +696,15 @@ def _(spark, sf):
     return long_form.select("fold", "region_id", "start", "horizon", "occurs")
 
 
-SMALL = hurdle.HurdleSettings(
-    severity=hurdle.TreeSettings(rounds=2, depth=2, step=0.3, min_rows=20, features="0.1", bins=16),
-    occurrence=hurdle.TreeSettings(rounds=2, depth=2, step=0.3, min_rows=20, features="0.1", bins=16))
+#: Settings of the model queries: the default step and patience rule with fewer rounds and shallower trees.
+QUICK = hurdle.HurdleSettings(
+    severity=hurdle.TreeSettings(rounds=6, patience=2, depth=3, min_rows=20, features="0.1", bins=16),
+    occurrence=hurdle.TreeSettings(rounds=6, patience=2, depth=3, step=0.02, min_rows=20, features="0.1", bins=16))
 
 
 def _trained(spark, sf):
     return src.stored(spark, sf, "trained", lambda: modelling.train(
-        src.samples(spark, sf), SMALL, model_folder=_folder(spark, sf, "models")))
+        src.samples(spark, sf), QUICK, model_folder=_folder(spark, sf, "models")))
 
 
 @register("m2_m3_hurdle_out_of_fold")
@@ -686,17 +712,44 @@ def _(spark, sf):
     return _trained(spark, sf).out_of_fold
 
 
+VAL_ROWS = " union all ".join(f"select fold, region_id, cast({h} as bigint) as horizon, y{h} as y from t_folds where split = 'val'" for h in range(1, 6))
+
+
+@register("m2_m3_out_of_fold_rows", "select fold, region_id, horizon, " + q("cast(y as double)", "y_true") + f", true as severity_is_number, true as prob_is_share, true as gated from ({VAL_ROWS})")
+def _(spark, sf):
+    out = _trained(spark, sf).out_of_fold
+    gate = F.when(F.col("prob_b") < 0.5, 0.0).otherwise(F.col("pred_a"))
+    return out.select("fold", "region_id", "horizon", "y_true", (F.col("pred_a").isNotNull() & ~F.isnan("pred_a")).alias("severity_is_number"),
+                      F.col("prob_b").between(0, 1).alias("prob_is_share"), (F.col("pred") == gate).alias("gated"))
+
+
 @register("m4_hurdle_predictions")
 def _(spark, sf):
     return _trained(spark, sf).predictions
 
 
-@register("s7_reload_models")
+@register("m4_prediction_rows", "select fold, region_id, horizon, true as severity_is_number, true as prob_is_share from (select distinct region_id from m51_test), (select cast(range as bigint) as fold from range(0, 4)), (select cast(range as bigint) as horizon from range(1, 6))")
 def _(spark, sf):
-    _trained(spark, sf)
-    severity = hurdle.load_severity(_folder(spark, sf, "models"), 0, 1)
-    test = hurdle.vector_frame(src.samples(spark, sf).test.filter("fold = 0"))
-    return severity.transform(test).select("region_id", "pred_a")
+    return _trained(spark, sf).predictions.select(
+        "fold", "region_id", "horizon", (F.col("pred_a").isNotNull() & ~F.isnan("pred_a")).alias("severity_is_number"),
+        F.col("prob_b").between(0, 1).alias("prob_is_share"))
+
+
+@register("s7_reload_models", "select fold, horizon, (select count(distinct region_id) from m51_test) as regions, cast(0 as bigint) as different from (select cast(range as bigint) as fold from range(0, 4)), (select cast(range as bigint) as horizon from range(1, 6))")
+def _(spark, sf):
+    """Predictions of all reloaded models against those made before they were stored."""
+    made, samples = _trained(spark, sf).predictions, src.samples(spark, sf)
+    constant = hurdle.one_class(samples.folded, 5)
+    parts = []
+    for fold in range(4):
+        test = hurdle.vector_frame(samples.test.filter(F.col("fold") == fold)).select("region_id", "features")
+        models = hurdle.load_fold(_folder(spark, sf, "models"), fold, constant)
+        parts.append(hurdle.predict_all(models, test, 5).select(F.lit(fold).alias("fold"), "*"))
+    again = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    again = again.withColumnsRenamed({"pred_a": "a", "prob_b": "b"})
+    both = made.join(again, ["fold", "region_id", "horizon"])
+    return both.groupBy("fold", "horizon").agg(
+        F.count(F.lit(1)).alias("regions"), F.count(F.when((F.col("a") != F.col("pred_a")) | (F.col("b") != F.col("prob_b")), 1)).alias("different"))
 
 
 @register("m5_gate_out_of_fold", "select region_id, fold, horizon, " + q("pred") + " from gated")
@@ -1060,14 +1113,16 @@ def _(spark, sf):
     return explore.cluster_pairs(_stats54(spark, sf))
 
 
-ADVERSARIAL = hurdle.TreeSettings(rounds=5, depth=4, step=0.3, min_rows=20, features="all", subsample=1.0)
+ADVERSARIAL = hurdle.TreeSettings(rounds=20, patience=5, depth=4, step=0.1, min_rows=20, features="all", subsample=1.0)
 
 
 def _adversarial(spark, sf):
+    """All numeric columns that both cohorts have."""
     def build():
-        cols = [c for c in PROFILE_FEATURES if c in _te(spark, sf).columns]
-        scored, weights = hurdle.adversarial(_tr(spark, sf), _te(spark, sf), cols, ADVERSARIAL)
-        return stage(scored, "adversarial"), weights
+        train, test = _tr(spark, sf), _te(spark, sf)
+        numeric = {f.name for f in train.schema if isinstance(f.dataType, T.NumericType)}
+        cols = [c for c in test.columns if c in numeric and c not in (*WEEK, "day_ordinal", "cluster_id")]
+        return hurdle.adversarial(train, test, cols, ADVERSARIAL)
     return src.stored(spark, sf, "adversarial", build)
 
 
@@ -1076,11 +1131,29 @@ def _(spark, sf):
     return hurdle.adversarial_summary(_adversarial(spark, sf)[0])
 
 
+@register("x23_summary_of_scores", "select *, case when auc < 0.55 then 'low' when auc < 0.65 then 'moderate' else 'high' end as shift from (select " + q("(sum(case when y = 1 then r end) - sum(y)*(sum(y)+1)/2.0)/(sum(y)*(count(*)-sum(y)))", "auc", 6)
+          + " from (select y, rank() over (order by pred_a) + (count(*) over (partition by pred_a) - 1)/2.0 as r from (select pred_a, cast(region_id % 2 as double) as y from preds)))", 6)
+def _(spark, sf):
+    return hurdle.adversarial_summary(panel.prediction_fixture(spark, sf).select((F.col("region_id") % 2).cast("int").alias("label"), F.col("pred_a").alias("score")))
+
+
+@register("x23_scored_rows", "select region_id, week_idx, cast(0 as bigint) as label, true as in_range from e_train union all select region_id, week_idx, 1, true from e_test")
+def _(spark, sf):
+    return _adversarial(spark, sf)[0].select(*WEEK, F.col("label").cast("long").alias("label"), F.col("score").between(0, 1).alias("in_range"))
+
+
 @register("x24_top_importances")
 def _(spark, sf):
     return hurdle.top_importances(_adversarial(spark, sf)[1])
 
 
+@register("x24_top_of_weights", "select feature, " + q("importance", None, 6) + " from (select p.feature, p.importance from (select unnest([" + ", ".join(f"{{'feature': '{c}', 'importance': avg({c})}}" for c in PROFILE_FEATURES) + "]) as p from e_train)) order by importance desc, feature limit 20", 6)
+def _(spark, sf):
+    """The same selection on plain column means."""
+    means = _tr(spark, sf).agg(*[F.avg(c).alias(c) for c in PROFILE_FEATURES])
+    return hurdle.top_importances(means.unpivot([], PROFILE_FEATURES, "feature", "importance"))
+
+
 # --- ranks, folds, samples -----------------------------------------------------------------------------------------------------------
 @register("q_rank", "select region_id, week_idx, " + qs(["prec", "tmp", "score"]) + " from (" + _ranked_sql(["prec", "tmp", "score"]) + ")")
 def _(spark, sf):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..constants import ENCODED, HORIZON, WINDOW
 from .regions import zero_share
-from .splits import KEY
+from .splits import KEY, attach
 
 MEAN, ZERO = ENCODED
 
@@ -21,25 +21,37 @@ def encoding_fallback(encoding: DataFrame) -> DataFrame:
     return encoding.groupBy("fold").agg(F.avg(MEAN).alias(f"_{MEAN}"), F.avg(ZERO).alias(f"_{ZERO}"))
 
 
-def attach_encoding(samples: DataFrame, encoding: DataFrame, row: str | None = None) -> DataFrame:
-    """Add both encodings to samples keyed by fold and region.
+def with_encodings(samples: DataFrame, encoding: DataFrame, row: str | None = None) -> DataFrame:
+    """Add ``own`` and ``plain``, maps of fold to (mean, zero share), to samples keyed by region.
 
-    ``row`` names a column that numbers the samples of a region; they are then salted over it.
+    One join by region serves all folds, so samples need not be copied or moved for each. ``row`` names a
+    column that numbers the samples of a region; a hot region is then divided over it. ``plain`` is the
+    fallback, one entry per fold.
     """
-    fallback = F.broadcast(encoding_fallback(encoding))  # one row per fold
-    keys = ["fold", KEY]
-    if row is not None:
-        encoding = encoding.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-        samples = samples.withColumn("_salt", F.pmod(F.col(row), F.lit(32)).cast("int"))
-        keys.append("_salt")
-    return samples.join(encoding, keys, "left").join(fallback, "fold", "left").withColumns(
-        {c: F.coalesce(c, f"_{c}") for c in ENCODED}).drop("_salt", *[f"_{c}" for c in ENCODED])
+    pair = F.struct(F.col(MEAN).alias("m"), F.col(ZERO).alias("z"))
+    dim = encoding.groupBy(KEY).agg(F.map_from_entries(F.collect_list(F.struct("fold", pair))).alias("own"))
+    plain = F.struct(F.col(f"_{MEAN}").alias("m"), F.col(f"_{ZERO}").alias("z"))
+    fallback = encoding_fallback(encoding).agg(F.map_from_entries(F.collect_list(F.struct("fold", plain)))).scalar()
+    joined = samples.join(dim, KEY, "left") if row is None else attach(samples, dim, row)
+    return joined.withColumn("plain", fallback)
+
+
+def pick_encoding(samples: DataFrame) -> DataFrame:
+    """The encodings of each row's fold as two columns."""
+    own, plain = F.col("own")[F.col("fold")], F.col("plain")[F.col("fold")]
+    return samples.withColumn(MEAN, F.coalesce(own["m"], plain["m"])).withColumn(
+        ZERO, F.coalesce(own["z"], plain["z"])).drop("own", "plain")
+
+
+def attach_encoding(samples: DataFrame, encoding: DataFrame, row: str | None = None) -> DataFrame:
+    """Add both encodings to samples that have a fold."""
+    return pick_encoding(with_encodings(samples, encoding, row))
 
 
 def per_fold(test_samples: DataFrame, encoding: DataFrame) -> DataFrame:
     """Test samples once per fold, each with that fold's encoding."""
-    folds = encoding.agg(F.array_sort(F.collect_set("fold"))).scalar()
-    return attach_encoding(test_samples.withColumn("fold", F.explode(folds)), encoding)
+    ready = with_encodings(test_samples, encoding)
+    return pick_encoding(ready.withColumn("fold", F.explode(F.map_keys("plain"))))
 
 
 def flat_with_encoding(samples: DataFrame, n_features: int, window: int = WINDOW) -> DataFrame:

@@ -325,6 +325,11 @@ def hash_order(ids: list[str], seed: int) -> Column:
     return F.xxhash64(*ids, F.lit(seed))
 
 
+def _big(n: int) -> Column:
+    """Differences of longs may not fit a long."""
+    return F.lit(str(n)).cast("decimal(38,0)")
+
+
 def seeded_sample(df: DataFrame, n: int, ids: list[str], seed: int = 42, order: Column | None = None) -> DataFrame:
     """The ``n`` rows of least ``order`` (a long, by default a hash of the ids); the same ones every time.
 
@@ -339,7 +344,7 @@ def seeded_sample(df: DataFrame, n: int, ids: list[str], seed: int = 42, order:
     while True:
         width = max(1, -(-(hi - lo + 1) // SAMPLE_BUCKETS))
         inside = rows.filter((F.col("_o") >= lo) & (F.col("_o") <= hi))
-        part = F.floor((F.col("_o").cast("decimal(38,0)") - F.lit(lo).cast("decimal(38,0)")) / F.lit(width).cast("decimal(38,0)")).cast("long")
+        part = F.floor((F.col("_o").cast("decimal(38,0)") - _big(lo)) / _big(width)).cast("long")
         counts = inside.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
         border = None
         for r in counts:  # at most SAMPLE_BUCKETS numbers
@@ -370,6 +375,6 @@ def stratified_folds(df: DataFrame, order: Column, k: int = 3) -> DataFrame:
     ends = rows.agg(F.min("_order").alias("lo"), F.max("_order").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     parts = max(1, -(-ends["n"] // FOLD_BUCKET_ROWS))
     lo, width = ends["lo"] or 0, max(1, -(-((ends["hi"] or 0) - (ends["lo"] or 0) + 1) // parts))
-    block = F.floor((F.col("_order").cast("decimal(38,0)") - F.lit(lo).cast("decimal(38,0)")) / F.lit(width).cast("decimal(38,0)")).cast("long")
+    block = F.floor((F.col("_order").cast("decimal(38,0)") - _big(lo)) / _big(width)).cast("long")
     dealt = dense_position(rows, ["_order"], block, out="_pos", key="label")
     return dealt.select(*df.columns, (F.col("_pos") % k).cast("int").alias("fold"))

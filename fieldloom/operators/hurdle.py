@@ -12,22 +12,23 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from ..constants import ENCODED, HORIZON, SEED
-from ..session import shared_folder
+from ..session import shared_folder, stage
 from .ranks import auc
 from .splits import KEY
 
 
 @dataclass
 class TreeSettings:
-    """Boosting parameters. Early stopping watches the rows marked ``is_val``."""
+    """Boosting parameters. ``rounds`` is the most there are; the best number is chosen on the rows
+    marked ``is_val``: the last round of least error before ``patience`` rounds without a better one."""
 
     rounds: int = 200
+    patience: int = 20
     depth: int = 7
     step: float = 0.05
     min_rows: int = 150
     features: str = "0.5"
     subsample: float = 0.8
-    tolerance: float = 0.01
     bins: int = 32
     seed: int = SEED
 
@@ -49,22 +50,52 @@ def vector_frame(samples: DataFrame) -> DataFrame:
     return samples.withColumn("features", array_to_vector(flat)).drop("x")
 
 
-def _params(s: TreeSettings) -> dict:
+def _params(s: TreeSettings, rounds: int) -> dict:
     return dict(
-        featuresCol="features", maxIter=s.rounds, maxDepth=s.depth, stepSize=s.step,
+        featuresCol="features", maxIter=rounds, maxDepth=s.depth, stepSize=s.step,
         minInstancesPerNode=s.min_rows, featureSubsetStrategy=s.features, subsamplingRate=s.subsample,
-        validationTol=s.tolerance, maxBins=s.bins, seed=s.seed, validationIndicatorCol="is_val",
-        checkpointInterval=10,
+        maxBins=s.bins, seed=s.seed, checkpointInterval=10,
     )
 
 
-def fit_severity(frame: DataFrame, settings: TreeSettings):
-    return GBTRegressor(labelCol="y", lossType="absolute", predictionCol="pred_a", **_params(settings)).fit(frame)
+def best_round(errors: list[float], patience: int) -> int:
+    """Rounds (from 1) with the least error, looking no further than ``patience`` rounds after it."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
 
 
-def fit_occurrence(frame: DataFrame, settings: TreeSettings):
-    model = GBTClassifier(labelCol="occurs", predictionCol="_class", **_params(settings))
-    return model.setRawPredictionCol("_raw").setProbabilityCol("_prob").fit(frame)
+def _boosted(make, frame: DataFrame, settings: TreeSettings, errors):
+    """Fit on the train rows and keep the number of rounds that serves the validation rows best.
+
+    With the same seed and rows a fit of fewer rounds gives the first trees of the longer one.
+    """
+    train, val = frame.filter(~F.col("is_val")), frame.filter("is_val")
+    model = make(settings.rounds).fit(train)
+    if val.limit(1).count() == 0:
+        return model
+    rounds = best_round(errors(model, val), settings.patience)
+    return model if rounds == settings.rounds else make(rounds).fit(train)
+
+
+def fit_severity(frame: DataFrame, settings: TreeSettings) -> GBTRegressionModel:
+    def make(rounds: int):
+        return GBTRegressor(labelCol="y", lossType="absolute", predictionCol="pred_a", **_params(settings, rounds))
+    return _boosted(make, frame, settings, lambda model, val: model.evaluateEachIteration(val, "absolute"))
+
+
+def _classifier(settings: TreeSettings, rounds: int, label: str) -> GBTClassifier:
+    out = GBTClassifier(labelCol=label, predictionCol="_class", **_params(settings, rounds))
+    return out.setRawPredictionCol("_raw").setProbabilityCol("_prob")
+
+
+def fit_occurrence(frame: DataFrame, settings: TreeSettings, label: str = "occurs") -> GBTClassificationModel:
+    return _boosted(lambda rounds: _classifier(settings, rounds, label), frame, settings,
+                    lambda model, val: model.evaluateEachIteration(val))
 
 
 def model_path(folder: str, part: str, fold: int, horizon: int) -> str:
@@ -87,7 +118,20 @@ def predict(severity, occurrence, frame: DataFrame) -> DataFrame:
     return occurrence.transform(out).withColumn("prob_b", vector_to_array("_prob")[1]).drop("_class", "_raw", "_prob")
 
 
-def _one_class(samples: DataFrame, horizon: int) -> dict:
+def predict_all(models: dict, frame: DataFrame, horizon: int) -> DataFrame:
+    """Long predictions of all horizons in one pass; ``models`` has (h, part), ``frame`` may have ``y``."""
+    out = frame
+    for h in range(horizon):
+        out = predict(models[h, "severity"], models[h, "occurrence"], out).withColumnsRenamed(
+            {"pred_a": f"_a{h}", "prob_b": f"_b{h}"})
+    truth = [F.col("y")[h].cast("double").alias("y_true") for h in range(horizon)] if "y" in frame.columns else None
+    rows = F.array(*[F.struct(
+        F.lit(h + 1).alias("horizon"), F.col(f"_a{h}").alias("pred_a"), F.col(f"_b{h}").alias("prob_b"),
+        *([truth[h]] if truth else [])) for h in range(horizon)])
+    return out.select(KEY, F.inline(rows))
+
+
+def one_class(samples: DataFrame, horizon: int) -> dict:
     """Per fold and horizon the constant label, where the training rows have only one."""
     share = samples.filter(F.col("split") == "train").groupBy("fold").agg(*[
         F.avg((F.col("y")[h] > 0).cast("double")).alias(f"s{h}") for h in range(horizon)])
@@ -108,7 +152,7 @@ def train_hurdle(
     spark = samples.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    constant = _one_class(samples, horizon)
+    constant = one_class(samples, horizon)
     folds = [r[0] for r in samples.select("fold").distinct().orderBy("fold").collect()]
     held, ahead = [], []
     for fold in folds:
@@ -132,18 +176,27 @@ def train_hurdle(
             return model
 
         tasks = [(h, part) for h in range(horizon) for part in ("severity", "occurrence")]
-        with ThreadPoolExecutor(parallelism) as pool:
-            models = dict(zip(tasks, pool.map(fit, tasks)))
-        for h in range(horizon):
-            pair = models[h, "severity"], models[h, "occurrence"]
-            tag = [F.lit(fold).alias("fold"), F.lit(h + 1).alias("horizon")]
-            val = rows.filter("is_val").select(KEY, "features", F.col("y")[h].cast("double").alias("y_true"))
-            held.append(predict(*pair, val).select(*tag, KEY, "pred_a", "prob_b", "y_true"))
-            ahead.append(predict(*pair, new).select(*tag, KEY, "pred_a", "prob_b"))
-        rows.unpersist()
+        try:
+            with ThreadPoolExecutor(parallelism) as pool:
+                models = dict(zip(tasks, pool.map(fit, tasks)))
+            tag = F.lit(fold).alias("fold")
+            val = rows.filter("is_val").select(KEY, "features", "y")
+            held.append(stage(predict_all(models, val, horizon).select(tag, "*"), "out-of-fold"))
+            ahead.append(stage(predict_all(models, new, horizon).select(tag, "*"), "predictions"))
+        finally:
+            rows.unpersist()
     return _union(held), _union(ahead)
 
 
+def load_fold(folder: str, fold: int, constant: dict, horizon: int = HORIZON) -> dict:
+    """The stored models of a fold; ``constant`` as of ``one_class``."""
+    out = {}
+    for h in range(horizon):
+        out[h, "severity"] = load_severity(folder, fold, h + 1)
+        out[h, "occurrence"] = constant[fold, h] if (fold, h) in constant else load_occurrence(folder, fold, h + 1)
+    return out
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -155,26 +208,32 @@ def adversarial(
     train: DataFrame, test: DataFrame, cols: list[str], settings: TreeSettings | None = None,
     folds: int = 3, sample: int | None = None, seed: int = SEED,
 ) -> tuple[DataFrame, DataFrame]:
-    """Can a classifier tell the cohorts apart? Out-of-fold scores and mean importances."""
-    from .explore import seeded_sample
+    """Can a classifier tell the cohorts apart? Out-of-fold scores and mean importances.
+
+    Folds are stratified by cohort; each fold's rows choose the rounds of its model.
+    """
+    from .explore import hash_order, seeded_sample, stratified_folds
     settings = settings or TreeSettings(rounds=500, depth=4, min_rows=20, features="all", subsample=1.0)
     ids = [KEY, "week_idx"]
     keep = [*ids, *cols]
     a = train.select(*keep).dropna(subset=cols)
     if sample is not None:
         a = seeded_sample(a, sample, ids, seed)
-    both = a.withColumn("label", F.lit(0.0)).unionByName(
-        test.select(*keep).dropna(subset=cols).withColumn("label", F.lit(1.0)))
-    both = both.withColumn("fold", F.pmod(F.xxhash64(*ids, "label", F.lit(seed)), F.lit(folds)).cast("int"))
-    both = both.select(*ids, "label", "fold", array_to_vector(
+    both = a.withColumn("label", F.lit(0)).unionByName(
+        test.select(*keep).dropna(subset=cols).withColumn("label", F.lit(1)))
+    both = stratified_folds(stage(both, "adversarial"), hash_order(ids, seed), folds)
+    both = both.select(*ids, F.col("label").cast("double").alias("label"), "fold", array_to_vector(
         F.array(*[F.col(c).cast("double") for c in cols])).alias("features")).persist()
     scored, weights = [], []
-    for f in range(folds):
-        frame = both.withColumn("is_val", F.col("fold") == f)
-        model = GBTClassifier(labelCol="label", **_params(settings)).setProbabilityCol("_prob").fit(frame)
-        scored.append(model.transform(frame.filter("is_val")).select(
-            *ids, "fold", "label", vector_to_array("_prob")[1].alias("score")))
-        weights.append(model.featureImportances.toArray())
+    try:
+        for f in range(folds):
+            frame = both.withColumn("is_val", F.col("fold") == f)
+            model = fit_occurrence(frame, settings, "label")
+            scored.append(stage(model.transform(frame.filter("is_val")).select(
+                *ids, "fold", "label", vector_to_array("_prob")[1].alias("score")), "adversarial-scores"))
+            weights.append(model.featureImportances.toArray())
+    finally:
+        both.unpersist()
     spark = train.sparkSession
     mean = sum(weights) / folds
     importance = spark.createDataFrame([(c, float(w)) for c, w in zip(cols, mean)], "feature string, importance double")

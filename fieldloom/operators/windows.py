@@ -94,12 +94,13 @@ def split_folds(
     A window trains a fold if its targets end before the fold's validation weeks, and validates it
     if its targets are exactly those weeks. Other combinations vanish.
     """
-    top = weekly.agg(F.max("week_idx")).scalar()
-    out = samples.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    val_end = top - F.col("fold") * step
-    split = F.when(F.col("tgt_end") <= val_end - horizon, "train").when(
-        (F.col("tgt_start") == val_end - horizon + 1) & (F.col("tgt_end") == val_end), "val")
-    return out.withColumn("split", split).filter(F.col("split").isNotNull())
+    every = F.struct("fold", "train_end", "val_start", "val_end")
+    bounds = fold_bounds(weekly, folds, step, horizon).agg(F.array_sort(F.collect_list(every))).scalar()
+    out = samples.withColumn("_b", F.explode(bounds))
+    b = F.col("_b")
+    split = F.when(F.col("tgt_end") <= b["train_end"], "train").when(
+        (F.col("tgt_start") == b["val_start"]) & (F.col("tgt_end") == b["val_end"]), "val")
+    return out.withColumn("fold", b["fold"]).withColumn("split", split).drop("_b").filter(F.col("split").isNotNull())
 
 
 def fold_training_scores(

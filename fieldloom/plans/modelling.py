@@ -27,12 +27,13 @@ def build_samples(train: DataFrame, test: DataFrame) -> Samples:
     weekly = stage(windows.renumber(ready), "scored-weeks")
     features = present(PANEL_FEATURES, weekly)
     samples = stage(windows.sliding_windows(weekly, features), "windows")
-    folded = windows.split_folds(samples, weekly)
-    scores = windows.fold_training_scores(weekly, folded.select("region_id", "fold", "split", "start"))
+    members = windows.split_folds(samples.select("region_id", "start", "tgt_start", "tgt_end"), weekly)
+    scores = windows.fold_training_scores(weekly, members)
     learnt = stage(encoding.fit_encoding(scores), "encoding")
     last = windows.last_windows(windows.refine(test, False), features)
+    ready = stage(encoding.with_encodings(samples, learnt, row="start"), "encoded-windows")
     return Samples(
-        weekly, encoding.attach_encoding(folded, learnt, row="start"),
+        weekly, encoding.pick_encoding(windows.split_folds(ready, weekly)),
         stage(encoding.per_fold(last, learnt), "test-windows"), features)
 
 
@@ -47,10 +48,10 @@ class Trained:
 
 def train(samples: Samples, settings: hurdle.HurdleSettings | None = None, model_folder: str | None = None) -> Trained:
     held, ahead = hurdle.train_hurdle(samples.folded, samples.test, settings, model_folder=model_folder)
-    held = ensemble.gate_out_of_fold(stage(held, "out-of-fold"))
+    held = ensemble.gate_out_of_fold(held)
     by_horizon = ensemble.horizon_errors(held)
     return Trained(
-        held, stage(ahead, "predictions"), by_horizon,
+        held, ahead, by_horizon,
         ensemble.overall_error(ensemble.fold_errors(by_horizon)), ensemble.binned_errors(held))
 
 

@@ -106,3 +106,46 @@ def test_hurdle_learns_and_handles_one_class(spark):
     zero = held.filter("horizon = 1").agg(F.avg(F.abs("y_true"))).first()[0]
     assert mae[1] < 0.6 * zero and mae[2] == 0
     assert ahead.filter("horizon = 2 and prob_b <> 0").count() == 0 and ahead.count() == 2 * 2 * 10
+
+
+def test_best_round_waits_for_patience():
+    assert hurdle.best_round([5, 4, 3, 3, 3, 2], 3) == 6 and hurdle.best_round([5, 4, 3, 3, 3, 2], 2) == 3
+    assert hurdle.best_round([1.0], 5) == 1 and hurdle.best_round([2, 3, 4], 1) == 1
+
+
+def test_default_step_boosts_beyond_one_tree_and_beats_constants(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(800):
+        a, b = rng.random(2)
+        rows.append((i % 4 == 0, [float(a), float(b)], float((a > 0.4) * (1 + 3 * b))))
+    frame = vectors(spark, rows)
+    default = hurdle.TreeSettings()
+    s = hurdle.TreeSettings(rounds=25, depth=3, min_rows=10, features="all", step=default.step, patience=default.patience)
+    model = hurdle.fit_severity(frame, s)
+    assert model.getNumTrees > 1
+    held = model.transform(frame.filter("is_val")).toPandas()
+    y, middle = held["y"], frame.filter("not is_val").toPandas()["y"].median()
+    error = (held["pred_a"] - y).abs().mean()
+    assert error < y.abs().mean() and error < (y - middle).abs().mean()
+    assert hurdle.fit_occurrence(frame.withColumn("occurs", (F.col("y") > 0).cast("double")), s).getNumTrees > 1
+
+
+def vectors(spark, rows):
+    from pyspark.ml.functions import array_to_vector
+    return spark.createDataFrame(rows, "is_val boolean, x array<double>, y double").withColumn("features", array_to_vector("x")).cache()
+
+
+def test_no_exchange_carries_windows_by_fold(spark):
+    """Windows are joined with the encodings by region, before they are copied into folds."""
+    w = spark.createDataFrame([(1, 0, [1.0, 2.0], [0.0], 20, 24)], "region_id long, start long, x array<float>, y array<float>, tgt_start long, tgt_end long")
+    weekly = spark.createDataFrame([(1, 60, 0.0)], "region_id long, week_idx long, score double")
+    enc = spark.createDataFrame([(f, 1, 1.0, 0.5) for f in range(4)], "fold int, region_id long, region_mean_score double, region_zero_prob double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        folded = encoding.pick_encoding(windows.split_folds(encoding.with_encodings(w, enc, "start"), weekly))
+        plan = folded._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Generate explode") < plan.index("Join")  # the copies are made above the join
+        assert {r.fold for r in folded.collect()} == {0, 1, 2} and folded.first().region_mean_score == 1.0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
