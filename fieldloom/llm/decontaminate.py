@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .text import aside
+from .text import aside, small_batches
 from .words import PLAIN, U, mixed, text_slices, windows, words_of
 
 ITEM_BLOCK = 20_000
@@ -211,6 +211,7 @@ def find_items(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
                item_text: str = "text", limits: Limits = Limits()) -> DataFrame:
     """``docs`` with item_ids (sorted, empty if clean) and item_edits (edits of each); such columns are replaced."""
     kept = [c for c in docs.columns if c.lower() not in FOUND]
+    small_batches(docs)
     empty = F.array().cast("array<long>")
     out = docs.select(*kept, empty.alias("item_ids"), empty.alias("item_edits"))
     blocks = max(1, ceil(items.count() / ITEM_BLOCK))

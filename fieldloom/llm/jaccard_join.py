@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import stage
 from .graph import components
 from .signature_tree import signature, similar_candidates
+from .text import small_batches
 from .words import LOWERED, mixed, shingle_sets, text_slices, words_of
 
 SAMPLE_DOCS = 8192
@@ -80,6 +81,7 @@ def _common_tokens(docs: DataFrame, text: str, sim: Similarity) -> np.ndarray:
     They only set the token order, which never changes a result. At most the sample's tokens divided
     by that number can qualify.
     """
+    small_batches(docs)
     total = docs.count()
     keep = min(1.0, SAMPLE_DOCS / max(1, total))
     chosen = docs.select(F.col(text).alias("text")).filter(

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
 from .perplexity import HashArray
+from .text import small_batches
 from .words import LENGTH_TAG, PLACE, SLICE_BYTES, U, BASE, BASE_INVERSE, mixed, powers, text_slices
 
 GRAM = 4
@@ -100,6 +101,7 @@ def count_features(train: DataFrame, text: str, lang: str) -> DataFrame:
                             [pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)),
                              pa.array([name] * len(key), pa.string()), pa.array(n)], ["kind", "hash", "lang", "n"])
 
+    small_batches(train)
     rows = train.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     return rows.mapInArrow(count, "kind int, hash long, lang string, n long").groupBy("kind", "hash", "lang").agg(F.sum("n").alias("n"))
 
@@ -174,6 +176,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", sample_docs: i
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score; columns of those names are replaced."""
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    small_batches(docs)
     wide = docs.select(*kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     held = docs.sparkSession.sparkContext.broadcast(model)
     at, columns = kept.index(text), len(kept)

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import stage
-from .text import aside
+from .text import aside, small_batches
 from .words import IS_SPACE, U, Words, mixed, text_slices, windows, words_of
 
 ORDER = 5
@@ -136,6 +136,7 @@ def count_ngrams(docs: DataFrame, text: str, lang: str, order: int = ORDER) -> D
         for name, parts in held.items():
             yield rows(name, *merge(parts))
 
+    small_batches(docs)
     counts = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(count, "lang string, gram long, n long")
     return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -279,6 +280,7 @@ class Rules:
 def measure(docs: DataFrame, model: KneserNey, text: str = "text", lang: str = "lang") -> DataFrame:
     """``docs`` with the five statistics and log_perplexity."""
     kept = [c for c in docs.columns if c.lower() not in (*STATISTICS, "log_perplexity")]
+    small_batches(docs)
     zero = [F.lit(0).cast("long").alias(c) for c in STATISTICS]
     wide = docs.select(*kept, *zero, F.lit(None).cast("double").alias("log_perplexity"))
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -30,3 +30,17 @@ def aside(docs: DataFrame, new: tuple[str, ...]) -> tuple[DataFrame, dict[str, s
             other = free_name(docs, f"_own_{c}")
             docs, back[other] = docs.withColumnRenamed(c, other), c
     return docs, back
+
+
+ARROW_BYTES = 4 << 20
+
+
+def small_batches(docs: DataFrame) -> None:
+    """Have the session hand texts to Python in batches of a few megabytes; a smaller setting stays.
+
+    Each task holds a batch several times (JVM buffers, Arrow, numpy), so the default of 64 MB costs memory for nothing.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(docs.sparkSession.conf.get(key, "67108864").rstrip("bB"))
+    if not 0 < now <= ARROW_BYTES:
+        docs.sparkSession.conf.set(key, str(ARROW_BYTES))

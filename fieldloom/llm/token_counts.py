@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .text import small_batches
+
 LEAF_CHARS = 512
 #: Before a blank or line feed that follows something else.
 GOOD_CUT = re.compile(r"(?<=\S)(?=[ \n])")
@@ -176,6 +178,7 @@ NEW = ("leaf_chars", "tree", "n_tokens", "text_hash", "n_edits", "reencoded_char
 def build(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
     """``docs`` with leaf_chars and tree (the state), and n_tokens; columns of those names are replaced."""
     kept = [c for c in docs.columns if c.lower() not in ("leaf_chars", "tree", "n_tokens")]
+    small_batches(docs)
     wide = docs.select(*kept, F.lit(b"").alias("leaf_chars"), F.lit(b"").alias("tree"), F.lit(0).cast("long").alias("n_tokens"))
     held, at, columns = docs.sparkSession.sparkContext.broadcast(vocabulary), kept.index(text), len(kept)
 

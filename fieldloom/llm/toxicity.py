@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stage
+from .text import small_batches
 
 LABELLED = 3000
 FLUSH = 200_000
@@ -182,6 +183,7 @@ def count_entries(rows: DataFrame, only: frozenset[str] | None = None) -> DataFr
     def table(held: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["entry", "docs"])
 
+    small_batches(rows)
     return rows.select("text").mapInArrow(count, "entry string, docs long").groupBy("entry").agg(F.sum("docs").alias("docs"))
 
 
@@ -254,6 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 def measure(docs: DataFrame, grammar: Grammar, text: str = "text") -> DataFrame:
     """``docs`` with clause_weight and clauses; columns of those names are replaced."""
     kept = [c for c in docs.columns if c.lower() not in ("clause_weight", "clauses")]
+    small_batches(docs)
     wide = docs.select(*kept, F.lit(0.0).alias("clause_weight"), F.lit(0).cast("long").alias("clauses"))
     held, at, columns = docs.sparkSession.sparkContext.broadcast(grammar), kept.index(text), len(kept)
 
