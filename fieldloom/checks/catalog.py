@@ -102,6 +102,39 @@ def _(spark, sf):
     return test.select("region_id", "week_idx", "prec", "tmp")
 
 
+def _csv_round_trip(spark, sf):
+    folder = _folder(spark, sf, "processed-csv")
+    tables.export_processed(*src.panels(spark, sf, "v51"), folder, "csv")
+    tables.write_region_stats(_stats54(spark, sf).drop("cluster_id"), folder, "csv")
+    return tables.read_processed(spark, folder, "csv")
+
+
+S5_COLUMNS = ["prec", "surf_pre", "tmp", "humidity_week_std", "week_sin", "deficit", "tmp_anomaly"]
+
+
+@register("s5_read_csv_train", f"select region_id, week_idx, week_end_date, day_ordinal, {qs(S5_COLUMNS + ['score'])} from m51_train")
+def _(spark, sf):
+    return _csv_round_trip(spark, sf)[0].select("region_id", "week_idx", "week_end_date", "day_ordinal", *S5_COLUMNS, "score")
+
+
+@register("s5_read_csv_test", f"select region_id, week_idx, week_end_date, day_ordinal, {qs(S5_COLUMNS)} from m51_test")
+def _(spark, sf):
+    return _csv_round_trip(spark, sf)[1].select("region_id", "week_idx", "week_end_date", "day_ordinal", *S5_COLUMNS)
+
+
+@register("s5_read_csv_stats", f"select region_id, {qs(CLUSTER_FEATURES_V54)} from stats54")
+def _(spark, sf):
+    return _csv_round_trip(spark, sf)[2]
+
+
+@register("s2_pruned_read_csv", f"select region_id, date, {qs(['prec', 'tmp', 'humidity', 'wind'], 6)} from p_test", 6)
+def _(spark, sf):
+    """The header of a file without score decides what is read."""
+    folder = _folder(spark, sf, "test-csv")
+    tables.write_panel(src.test(spark, sf).select("region_id", "date", *MEASURES), folder, "csv")
+    return panel.profile_columns(panel.read_panel_csv(spark, folder), with_score=True)
+
+
 @register("s6_prediction_table", "select region_id, fold, horizon, " + qs(["pred_a", "prob_b"]) + " from preds")
 def _(spark, sf):
     path = _folder(spark, sf, "predictions")
@@ -589,6 +622,22 @@ def _(spark, sf):
     return regions.assign_clusters(src.panels(spark, sf, "v51")[1], _given_clusters(spark, sf)).select(*WEEK, "cluster_id")
 
 
+def _finished(spark, sf, variant, side):
+    """The whole of ``preprocess`` with its clusters; the label is arbitrary, so only its range is compared."""
+    out = src.stored(spark, sf, f"finished-{variant}", lambda: plan.preprocess(
+        src.train(spark, sf), src.test(spark, sf), variant, panel.KEEP_DAYS_HERE))
+    df = getattr(out, side)
+    extra = ["score"] if side == "train" else []
+    return df.select(*WEEK, *(PANEL51 if variant == "v51" else PANEL54), *extra, "week_end_date", "day_ordinal",
+                     F.col("cluster_id").between(0, 9).alias("clustered"), F.lit(len(df.columns)).alias("columns"))
+
+
+for _v, _side, _n in (("v51", "train", 48), ("v51", "test", 47)):
+    register(f"preprocess_{_v}_{_side}_clustered", f"select region_id, week_idx, {qs(PANEL51 if _v == 'v51' else PANEL54)}" + (f", {q('score')}" if _side == "train" else "")
+             + f", week_end_date, day_ordinal, true as clustered, cast({_n} as bigint) as columns from m{_v[1:]}_{_side}")(
+        lambda spark, sf, v=_v, side=_side: _finished(spark, sf, v, side))
+
+
 # --- windows, folds, encoding -----------------------------------------------------------------------------------------
 @register("t1_flat_names", "select " + " || ',' || ".join(["cast(count(*) as varchar)", "'prec_w1'", "'prec_delta'"]) + " as names from t_rows")
 def _(spark, sf):
@@ -597,6 +646,16 @@ def _(spark, sf):
     return n.select(F.concat_ws(",", "n", F.lit(names[0]), F.lit(names[-len(PANEL_FEATURES)])).alias("names"))
 
 
+NAMES = "(select w*30 + i as pos, f || case when w < 13 then '_w' || (w + 1) else '_delta' end as name from (select range as w from range(0, 14)), (select unnest(range(30)) as i, unnest([" + ", ".join(f"'{c}'" for c in PANEL_FEATURES) + "]) as f))"
+
+
+@register("t1_all_flat_names", f"select pos, name, (select count(*) from t_rows) as rows from {NAMES}")
+def _(spark, sf):
+    n = src.samples(spark, sf).weekly.agg(F.count(F.lit(1)).alias("rows"))
+    names = F.array(*[F.lit(x) for x in windows.flat_names(PANEL_FEATURES)])
+    return n.select("rows", F.posexplode(names).alias("pos", "name")).select("pos", "name", "rows")
+
+
 @register("t2_refine_train", "select region_id, week_idx, " + qs(["prec", "tmp_anomaly", "wind_min"]) + " from m51_train where " + " and ".join(f"{c} is not null" for c in PANEL_FEATURES))
 def _(spark, sf):
     return windows.refine(src.panels(spark, sf, "v51")[0], True).select(*WEEK, "prec", "tmp_anomaly", "wind_min")
@@ -628,6 +687,46 @@ def _(spark, sf):
     return _window_digest(windows.sliding_windows(weekly, PANEL_FEATURES))
 
 
+def _elements(df, order):
+    """Sum, weighted sum and extremes of each of the 420 places of ``x``: a permutation would change them."""
+    each_one = df.select(order.alias("o"), F.posexplode("x").alias("pos", "v"))
+    v = F.col("v").cast("double")
+    names = F.array(*[F.lit(x) for x in windows.flat_names(PANEL_FEATURES)])
+    return each_one.groupBy("pos").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(v).alias("total"), F.avg(v * F.col("o")).alias("weighted"), F.min(v).alias("low"),
+        F.max(v).alias("high")).select(F.element_at(names, F.col("pos") + 1).alias("name"), "n", "total", "weighted", "low", "high")
+
+
+def _elements_sql(rows, first, order):
+    """The same from single rows: ``rows`` has w (week in the window, from 1) and the features."""
+    per = ", ".join(f"{{'c': '{c}', 's': sum({c}::double), 'p': avg({c}::double * {order}), 'a': min({c})::double, 'b': max({c})::double}}" for c in PANEL_FEATURES)
+    delta = ", ".join(f"l.{c} - f.{c} as {c}" for c in PANEL_FEATURES)
+    return (f"select p.c || w as name, n, {q('p.s', 'total', 2)}, {q('p.p', 'weighted', 2)}, {q('p.a', 'low', 2)}, {q('p.b', 'high', 2)} from ("
+            f"select '_w' || w as w, count(*) as n, unnest([{per}]) as p from ({rows}) group by w union all "
+            f"select '_delta', count(*), unnest([{per}]) from (select l.o, {delta} from ({rows}) l join ({rows}) f on f.k = l.k and l.w = 13 and f.w = 1))")
+
+
+T3_ROWS = "select w.region_id || '|' || w.start as k, w.start % 97 as o, r.pos - w.start + 1 as w, " + ", ".join(f"r.{c}" for c in PANEL_FEATURES) + " from t_windows w join t_rows r on r.region_id = w.region_id and r.pos between w.start and w.start + 12"
+
+
+@register("t3_window_elements", _elements_sql(T3_ROWS, "k", "o"), 2)
+def _(spark, sf):
+    s = src.samples(spark, sf)
+    return _elements(windows.sliding_windows(s.weekly, PANEL_FEATURES), F.col("start") % 97)
+
+
+#: Every fourth region has three weeks only, so its first row is repeated.
+SHORT = "select * from m51_test where region_id % 4 <> 0 or week_idx < 3"
+T4_ROWS = "select region_id as k, region_id % 97 as o, 13 - n + r as w, " + ", ".join(PANEL_FEATURES) + " from (select region_id, unnest(case when r = 1 then range(r - (13 - n), r + 1) else [r] end) as r, n, " + ", ".join(PANEL_FEATURES) + " from (select region_id, " + ", ".join(f"cast({c} as real) as {c}" for c in PANEL_FEATURES) + f", row_number() over (partition by region_id order by week_idx) as r, count(*) over (partition by region_id) as n from ({SHORT})))"
+
+
+@register("t4_last_window_elements", _elements_sql(T4_ROWS, "k", "o"), 2)
+def _(spark, sf):
+    test = src.panels(spark, sf, "v51")[1].filter("region_id % 4 <> 0 or week_idx < 3")
+    last = windows.last_windows(windows.refine(test, False), PANEL_FEATURES)
+    return _elements(last, F.col("region_id") % 97)
+
+
 @register("t4_last_windows", "select region_id, " + q("sum(fsum)", "x_sum", 2) + " from (select region_id, " + " + ".join(f"cast(cast({c} as real) as double)" for c in PANEL_FEATURES)
           + " as fsum, row_number() over (partition by region_id order by week_idx desc) as rn from m51_test) where rn <= 13 group by region_id", 2)
 def _(spark, sf):

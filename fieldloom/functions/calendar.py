@@ -38,12 +38,20 @@ def ordinal(date) -> Column:
     return ((year_of(date).cast("long") - 1) * SLOTS_PER_YEAR) + year_slot(date) - 1
 
 
-def date_of_ordinal(n: Column) -> Column:
-    """The date string with ordinal ``n``."""
+def year_width(date) -> Column:
+    """Characters of the year as it is written."""
+    return F.length(F.split_part(F.col(date) if isinstance(date, str) else date, F.lit("-"), F.lit(1)))
+
+
+def date_of_ordinal(n: Column, width: Column | None = None) -> Column:
+    """The date string with ordinal ``n``; the year is filled up with zeros to ``width``."""
     slot = (n % SLOTS_PER_YEAR + 1).cast("int")
     offsets = F.array(*[F.lit(o) for o in MONTH_OFFSETS])
     month = F.size(F.filter(offsets, lambda o: o < slot))
-    return format_date(F.floor(n / SLOTS_PER_YEAR) + 1, month, slot - F.element_at(offsets, month))
+    year = (F.floor(n / SLOTS_PER_YEAR) + 1).cast("string")
+    if width is not None:
+        year = F.lpad(year, F.greatest(width, F.length(year)), F.lit("0"))
+    return format_date(year, month, slot - F.element_at(offsets, month))
 
 
 def days_in_month(year: Column, month: Column, phase: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..constants import WEEKLY_MEANS, WEEKLY_SPREADS, WEEKLY_SUMS
-from ..functions.calendar import date_of_ordinal, ordinal, week_angle
+from ..functions.calendar import date_of_ordinal, ordinal, week_angle, year_width
 from .splits import CHUNK, KEY
 
 
@@ -33,10 +33,12 @@ def roll_up(daily: DataFrame) -> DataFrame:
     if "score" in has:
         aggs.append(F.max("score").alias("score"))
     # The last day as a number: with fixed-width buffers only, Spark aggregates by hash, unsorted.
-    last = F.max("ordinal" if "ordinal" in has else ordinal("date"))
-    aggs.append(last.alias("day_ordinal"))
+    # Its low four bits are the width of the year, so that the date comes back as it was written.
+    day = F.col("ordinal") if "ordinal" in has else ordinal("date")
+    aggs.append(F.max(day * 16 + year_width("date")).alias("_last"))
     keys = [KEY] + ([CHUNK] if CHUNK in has else []) + ["week_idx"]
-    weekly = week_index(daily).groupBy(*keys).agg(*aggs)
+    weekly = week_index(daily).groupBy(*keys).agg(*aggs).withColumn("day_ordinal", F.floor(F.col("_last") / 16))
     angle = week_angle("week_end_date")
-    return weekly.withColumn("week_end_date", date_of_ordinal(F.col("day_ordinal"))).withColumns(
-        {"week_sin": F.sin(angle), "week_cos": F.cos(angle)})
+    return weekly.withColumn("week_end_date", date_of_ordinal(
+        F.col("day_ordinal"), (F.col("_last") % 16).cast("int"))).withColumns(
+        {"week_sin": F.sin(angle), "week_cos": F.cos(angle)}).drop("_last")

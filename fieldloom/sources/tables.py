@@ -27,11 +27,20 @@ def write_region_stats(stats: DataFrame, folder: str, fmt: str = "parquet") -> N
     write_panel(stats, f"{folder}/region_stats", fmt)
 
 
+#: Types of the columns of processed tables that are not doubles; dates stay text.
+TYPES = {"region_id": "long", "week_idx": "long", "day_ordinal": "long", "week_end_date": "string", "cluster_id": "byte",
+         "is_dry_spell": "byte"}
+
+
+def csv_schema(spark: SparkSession, path: str, types: dict[str, str] = TYPES) -> str:
+    """Declared types for the columns that the header names; the rows are not read."""
+    return ", ".join(f"`{c}` {types.get(c, 'double')}" for c in spark.read.option("header", True).csv(path).columns)
+
+
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
-    reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "parquet":
-        return reader.parquet(path)
-    return reader.option("header", True).option("inferSchema", schema is None).csv(path)
+        return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
+    return spark.read.schema(schema or csv_schema(spark, path)).option("header", True).csv(path)
 
 
 def read_processed(spark: SparkSession, folder: str, fmt: str = "parquet") -> tuple[DataFrame, DataFrame, DataFrame | None]:
@@ -66,7 +75,7 @@ def read_submissions(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     parts = []
     for model, path in paths.items():
         try:
-            wide = spark.read.option("header", True).option("inferSchema", True).csv(path)
+            wide = read_table(spark, path, "csv")
         except AnalysisException:
             continue
         parts.append(submission_values(wide, model))

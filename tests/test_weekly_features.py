@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from fieldloom.operators import features, regions, weekly
 from fieldloom.operators.splits import day_rows, spread, trim, week_rows
 from fieldloom.plans import preprocess as plan
-from fieldloom.sources import panel
+from fieldloom.sources import panel, tables
 
 
 def days(spark, n, prec=1.0):
@@ -125,3 +125,19 @@ def test_clusters_are_ordered_from_wet_to_dry(spark):
     assert len(means) == 3 and means == sorted(means, reverse=True)
     seen = regions.assign_clusters(weeks(spark, [1.0], "tmp", region=77), out)
     assert column(seen, "cluster_id") == [0]
+
+
+def test_end_dates_come_back_as_they_were_written(spark):
+    rows = [(1, f"{y}-01-0{d}", 1.0) for y in ("0001",) for d in range(1, 8)] + [(2, f"1-01-0{d}", 1.0) for d in range(1, 8)]
+    rows += [(3, f"12021-02-2{d}", 1.0) for d in range(3, 10)]
+    daily = panel.index_panel(spark.createDataFrame(rows, "region_id long, date string, prec double"))
+    got = {r.region_id: r.week_end_date for r in weekly.roll_up(daily).collect()}
+    assert got == {1: "0001-01-07", 2: "1-01-07", 3: "12021-02-29"}
+
+
+def test_csv_keeps_dates_as_text_and_declared_types(spark, tmp_path):
+    rows = [(7, 0, "2021-01-07", 1.5, 3, 738000)]
+    df = spark.createDataFrame(rows, "region_id long, week_idx long, week_end_date string, prec double, cluster_id byte, day_ordinal long")
+    tables.write_panel(df, f"{tmp_path}/t", "csv")
+    back = tables.read_table(spark, f"{tmp_path}/t", "csv")
+    assert back.schema == df.schema and back.collect() == df.collect()
