@@ -7,9 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import stage
 
 
+SALTS = 16
+
+
 def _least_neighbour(directed: DataFrame) -> DataFrame:
+    """Edges with the least of their node ``u`` and its neighbours; a hot node's edges are divided among salts."""
     least = directed.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return directed.join(least, "u")
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = directed.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return salted.join(least, ["u", "salt"]).drop("salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
