@@ -234,6 +234,18 @@ def _(spark, sf):
     return impute.fill_climate(src.test(spark, sf)).select(*DAY, *CONTINUOUS)
 
 
+@register("i4_blank_regions", f"select region_id, date, {qs(CONTINUOUS)} from b_filled")
+def _(spark, sf):
+    """Every tenth region has no measure at all."""
+    blank = src.test(spark, sf).withColumns({c: F.when(F.col("region_id") % 10 != 3, F.col(c)) for c in CONTINUOUS})
+    return impute.fill_climate(blank).select(*DAY, *CONTINUOUS)
+
+
+@register("i4_overall_mean_only", "select region_id, date, " + ", ".join(q(f"coalesce({c}, avg({c}) over ())", c) for c in CONTINUOUS) + " from p_test")
+def _(spark, sf):
+    return impute.fill_global_mean(src.test(spark, sf), CONTINUOUS).select(*DAY, *CONTINUOUS)
+
+
 @register("i5_zero_fill", "select region_id, date, " + q("coalesce(prec, 0)", "prec", 6) + ", " + q("coalesce(surf_pre, 0)", "surf_pre", 6) + " from p_train", 6)
 def _(spark, sf):
     return impute.fill_zero(src.train(spark, sf)).select(*DAY, "prec", "surf_pre")
@@ -325,6 +337,15 @@ def _(spark, sf):
     return climatology.fill_pad(pad, climatology.climatology(train), climatology.global_means(train)).drop("pos", "ordinal")
 
 
+@register("p4_pad_misses", f"select region_id, date, {qs(MEASURES)} from gap_pad")
+def _(spark, sf):
+    """A third of the slots is missing from the climatology."""
+    train, test = src.clean(spark, sf, "v51")
+    pad = climatology.pad_days(test, climatology.leap_phases(train), 21)
+    known = climatology.climatology(train).filter((F.col("region_id") + F.col("doy")) % 3 != 0)
+    return climatology.fill_pad(pad, known, climatology.global_means(train)).select("region_id", "date", *MEASURES)
+
+
 @register("p5_prepend", "select region_id, date, pos from padded51")
 def _(spark, sf):
     train, test = src.clean(spark, sf, "v51")
@@ -453,6 +474,14 @@ def _(spark, sf):
     return features.size_violations(src.train(spark, sf), panel.TRAIN_DAYS)
 
 
+@register("w8_cohort_counts", " union all ".join(
+    f"select '{c}' as cohort, count(*) as regions, (select count(*) from supplier) as expected, min(n) as rows_min, max(n) as rows_max, count(*) filter (where n <> {n}) as violations from (select region_id, count(*) as n from p_{c} group by region_id)"
+    for c, n in (("train", panel.TRAIN_DAYS), ("test", 91))))
+def _(spark, sf):
+    expected = spark.read.parquet(f"{sf}/supplier.parquet").count()
+    return features.cohort_counts(src.train(spark, sf), src.test(spark, sf), expected, panel.TRAIN_DAYS, 91)
+
+
 # --- index features ----------------------------------------------------------------------------------------------
 PET = "0.55 * case when tmp < 0 then 0.0 else tmp end"
 
@@ -505,6 +534,24 @@ def _(spark, sf):
     return _index(spark, sf, "v51", "train").select(*WEEK, *INDEX51)
 
 
+def _gap_index(spark, sf, v):
+    """The test cohort with missing temperatures, also in the first week."""
+    train, test = src.weekly(spark, sf, v)
+    gap = (F.col("region_id") % 2 == 0) & (F.col("week_idx") % 5 < 2)
+    op = features.index_v51 if v == "v51" else features.index_v54
+    return op(test.withColumn("tmp", F.when(~gap, F.col("tmp"))), features.fit_anomaly(train), False)
+
+
+@register("d8_index_v51_gaps", f"select region_id, week_idx, {qs(INDEX51)} from g51_filled")
+def _(spark, sf):
+    return _gap_index(spark, sf, "v51").select(*WEEK, *INDEX51)
+
+
+@register("d9_index_v54_gaps", f"select region_id, week_idx, {qs(INDEX54, 2)} from g54_filled", 2)
+def _(spark, sf):
+    return _gap_index(spark, sf, "v54").select(*WEEK, *INDEX54)
+
+
 @register("d8_index_v51_test", f"select region_id, week_idx, {qs(INDEX51)} from j51_test")
 def _(spark, sf):
     return _index(spark, sf, "v51", "test").select(*WEEK, *INDEX51)

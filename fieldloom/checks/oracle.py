@@ -192,6 +192,24 @@ for v, weeks, idx in (("51", 3, INDEX51), ("54", 7, INDEX54)):
     CTE[f"m{v}_train"] = f"select * replace ({logs}) from i{v}_train"
     CTE[f"m{v}_test"] = f"select * replace ({logs}, week_idx - {weeks} as week_idx) from j{v}_test where week_idx >= {weeks}"
 
+# The test cohort with weeks whose temperature is missing, the first one among them, so that gaps are filled.
+for v, idx in (("51", INDEX51), ("54", INDEX54)):
+    CTE[f"g{v}_weeks"] = f"select * replace (case when region_id % 2 = 0 and week_idx % 5 < 2 then null else tmp end as tmp) from w{v}_test"
+    CTE[f"g{v}_own"] = f"select region_id, avg(tmp) as own_mu from g{v}_weeks group by region_id"
+    CTE[f"g{v}_frames"] = index_frames(f"g{v}_weeks", v)
+    CTE[f"g{v}_z"] = (f"select x.*, (tmp - case when f.region_id is null then own_mu else f.mu end)/case when f.region_id is null then 1.0 else f.sd end as tmp_anomaly "
+                      f"from g{v}_frames x join g{v}_own using (region_id) left join fit{v} f on f.region_id = x.region_id")
+    CTE[f"g{v}_index"] = f"select *, {CROSS} from g54_z" if v == "54" else "select * from g51_z"
+    CTE[f"g{v}_filled"] = f"select * replace ({each(f'coalesce(last_value(@ ignore nulls) {WBACK}, 0) as @', idx)}) from g{v}_index"
+
+# Regions without any measure, so that only the overall mean is left to fill with.
+CTE["b_test"] = f"select {KEPT}, prec, surf_pre, " + each("case when region_id % 10 = 3 then null else @ end as @", CONTINUOUS) + " from p_test"
+CTE["b_short"] = limited("b_test")
+CTE["b_region"] = region_filled("b_short")
+CTE["b_filled"] = globally_filled("b_region")
+# A climatology with missing slots, so that padded days miss it.
+CTE["gap_pad"] = f"select p.region_id, p.date, {each('coalesce(b.@, (select @ from means51)) as @', MEASURES)} from pad51 p left join (select * from clim51 where (region_id + doy) % 3 <> 0) b using (region_id, doy)"
+
 # --- windows and folds -----------------------------------------------------------------------------
 F32 = "cast(cast({} as real) as double)"
 CTE["t_rows"] = (

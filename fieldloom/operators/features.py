@@ -141,6 +141,18 @@ def index_v54(weekly: DataFrame, stats: DataFrame, is_train: bool) -> DataFrame:
     return finish_index(index_frames_v54(weekly), stats, is_train, "v54")
 
 
+def cohort_counts(train: DataFrame, test: DataFrame, regions: int, train_rows: int, test_rows: int) -> DataFrame:
+    """Regions of each cohort against the expected number, spread of their sizes, and how many are off."""
+    parts = []
+    for name, df, rows in (("train", train, train_rows), ("test", test, test_rows)):
+        per = df.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+        parts.append(per.agg(
+            F.count(F.lit(1)).alias("regions"), F.min("n").alias("rows_min"), F.max("n").alias("rows_max"),
+            F.count(F.when(F.col("n") != rows, 1)).alias("violations")).select(
+            F.lit(name).alias("cohort"), "regions", F.lit(regions).cast("long").alias("expected"), "rows_min", "rows_max", "violations"))
+    return parts[0].unionByName(parts[1])
+
+
 def size_violations(df: DataFrame, expected: int) -> DataFrame:
     """Regions whose number of rows differs from ``expected``; empty when the panel is sound."""
     return df.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") != expected)
