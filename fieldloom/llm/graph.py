@@ -18,26 +18,28 @@ def _least_neighbour(directed: DataFrame) -> DataFrame:
     return salted.join(least, ["u", "salt"]).drop("salt")
 
 
+def _is_finished(e: DataFrame) -> bool:
+    """Whether every node has one edge at most, and that to a node without one: a forest of stars."""
+    ends = e.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        e.select(F.col("v").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    nodes = ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return nodes.filter("out > 1 OR (out = 1 AND into = 1)").limit(1).count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each component, for every node of ``edges`` (a, b: longs).
 
     Each round halves paths about; edges only ever point to smaller nodes, so a hot centre is one row per
-    neighbour. Rounds end when no edge changes. No edge leaves Spark.
+    neighbour. Rounds end with a forest of stars. No edge leaves Spark.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
     e = stage(e, "edges")
-    last = None
-    while True:
+    while not _is_finished(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least_neighbour(both).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stage(large.filter("u != v").distinct(), "edges")
         tied = _least_neighbour(large)
         small = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(tied.select("u", F.col("m").alias("v")))
         e = stage(small.filter("u != v").distinct(), "edges")
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == last:
-            break
-        last = state
-    roots = e.groupBy("u").agg(F.min("v").alias("root"))
-    return roots.select(F.col("u").alias("node"), "root").unionByName(
-        roots.select(F.col("root").alias("node"), "root").distinct())
+    roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

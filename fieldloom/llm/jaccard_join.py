@@ -438,7 +438,8 @@ def linked_sets(docs: DataFrame, doc_id: str, text: str, sim: Similarity) -> Dat
         ends = _ends(more).join(whole.select("rid"), "rid", "left_anti")
         both = whole.unionByName(stage(_whole_sets(docs, reps, ends, doc_id, text, sim), "whole"))
         extra = stage(_verified(more, both, sim), "links")
-        roots = stage(components(found.unionByName(extra)), "components")
+        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = stage(components(known.unionByName(extra)), "components")
     labelled = classes.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left")
     labelled = labelled.select("s1", "s2", F.coalesce("root", "rid").alias("root"))
     return sets.select("rid", "doc_id", "text_hash", "n", "s1", "s2").join(labelled, ["s1", "s2"], "left").drop("s1", "s2")

@@ -17,12 +17,16 @@ from dataclasses import dataclass
 import numpy as np
 
 FANOUT = 8
+LEAST_BITS = 2048
 BYTES_AT_ONCE = 1 << 23
 
 
 def width_of(n: int) -> int:
-    """Bits of the signature of a set of ``n`` tokens: a power of two, two to four per token."""
-    return max(64, 1 << int(2 * n - 1).bit_length())
+    """Bits of the signature of a set of ``n`` tokens: a power of two, two to four per token, 2,048 at least.
+
+    Small sets get many bits per token, so that hardly a pair passes by chance.
+    """
+    return max(LEAST_BITS, 1 << int(2 * n - 1).bit_length())
 
 
 def signature(tokens: np.ndarray) -> bytes:
