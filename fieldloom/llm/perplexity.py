@@ -3,7 +3,10 @@
 The model is over bytes (white space of any kind is a blank). Spark counts the n-grams of the
 highest order over every text, by language; lower orders follow from how many different n-grams continue
 them. Each n-gram's hash, its interpolated probability and, for contexts, the weight left for shorter
-ones, are stored in arrays sorted by hash with a directory of their leading bits.
+ones, are stored in arrays sorted by hash with a directory of their leading bits. No n-gram is left out: a model of
+more than ``SHARD_NGRAMS`` is cut into shards by language and by the two bytes before the last, which an n-gram of
+three or more bytes, its context and its suffixes down to three bytes share, so each shard has all that their
+probabilities need. Shorter ones are in every shard of their language. A task has one shard in memory at a time.
 
 A document's log-perplexity is the mean negative log-probability of its bytes. Each language gets a band from
 all its documents that pass the statistics: quartiles, from a histogram in steps of a thousandth, widened by
@@ -17,6 +20,7 @@ repeated rows count and are judged each by itself; columns of the same names as
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,12 +29,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import stage
+from ..session import shared_folder, stage
 from .text import aside, small_batches
 from .words import IS_SPACE, U, Words, mixed, text_slices, windows, words_of
 
 ORDER = 5
-MOST_NGRAMS = 4_000_000
+SHARD_NGRAMS = 4_000_000
+HELD_BYTES = 16 << 20
 FLUSH = 500_000
 BIN = 1000
 JUDGED = ("log_perplexity", "base_failed", "kept", "band_lang", "q1", "q3", "wide")
@@ -173,18 +178,34 @@ def ngram_hash(gram: np.ndarray, n: int, lang: int) -> np.ndarray:
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
     """D for counts 1, 2 and 3 or more, from how many n-grams occur once to four times."""
-    n = np.bincount(np.minimum(counts, 5), minlength=6)[1:5].astype(float)
+    return _discounts_of(np.bincount(np.minimum(counts, 5), minlength=6)[1:5].astype(float))
+
+
+def _discounts_of(n: np.ndarray) -> np.ndarray:
     y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
     d = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] and n[k] else 0.5 * k for k in (1, 2, 3)]
     return np.array([0.0, *(min(max(x, 0.05), k * 0.95) for k, x in zip((1, 2, 3), d))])
 
 
+@dataclass
+class Corpus:
+    """What a shard must know of all n-grams: ids of the languages, discounts by language and length, and by
+    language the two-byte n-grams with their counts."""
+
+    langs: dict[str | None, int]
+    discounts: dict[tuple[str | None, int], np.ndarray]
+    pairs: dict[str | None, tuple[np.ndarray, np.ndarray]]
+
+
 class KneserNey:
-    """Interpolated modified Kneser-Ney probabilities of byte n-grams for several languages."""
+    """Interpolated modified Kneser-Ney probabilities of byte n-grams for several languages.
 
-    def __init__(self, counts: dict[str | None, tuple[np.ndarray, np.ndarray]], order: int = ORDER):
+    Without ``corpus`` the counts are all there are; with it, those of one shard.
+    """
+
+    def __init__(self, counts: dict[str | None, tuple[np.ndarray, np.ndarray]], order: int = ORDER, corpus: Corpus | None = None):
         self.order = order
-        self.langs = {name: i for i, name in enumerate(sorted(counts, key=str))}
+        self.langs = corpus.langs if corpus else {name: i for i, name in enumerate(sorted(counts, key=str))}
         grams: list[list] = [[] for _ in range(order + 1)]
         probs: list[list] = [[] for _ in range(order + 1)]
         contexts: list[list] = [[] for _ in range(order + 1)]
@@ -193,11 +214,12 @@ class KneserNey:
             lang = self.langs[name]
             levels = {order: (gram, n)}
             for k in range(order - 1, 0, -1):
-                levels[k] = np.unique(levels[k + 1][0] & U((1 << 8 * k) - 1), return_counts=True)
+                levels[k] = corpus.pairs[name] if corpus and k == 2 else np.unique(
+                    levels[k + 1][0] & U((1 << 8 * k) - 1), return_counts=True)
             below, below_p = None, None
             for k in range(1, order + 1):
                 gram, n = levels[k]
-                d = _discounts(n)
+                d = corpus.discounts[name, k] if corpus and k > 2 else _discounts(n)
                 context, back = np.unique(gram >> U(8), return_inverse=True)
                 total = np.bincount(back, n)
                 cut = d[np.minimum(n, 3)]
@@ -233,38 +255,125 @@ class KneserNey:
         out[todo] += np.log(1.0 / 257)
         return out
 
-    def mean_negative_log(self, words: Words, lang: int) -> np.ndarray:
-        """Log-perplexity of each text, NaN for those shorter than the order."""
-        inside = _inside(words, self.order)
-        values = np.zeros(len(words.data))
+
+@dataclass
+class Shards:
+    """A model as broadcast ``KneserNey`` parts; ``first`` is the least key (language, two bytes) of each."""
+
+    langs: dict[str | None, int]
+    order: int
+    first: np.ndarray
+    parts: list
+
+    @staticmethod
+    def of(spark, model: "KneserNey | Shards") -> "Shards":
+        if isinstance(model, Shards):
+            return model
+        return Shards(model.langs, model.order, np.zeros(1, np.int64), [spark.sparkContext.broadcast(model)])
+
+    @property
+    def held_bytes(self) -> int:
+        """Bytes of text worth holding for one walk over the parts."""
+        return HELD_BYTES if len(self.parts) > 1 else 0
+
+    def look_up(self, grams: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        """Log-probabilities of packed n-grams by language; each part is loaded once and let go."""
+        out = {lang: np.zeros(len(g)) for lang, g in grams.items()}
+        to = {lang: np.searchsorted(self.first, (lang << 16) + (g >> U(8) & U(0xFFFF)).astype(np.int64), "right") - 1
+              for lang, g in grams.items()}
+        for i, held in enumerate(self.parts):
+            mine = {lang: at for lang in grams if len(at := np.flatnonzero(to[lang] == i))}
+            if not mine:
+                continue
+            part = held.value
+            if len(self.parts) > 1 and held._path:  # else it stays loaded beside the next one
+                vars(held).pop("_value", None)
+            for lang, at in mine.items():
+                out[lang][at] = part.log_probability(grams[lang][at], lang)
+            del part
+        return out
+
+    def log_probability(self, gram: np.ndarray, lang: int) -> np.ndarray:
+        return self.look_up({lang: gram})[lang]
+
+
+def mean_negative_log(texts: Iterator[tuple[int, Words]], model: Shards) -> list[np.ndarray]:
+    """Log-perplexity of each text of each (language, words), NaN for those shorter than the order."""
+    slices = []
+    for lang, words in texts:
+        inside = _inside(words, model.order)
         at = np.flatnonzero(inside)
-        unique, back = np.unique(packed(words.data, self.order)[at], return_inverse=True)
-        values[at] = self.log_probability(unique, lang)[back]
+        unique, back = np.unique(packed(words.data, model.order)[at], return_inverse=True)
         flags = np.zeros(len(words.data), bool)
         flags[at] = True
-        n = _per_text(flags, words.offsets)
+        slices.append((lang, unique, back.astype(np.int32), _per_text(flags, words.offsets)))
+    grams = {}
+    for lang in {x[0] for x in slices}:
+        mine = [x[1] for x in slices if x[0] == lang]
+        grams[lang] = np.unique(np.concatenate(mine)) if len(mine) > 1 else mine[0]
+    found, out = model.look_up(grams), []
+    for lang, unique, back, n in slices:
+        values = found[lang][np.searchsorted(grams[lang], unique)][back]
+        sums = np.r_[0, np.cumsum(values)][np.r_[0, np.cumsum(n)]]
         with np.errstate(invalid="ignore", divide="ignore"):
-            return -_per_text(values, words.offsets) / n
-
+            out.append(-np.diff(sums) / n)
+    return out
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER) -> KneserNey:
-    """Count in Spark, store, and build the arrays.
 
-    The arrays go to every task, so n-grams rarer than the least count that leaves at most
-    ``MOST_NGRAMS`` are pruned; back-off covers them.
-    """
-    counts = stage(count_ngrams(docs, text, lang, order), "ngrams")
-    least = 1
-    while counts.filter(F.col("n") >= least).count() > MOST_NGRAMS:
-        least *= 2
-    table = counts.filter(F.col("n") >= least).toArrow()
+def _by_language(table: pa.Table) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
+    """(gram, n) of each language in order of gram."""
     found = {}
     for name in table.column("lang").unique().to_pylist():
         mine = table.filter(pc.is_null(table["lang"]) if name is None else pc.fill_null(pc.equal(table["lang"], name), False))
         gram = mine.column("gram").to_numpy().view(U)
         by = np.argsort(gram)
         found[name] = gram[by], mine.column("n").to_numpy()[by]
-    return KneserNey(found, order)
+    return found
+
+
+def survey(counts: DataFrame, order: int) -> Corpus:
+    """Discounts and two-byte n-grams from all counts, by grouping them in Spark."""
+    level, discounts = counts, {}
+    for k in range(order, 2, -1):
+        seen = level.groupBy("lang").agg(*[F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in range(1, 5)])
+        for row in seen.collect():
+            discounts[row["lang"], k] = _discounts_of(np.array(row[1:], float))
+        level = stage(level.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)).alias("gram")).agg(
+            F.count(F.lit(1)).alias("n")), f"ngrams-{k - 1}")
+    pairs = _by_language(level.toArrow())
+    return Corpus({name: i for i, name in enumerate(sorted(pairs, key=str))}, discounts, pairs)
+
+
+def _sharded(counts: DataFrame, order: int) -> Shards:
+    spark = counts.sparkSession
+    corpus = survey(counts, order)
+    counts = counts.withColumn("pair", F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)))
+    groups = sorted((corpus.langs[r["lang"]], r["pair"], r["count"], r["lang"]) for r in counts.groupBy("lang", "pair").count().collect())
+    first, placed, size, last = [], [], SHARD_NGRAMS, None
+    for lang, pair, n, name in groups:
+        if size + n > SHARD_NGRAMS and size:
+            first.append((lang << 16) + (pair if lang == last else 0))
+            size = 0
+        placed.append((name, pair, len(first) - 1))
+        size, last = size + n, lang
+    places = spark.createDataFrame(placed, "name string, at long, shard int")
+    path = f"{shared_folder(spark)}/fieldloom/ngram-shards-{uuid.uuid4().hex}"
+    counts.join(F.broadcast(places), F.col("lang").eqNullSafe(F.col("name")) & (F.col("pair") == F.col("at"))).select(
+        "lang", "gram", "n", "shard").write.partitionBy("shard").parquet(path)
+    stored = spark.read.schema("lang string, gram long, n long, shard int").parquet(path)
+    parts = []
+    for i in range(len(first)):
+        part = _by_language(stored.filter(F.col("shard") == i).select("lang", "gram", "n").toArrow())
+        parts.append(spark.sparkContext.broadcast(KneserNey(part, order, corpus)))
+    return Shards(corpus.langs, order, np.array(first, np.int64), parts)
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER) -> KneserNey | Shards:
+    """Count in Spark, store, and build the arrays, one shard after another."""
+    counts = stage(count_ngrams(docs, text, lang, order), "ngrams")
+    if order > 2 and counts.count() > SHARD_NGRAMS:
+        return _sharded(counts, order)
+    return KneserNey(_by_language(counts.toArrow()), order)
 
 
 # --- the rules ----------------------------------------------------------------------------------
@@ -277,31 +386,49 @@ class Rules:
     least_docs: int = 100
 
 
-def measure(docs: DataFrame, model: KneserNey, text: str = "text", lang: str = "lang") -> DataFrame:
+def _held(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together while they have fewer than ``most`` bytes."""
+    pending: list[pa.RecordBatch] = []
+    for batch in batches:
+        pending.append(batch)
+        if sum(b.nbytes for b in pending) >= most:
+            yield pending[0] if len(pending) == 1 else pa.concat_batches(pending)
+            pending = []
+    if pending:
+        yield pa.concat_batches(pending)
+
+
+def measure(docs: DataFrame, model: KneserNey | Shards, text: str = "text", lang: str = "lang") -> DataFrame:
     """``docs`` with the five statistics and log_perplexity."""
     kept = [c for c in docs.columns if c.lower() not in (*STATISTICS, "log_perplexity")]
     small_batches(docs)
     zero = [F.lit(0).cast("long").alias(c) for c in STATISTICS]
     wide = docs.select(*kept, *zero, F.lit(None).cast("double").alias("log_perplexity"))
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    model = Shards.of(docs.sparkSession, model)
     text_at, lang_at, columns = kept.index(text), kept.index(lang), len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        for batch in batches:
+        for batch in _held(batches, model.held_bytes):
             found = {c: np.zeros(len(batch), np.int64) for c in STATISTICS}
             score = np.full(len(batch), np.nan)
             names = batch.column(lang_at)
-            for name in names.unique().to_pylist():
-                mine = pc.is_null(names) if name is None else pc.fill_null(pc.equal(names, name), False)
-                rows = np.flatnonzero(mine.to_numpy(zero_copy_only=False))
-                for at, part in text_slices(batch.column(text_at).filter(mine)):
-                    words = words_of(part)
-                    here = rows[at:at + len(part)]
-                    for c, values in statistics(words).items():
-                        found[c][here] = values
-                    if name in model.langs:
-                        score[here] = model.mean_negative_log(words, model.langs[name])
+            scored = []
+
+            def known() -> Iterator[tuple[int, Words]]:
+                for name in names.unique().to_pylist():
+                    mine = pc.is_null(names) if name is None else pc.fill_null(pc.equal(names, name), False)
+                    rows = np.flatnonzero(mine.to_numpy(zero_copy_only=False))
+                    for at, part in text_slices(batch.column(text_at).filter(mine)):
+                        words = words_of(part)
+                        here = rows[at:at + len(part)]
+                        for c, values in statistics(words).items():
+                            found[c][here] = values
+                        if name in model.langs:
+                            scored.append(here)
+                            yield model.langs[name], words
+
+            for here, values in zip(scored, mean_negative_log(known(), model)):
+                score[here] = values
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:columns], *(pa.array(found[c]) for c in STATISTICS),
                  pa.array(score, pa.float64(), from_pandas=True)], names=batch.schema.names)

@@ -130,6 +130,27 @@ def test_model_against_brute_force(spark):
         assert np.exp(model.log_probability(gram, model.langs["en"]))[0] == pytest.approx(p(tuple(test.encode())), rel=1e-4)
 
 
+def test_a_model_in_shards_leaves_nothing_out(spark, monkeypatch):
+    rnd = random.Random(7)
+    vocab = ["".join(rnd.choice("abcdeé") for _ in range(rnd.randrange(2, 6))) for _ in range(80)]
+    rows = [(i, " ".join(rnd.choice(vocab) for _ in range(40)), lang) for i, lang in enumerate(["aa"] * 30 + ["bb", None] * 3)]
+    rows += [(90, "QZ", "bb"), (91, None, "aa"), (92, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = perplexity.fit(docs)
+    want = {r.doc_id: r.log_perplexity for r in perplexity.measure(docs, whole).collect()}
+    monkeypatch.setattr(perplexity, "SHARD_NGRAMS", 300)
+    cut = perplexity.fit(docs)
+    assert len(cut.parts) > 5 and cut.langs == whole.langs
+    for held in (perplexity.HELD_BYTES, 1):
+        monkeypatch.setattr(perplexity, "HELD_BYTES", held)
+        got = {r.doc_id: r.log_perplexity for r in perplexity.measure(docs, cut).collect()}
+        assert got == {d: p if p is None else pytest.approx(p, rel=1e-6) for d, p in want.items()}
+    for lang in whole.langs.values():
+        for text in ("abcdeabc cab edcb", "zzzzzzz", "azbzczdz a", "XYa bdcÿ"):
+            gram = perplexity.packed(np.frombuffer(text.encode(), np.uint8), 5)
+            assert cut.log_probability(gram, lang) == pytest.approx(whole.log_probability(gram, lang), rel=1e-5)
+
+
 def test_bands_reject_what_is_unlike_its_language(spark):
     rnd = random.Random(2)
     vocab = ["".join(rnd.choice("aeioulmnrst") for _ in range(rnd.randrange(2, 8))) for _ in range(200)]
