@@ -842,15 +842,9 @@ def _(spark, sf):
     return long_form.select("fold", "region_id", "start", "horizon", "occurs")
 
 
-#: Settings of the model queries: the default step and patience rule with fewer rounds and shallower trees.
-QUICK = hurdle.HurdleSettings(
-    severity=hurdle.TreeSettings(rounds=6, patience=2, depth=3, min_rows=20, features="0.1", bins=16),
-    occurrence=hurdle.TreeSettings(rounds=6, patience=2, depth=3, step=0.02, min_rows=20, features="0.1", bins=16))
-
-
 def _trained(spark, sf):
     return src.stored(spark, sf, "trained", lambda: modelling.train(
-        src.samples(spark, sf), QUICK, model_folder=_folder(spark, sf, "models")))
+        src.samples(spark, sf), model_folder=_folder(spark, sf, "models")))
 
 
 @register("m2_m3_hurdle_out_of_fold")
@@ -1259,16 +1253,13 @@ def _(spark, sf):
     return explore.cluster_pairs(_stats54(spark, sf))
 
 
-ADVERSARIAL = hurdle.TreeSettings(rounds=20, patience=5, depth=4, step=0.1, min_rows=20, features="all", subsample=1.0)
-
-
 def _adversarial(spark, sf):
     """All numeric columns that both cohorts have."""
     def build():
         train, test = _tr(spark, sf), _te(spark, sf)
         numeric = {f.name for f in train.schema if isinstance(f.dataType, T.NumericType)}
         cols = [c for c in test.columns if c in numeric and c not in (*WEEK, "day_ordinal", "cluster_id")]
-        return hurdle.adversarial(train, test, cols, ADVERSARIAL)
+        return hurdle.adversarial(train, test, cols)
     return src.stored(spark, sf, "adversarial", build)
 
 
