@@ -270,11 +270,16 @@ def _cut_block(rids: np.ndarray, sizes: np.ndarray, sim: Similarity) -> Iterator
     order = np.argsort(sizes, kind="stable")
     rids, sizes, half = rids[order], sizes[order], sim.block // 2
     starts = range(0, len(rids), half)
+    met = 0  # halves before this place were in a block
     for i in starts:
         top = sizes[min(i + half, len(rids)) - 1]
         for j in starts:
             if j > i and sim.num * sizes[j] <= sim.den * top:
+                met = max(met, j + half)
                 yield np.concatenate([rids[i:i + half], rids[j:j + half]])
+        if met <= i:  # like no other half in size
+            met = i + half
+            yield rids[i:i + half]
 
 
 def blocks_of(reps: DataFrame, sim: Similarity) -> DataFrame:

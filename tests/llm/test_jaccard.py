@@ -7,7 +7,7 @@ import pytest
 
 import awkward
 from fieldloom.llm.graph import components
-from fieldloom.llm.jaccard_join import Similarity, jaccard_groups, keep_one
+from fieldloom.llm.jaccard_join import Similarity, _cut_block, jaccard_groups, keep_one
 from fieldloom.llm.signature_tree import similar_candidates, signature
 
 
@@ -65,6 +65,26 @@ def test_groups_equal_brute_force_however_the_work_is_cut(spark, sim):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(docs)
 
 
+@pytest.mark.parametrize("sizes", [[100] * 4 + [400] * 5, [100] * 8 + [400] * 4, [10] * 4 + [100] * 4 + [1000] * 4, [100] * 6 + [400] * 6 + [2000]])
+def test_all_pairs_of_a_long_list_meet_where_sizes_jump(sizes):
+    sim, n = Similarity(block=8), np.array(sizes)
+    blocks = [set(b.tolist()) for b in _cut_block(np.arange(len(n)), n, sim)]
+    assert all(len(b) <= 8 for b in blocks)
+    for i, j in combinations(range(len(n)), 2):
+        assert 4 * n[i] < 3 * n[j] or any({i, j} <= b for b in blocks)
+
+
+def test_a_list_whose_halves_are_like_no_other_keeps_its_links(spark):
+    rnd = random.Random(4)
+    docs = []
+    for i, size in enumerate([20, 80, 320]):
+        base = [f"t{i}_{rnd.randrange(10**6)}" for _ in range(size)]
+        docs += [" ".join([*base, f"x{i}_{k}"]) for k in range(4)]
+    docs = list(enumerate("a b c d e " + d for d in docs))
+    got = jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string"), sim=Similarity(block=8, few=1, often=10**9))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(docs)
+
+
 def test_awkward_documents(spark):
     docs = [(r[0], r[1]) for r in awkward.rows(long_words=5000)]
     got = jaccard_groups(awkward.frame(spark, long_words=5000))
