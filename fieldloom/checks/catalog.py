@@ -763,8 +763,8 @@ def _(spark, sf):
 
 
 #: Every fourth region has three weeks only, so its first row is repeated.
-SHORT = "select * from m51_test where region_id % 4 <> 0 or week_idx < 3"
-T4_ROWS = "select region_id as k, region_id % 97 as o, 13 - n + r as w, " + ", ".join(PANEL_FEATURES) + " from (select region_id, unnest(case when r = 1 then range(r - (13 - n), r + 1) else [r] end) as r, n, " + ", ".join(PANEL_FEATURES) + " from (select region_id, " + ", ".join(f"cast({c} as real) as {c}" for c in PANEL_FEATURES) + f", row_number() over (partition by region_id order by week_idx) as r, count(*) over (partition by region_id) as n from ({SHORT})))"
+SHORT_HISTORIES = "select * from m51_test where region_id % 4 <> 0 or week_idx < 3"
+T4_ROWS = "select region_id as k, region_id % 97 as o, 13 - n + r as w, " + ", ".join(PANEL_FEATURES) + " from (select region_id, unnest(case when r = 1 then range(r - (13 - n), r + 1) else [r] end) as r, n, " + ", ".join(PANEL_FEATURES) + " from (select region_id, " + ", ".join(f"cast({c} as real) as {c}" for c in PANEL_FEATURES) + f", row_number() over (partition by region_id order by week_idx) as r, count(*) over (partition by region_id) as n from ({SHORT_HISTORIES})))"
 
 
 @register("t4_last_window_elements", _elements_sql(T4_ROWS, "k", "o"), 2)

@@ -14,6 +14,12 @@ def spark():
     return local_session(8, "6g", partitions=4)
 
 
+@pytest.fixture(scope="session")
+def sf_dir():
+    """The smallest of the given tables."""
+    return SF_DIR
+
+
 @pytest.fixture
 def small_chunks(monkeypatch):
     """Chunks of eight weeks, so that even short series cross chunk borders."""

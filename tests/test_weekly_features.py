@@ -101,18 +101,16 @@ def test_fused_plan_shuffles_weeks_not_days(spark):
     assert "SortAggregate" not in text and text.count("HashAggregate") == 2
 
 
-def test_pipeline_shapes(spark):
-    from conftest import SF_DIR
+def test_pipeline_shapes(spark, sf_dir):
     from fieldloom.checks import inputs
-    train, test = inputs.panels(spark, SF_DIR, "v51")
+    train, test = inputs.panels(spark, sf_dir, "v51")
     assert train.count() == 10 * 343 and test.count() == 10 * 13
     assert {"cluster_id"}.isdisjoint(train.columns) and "score" not in test.columns
     assert features.size_violations(test, 13).count() == 0
 
 
-def test_fixture_totals(spark):
-    from conftest import SF_DIR
-    r = panel.order_line_panel(spark, SF_DIR).agg(
+def test_fixture_totals(spark, sf_dir):
+    r = panel.order_line_panel(spark, sf_dir).agg(
         F.count("*"), F.count("prec"), F.round(F.sum("prec"), 3), F.round(F.sum("tmp"), 3), F.count("score"), F.sum("score")).first()
     assert tuple(r) == (24988, 5333, 7712.9, 175184.113, 3430, 4110.5)
 
