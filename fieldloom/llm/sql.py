@@ -131,3 +131,20 @@ e as (select x, y from i join n p on x = p.doc_id join n q on y = q.doc_id where
 r as (select x, y from e union select r.x, e.y from r join e on r.y = e.x)
 select t.doc_id, coalesce(any_value(n.n), 0) as n_shingles, least(t.doc_id, coalesce(min(r.y), t.doc_id)) as component_id
 from t left join n on t.doc_id = n.doc_id left join r on t.doc_id = r.x group by t.doc_id"""
+
+
+REPEATS = r"""
+with d as (select doc_id, encode(coalesce(text, '')) as b from documents),
+w as (select doc_id, b, unnest(range(1, octet_length(b) - 98)) as i from d where octet_length(b) >= 100),
+k as (select doc_id, i, row_number() over (partition by b[i:i + 99] order by doc_id, i) as r from w),
+s as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 100 then 0 else 1 end as new from k where r > 1),
+g as (select doc_id, i, sum(new) over (partition by doc_id order by i) as g from s),
+p as (select doc_id, g, min(i) as a, max(i) + 100 as e from g group by doc_id, g),
+q as (select doc_id, coalesce(lag(e) over (partition by doc_id order by a), 1) as f, a - 1 as t, e - a as removed from p
+  union all select doc_id, max(e), 2000000000, 0 from p group by doc_id),
+o as (select q.doc_id, sum(removed) as n_removed, count(*) - 1 as n_spans,
+    sha256(unhex(string_agg(case when f <= t then hex(b[f:t]) else '' end, '' order by f))) as kept_sha256
+  from q join d using (doc_id) group by q.doc_id)
+select d.doc_id, octet_length(b)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  coalesce(kept_sha256, sha256(b)) as kept_sha256
+from d left join o using (doc_id)"""
