@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from . import decontaminate, jaccard_join, language_id, line_dedup, mixing, perplexity, secrets, spelling, sql, suffix_dedup, token_counts, toxicity, url_filter
+from . import collocations, decontaminate, jaccard_join, language_id, line_dedup, mixing, perplexity, secrets, spelling, sql, suffix_dedup, token_counts, toxicity, url_filter
 
 #: Fixed rules of the url query.
 URL_RULES = [
@@ -105,11 +105,15 @@ def op11_suffix_dedup(spark, sf_dir) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def op12_collocations(spark, sf_dir) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark, sf_dir) -> DataFrame:
     return spelling.variant_groups(spelling.count_words(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_toxicity, op4_ngram_jaccard, op5_perplexity_rules, op6_edit_token_counts, op7_url_filter, op8_line_dedup, op9_decontaminate, op10_secret_scan,
-                                       op11_suffix_dedup, op13_spelling_variants)}
+                                       op11_suffix_dedup, op12_collocations, op13_spelling_variants)}
 SQL = {"op1_mix_sources": sql.MIX, "op4_ngram_jaccard": sql.JACCARD, "op7_url_filter": sql.urls(URL_RULES), "op8_line_dedup": sql.LINES,
-       "op10_secret_scan": sql.SECRETS, "op11_suffix_dedup": sql.REPEATS}
+       "op10_secret_scan": sql.SECRETS, "op11_suffix_dedup": sql.REPEATS, "op12_collocations": sql.PHRASES}

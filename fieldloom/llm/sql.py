@@ -148,3 +148,24 @@ o as (select q.doc_id, sum(removed) as n_removed, count(*) - 1 as n_spans,
 select d.doc_id, octet_length(b)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
   coalesce(kept_sha256, sha256(b)) as kept_sha256
 from d left join o using (doc_id)"""
+
+
+PHRASES = r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+n as (select lang, sum(len(w))::bigint as n from w group by lang),
+g as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase
+  from w, range(1, 6) r(k) where len(w) >= k),
+f as (select lang, k, phrase, count(*) as f from g group by all having count(*) >= 100),
+inner_ as (select lang, f, string_split(phrase, ' ') as x, k, unnest(range(2, k)) as m from f where k > 2),
+held as (select lang, unnest(list_transform(range(1, k - m + 2), lambda i: array_to_string(x[i:i + m - 1], ' '))) as phrase, f from inner_),
+top as (select lang, phrase, max(f) as longer from held group by all),
+c as (select f.lang, f.phrase, f.f as a, string_split(f.phrase, ' ') as x, unnest(range(1, k)) as j
+  from f left join top using (lang, phrase) where k > 1 and (longer is null or longer < f.f)),
+s as (select c.lang, c.phrase, a, j, l.f as l, r.f as r, n, (1000::hugeint * a * n) // (l.f::hugeint * r.f) as score
+  from c join f l on l.lang = c.lang and l.phrase = array_to_string(x[1:j], ' ')
+  join f r on r.lang = c.lang and r.phrase = array_to_string(x[j + 1:], ' ') join n on n.lang = c.lang),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score::bigint as score
+from b qualify rank <= 2000"""
