@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..constants import (
     BOX_FEATURES, CLIPPED, CLUSTER_FEATURES_V51, CLUSTER_FEATURES_V54, COMPARED_FEATURES, DENSITY_FEATURES,
@@ -285,6 +285,13 @@ def _(spark, sf):
     return clean.log_rain_columns(src.weekly(spark, sf, "v51")[0]).select("region_id", "week_idx", "prec", "prec_week_max")
 
 
+@register("f3_log_rain_rolled", "select region_id, week_idx, " + each("round(cast(ln(1 + case when @ < 0 then 0.0 else @ end) as double) + 2.3e-9, 6) + 0.0 as @", ["prec", "prec_week_max", "prec_roll_sum_4w"])
+          + " from (select region_id, week_idx, prec, prec_week_max, sum(prec) over (partition by region_id order by week_idx rows between 3 preceding and current row) as prec_roll_sum_4w from w51_train)", 6)
+def _(spark, sf):
+    """All three columns, the rolled one made first."""
+    return clean.log_rain_columns(features.rolling(_train_w(spark, sf, "v51"))).select("region_id", "week_idx", "prec", "prec_week_max", "prec_roll_sum_4w")
+
+
 @register("f4_drop_columns", f"select region_id, week_idx, {qs(['tmp_max', 'wind_min'])} from w51_train")
 def _(spark, sf):
     out = clean.drop_unused(src.weekly(spark, sf, "v51")[0])
@@ -713,6 +720,30 @@ def _(spark, sf):
     return windows.refine(src.panels(spark, sf, "v51")[1], False).select(*WEEK, "prec", "tmp_anomaly", "wind_min")
 
 
+def _holes(df):
+    """The panel with every feature missing in weeks of its own: about one row in twelve loses one."""
+    gap = lambda i: (F.col("region_id") * 7 + F.col("week_idx") * 3 + i * 11) % 360 == 0
+    return df.withColumns({c: F.when(~gap(i), F.col(c)) for i, c in enumerate(PANEL_FEATURES)})
+
+
+def _holes_sql(table):
+    return "select region_id, week_idx, " + ", ".join(
+        f"case when (region_id*7 + week_idx*3 + {i * 11}) % 360 <> 0 then {c} end as {c}" for i, c in enumerate(PANEL_FEATURES)) + f" from {table}"
+
+
+@register("t2_refine_train_gaps", f"select region_id, week_idx, {qs(PANEL_FEATURES)} from ({_holes_sql('m51_train')}) where " + " and ".join(f"{c} is not null" for c in PANEL_FEATURES))
+def _(spark, sf):
+    """Rows with a gap in any of the 30 columns are dropped."""
+    return windows.refine(_holes(src.panels(spark, sf, "v51")[0]), True).select(*WEEK, *PANEL_FEATURES)
+
+
+@register("t2_refine_test_gaps", "select region_id, week_idx, " + ", ".join(q(f"coalesce(last_value({c} ignore nulls) over (partition by region_id order by week_idx rows between unbounded preceding and current row), 0)", c) for c in PANEL_FEATURES)
+          + f" from ({_holes_sql('m51_test')})")
+def _(spark, sf):
+    """Gaps take the last known value of the region, or 0."""
+    return windows.refine(_holes(src.panels(spark, sf, "v51")[1]), False).select(*WEEK, *PANEL_FEATURES)
+
+
 NF = len(PANEL_FEATURES)
 
 
@@ -734,20 +765,20 @@ def _(spark, sf):
     return _window_digest(windows.sliding_windows(weekly, PANEL_FEATURES))
 
 
-def _elements(df, order):
-    """Sum, weighted sum and extremes of each of the 420 places of ``x``: a permutation would change them."""
+def _elements(df, order, cols=PANEL_FEATURES):
+    """Sum, weighted sum and extremes of each of the places of ``x``: a permutation would change them."""
     each_one = df.select(order.alias("o"), F.posexplode("x").alias("pos", "v"))
     v = F.col("v").cast("double")
-    names = F.array(*[F.lit(x) for x in windows.flat_names(PANEL_FEATURES)])
+    names = F.array(*[F.lit(x) for x in windows.flat_names(cols)])
     return each_one.groupBy("pos").agg(
         F.count(F.lit(1)).alias("n"), F.sum(v).alias("total"), F.avg(v * F.col("o")).alias("weighted"), F.min(v).alias("low"),
         F.max(v).alias("high")).select(F.element_at(names, F.col("pos") + 1).alias("name"), "n", "total", "weighted", "low", "high")
 
 
-def _elements_sql(rows, first, order):
+def _elements_sql(rows, first, order, cols=PANEL_FEATURES):
     """The same from single rows: ``rows`` has w (week in the window, from 1) and the features."""
-    per = ", ".join(f"{{'c': '{c}', 's': sum({c}::double), 'p': avg({c}::double * {order}), 'a': min({c})::double, 'b': max({c})::double}}" for c in PANEL_FEATURES)
-    delta = ", ".join(f"l.{c} - f.{c} as {c}" for c in PANEL_FEATURES)
+    per = ", ".join(f"{{'c': '{c}', 's': sum({c}::double), 'p': avg({c}::double * {order}), 'a': min({c})::double, 'b': max({c})::double}}" for c in cols)
+    delta = ", ".join(f"l.{c} - f.{c} as {c}" for c in cols)
     return (f"select p.c || w as name, n, {q('p.s', 'total', 2)}, {q('p.p', 'weighted', 2)}, {q('p.a', 'low', 2)}, {q('p.b', 'high', 2)} from ("
             f"select '_w' || w as w, count(*) as n, unnest([{per}]) as p from ({rows}) group by w union all "
             f"select '_delta', count(*), unnest([{per}]) from (select l.o, {delta} from ({rows}) l join ({rows}) f on f.k = l.k and l.w = 13 and f.w = 1))")
@@ -827,6 +858,25 @@ def _(spark, sf):
     return src.samples(spark, sf).test.select("fold", "region_id", "region_mean_score", "region_zero_prob")
 
 
+@register("t9_all_window_digests", f"select {', '.join(DIGEST)}, {qs(YS + ['x_sum', 'd_sum', 'x_first', 'x_last'], 2)} from t_windows", 2)
+def _(spark, sf):
+    """Every window with its sums and targets, from the stored weeks and without folds."""
+    return _window_digest(windows.sliding_windows(src.samples(spark, sf).weekly, PANEL_FEATURES))
+
+
+WIDE = len(PANEL_FEATURES) + 2
+WIDE_ROWS = ("select fold || '|' || w.region_id || '|' || w.start as k, w.start % 97 as o, r.pos - w.start + 1 as w, " + ", ".join(f"r.{c}" for c in PANEL_FEATURES)
+             + ", cast(e.region_mean_score as real) as region_mean_score, cast(e.region_zero_prob as real) as region_zero_prob"
+             + " from t_folds w join t_rows r on r.region_id = w.region_id and r.pos between w.start and w.start + 12 join t_encoding e using (fold, region_id) where w.split = 'val'")
+
+
+@register("t1_wide_sample", _elements_sql(WIDE_ROWS, "k", "o", [*PANEL_FEATURES, "region_mean_score", "region_zero_prob"]), 2)
+def _(spark, sf):
+    """The 448 places of the validation windows, features and encodings in order, by name."""
+    val = src.samples(spark, sf).folded.filter("split = 'val'")
+    return _elements(encoding.flat_with_encoding(val, NF), F.col("start") % 97, [*PANEL_FEATURES, "region_mean_score", "region_zero_prob"])
+
+
 @register("t9_all_windows", "select region_id, count(*) as windows, max(start) as last_start from t_windows group by region_id")
 def _(spark, sf):
     weekly = src.samples(spark, sf).weekly
@@ -842,9 +892,13 @@ def _(spark, sf):
     return long_form.select("fold", "region_id", "start", "horizon", "occurs")
 
 
+#: Labelled windows from which a fold of the model queries learns; all else as the operators have it.
+LABELLED = 2_000
+
+
 def _trained(spark, sf):
     return src.stored(spark, sf, "trained", lambda: modelling.train(
-        src.samples(spark, sf), model_folder=_folder(spark, sf, "models")))
+        src.samples(spark, sf), hurdle.HurdleSettings(most_rows=LABELLED), model_folder=_folder(spark, sf, "models")))
 
 
 @register("m2_m3_hurdle_out_of_fold")
@@ -892,6 +946,21 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("regions"), F.count(F.when((F.col("a") != F.col("pred_a")) | (F.col("b") != F.col("prob_b")), 1)).alias("different"))
 
 
+@register("s7_stored_trees", "select fold, horizon, part, true as has_trees, true as leaves_are_large, cast(0 as bigint) as broken from (select cast(range as bigint) as fold from range(0, 4)), (select cast(range as bigint) as horizon from range(1, 6)), (select unnest(['severity', 'occurrence']) as part)")
+def _(spark, sf):
+    """The node tables of all stored models: numbers of trees, smallest leaves, and nodes that do not fit together."""
+    _trained(spark, sf)
+    folder, s = _folder(spark, sf, "models"), hurdle.HurdleSettings()
+    paths = [hurdle.model_path(folder, part, fold, h) for part in ("severity", "occurrence") for fold in range(4) for h in range(1, 6)]
+    name = lambda i: F.regexp_extract("model", r"^(\w+)_fold(\d+)_h(\d+)$", i)
+    least = F.when(name(1) == "severity", s.severity.min_rows).otherwise(s.occurrence.min_rows)
+    most = F.when(name(1) == "severity", s.severity.rounds).otherwise(s.occurrence.rounds)
+    return hurdle.tree_checks(hurdle.tree_nodes(spark, paths)).select(
+        name(2).cast("long").alias("fold"), name(3).cast("long").alias("horizon"), name(1).alias("part"),
+        F.col("trees").between(1, most).alias("has_trees"), ((F.col("leaves") == F.col("trees")) | (F.col("least_rows") >= least)).alias("leaves_are_large"),
+        "broken")
+
+
 @register("m5_gate_out_of_fold", "select region_id, fold, horizon, " + q("pred") + " from gated")
 def _(spark, sf):
     return _gated(spark, sf).select("region_id", "fold", "horizon", "pred")
@@ -1259,7 +1328,7 @@ def _adversarial(spark, sf):
         train, test = _tr(spark, sf), _te(spark, sf)
         numeric = {f.name for f in train.schema if isinstance(f.dataType, T.NumericType)}
         cols = [c for c in test.columns if c in numeric and c not in (*WEEK, "day_ordinal", "cluster_id")]
-        return hurdle.adversarial(train, test, cols)
+        return (*hurdle.adversarial(train, test, cols), cols)
     return src.stored(spark, sf, "adversarial", build)
 
 
@@ -1268,6 +1337,18 @@ def _(spark, sf):
     return hurdle.adversarial_summary(_adversarial(spark, sf)[0])
 
 
+@register("x23_auc_checks", "select true as above_chance, true as band_fits, (select count(*) from e_train) as train_rows, (select count(*) from e_test) as test_rows")
+def _(spark, sf):
+    """The AUC of the fitted models against bounds; the AUC of given scores is compared by value below."""
+    scored = _adversarial(spark, sf)[0]
+    rows = scored.agg(F.count(F.when(F.col("label") == 0, 1)).alias("a"), F.count(F.when(F.col("label") == 1, 1)).alias("b")).agg(F.first(F.struct("a", "b"))).scalar()
+    auc, shift = F.col("auc"), F.col("shift")
+    return hurdle.adversarial_summary(scored).select(
+        ((auc > 0.5) & (auc <= 1)).alias("above_chance"),
+        (shift == F.when(auc < 0.55, "low").when(auc < 0.65, "moderate").otherwise("high")).alias("band_fits"),
+        rows["a"].alias("train_rows"), rows["b"].alias("test_rows"))
+
+
 @register("x23_summary_of_scores", "select *, case when auc < 0.55 then 'low' when auc < 0.65 then 'moderate' else 'high' end as shift from (select " + q("(sum(case when y = 1 then r end) - sum(y)*(sum(y)+1)/2.0)/(sum(y)*(count(*)-sum(y)))", "auc", 6)
           + " from (select y, rank() over (order by pred_a) + (count(*) over (partition by pred_a) - 1)/2.0 as r from (select pred_a, cast(region_id % 2 as double) as y from preds)))", 6)
 def _(spark, sf):
@@ -1281,7 +1362,26 @@ def _(spark, sf):
 
 @register("x24_top_importances")
 def _(spark, sf):
-    return hurdle.top_importances(_adversarial(spark, sf)[1])
+    _, nodes, cols = _adversarial(spark, sf)
+    return hurdle.top_importances(hurdle.split_counts(nodes, cols))
+
+
+ADVERSARIAL_COLUMNS = "(select count(*) from (describe e_test) where column_type in ('DOUBLE', 'FLOAT', 'BIGINT', 'INTEGER', 'TINYINT') and column_name not in ('region_id', 'week_idx', 'day_ordinal', 'cluster_id'))"
+
+
+@register("x24_importance_checks", f"select {ADVERSARIAL_COLUMNS} as features, true as counts_are_splits, true as gain_where_split, true as top_is_sorted, cast(least(20, {ADVERSARIAL_COLUMNS}) as bigint) as listed")
+def _(spark, sf):
+    """Importances against the node table: three times the mean counts are all inner nodes."""
+    _, nodes, cols = _adversarial(spark, sf)
+    counts = hurdle.split_counts(nodes, cols)
+    inner = nodes.filter("feature is not null").agg(F.count(F.lit(1)).cast("double")).scalar()
+    top = hurdle.top_importances(counts).withColumn("before", F.lag("importance").over(Window.orderBy(F.desc("importance"), "feature")))
+    whole = counts.agg(
+        F.count(F.lit(1)).alias("features"), (F.abs(F.sum("importance") * 3 - inner) < 1e-6).alias("counts_are_splits"),
+        F.bool_and((F.col("importance") > 0) == (F.col("gain") > 0)).alias("gain_where_split"))
+    order = top.agg(F.bool_and(F.coalesce(F.col("before") >= F.col("importance"), F.lit(True))).alias("top_is_sorted"), F.count(F.lit(1)).alias("listed"))
+    return whole.withColumn("o", order.agg(F.first(F.struct("top_is_sorted", "listed"))).scalar()).select(
+        "features", "counts_are_splits", "gain_where_split", "o.top_is_sorted", "o.listed")
 
 
 @register("x24_top_of_weights", "select feature, " + q("importance", None, 6) + " from (select p.feature, p.importance from (select unnest([" + ", ".join(f"{{'feature': '{c}', 'importance': avg({c})}}" for c in PROFILE_FEATURES) + "]) as p from e_train)) order by importance desc, feature limit 20", 6)

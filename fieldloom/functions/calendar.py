@@ -38,6 +38,18 @@ def ordinal(date) -> Column:
     return ((year_of(date).cast("long") - 1) * SLOTS_PER_YEAR) + year_slot(date) - 1
 
 
+#: The slot of February 29.
+LEAP_SLOT = 60
+
+
+def slot_of_ordinal(n: Column) -> Column:
+    return (n % SLOTS_PER_YEAR + 1).cast("int")
+
+
+def year_of_ordinal(n: Column) -> Column:
+    return F.floor(n / SLOTS_PER_YEAR) + 1
+
+
 def year_width(date) -> Column:
     """Characters of the year as it is written."""
     return F.length(F.split_part(F.col(date) if isinstance(date, str) else date, F.lit("-"), F.lit(1)))
@@ -45,7 +57,7 @@ def year_width(date) -> Column:
 
 def date_of_ordinal(n: Column, width: Column | None = None) -> Column:
     """The date string with ordinal ``n``; the year is filled up with zeros to ``width``."""
-    slot = (n % SLOTS_PER_YEAR + 1).cast("int")
+    slot = slot_of_ordinal(n)
     offsets = F.array(*[F.lit(o) for o in MONTH_OFFSETS])
     month = F.size(F.filter(offsets, lambda o: o < slot))
     year = (F.floor(n / SLOTS_PER_YEAR) + 1).cast("string")

@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import MEASURES, PAD_WEEKS_V51
-from ..functions.calendar import day_of, month_of, ordinal, subtract_days, year_of, year_slot
+from ..functions.calendar import LEAP_SLOT, ordinal, slot_of_ordinal, subtract_days, year_of_ordinal
 from .impute import present, with_row
 from .splits import KEY
 
 
+def _ordinal(daily: DataFrame) -> Column:
+    """The day number that an indexed panel carries, else from the date."""
+    return F.col("ordinal") if "ordinal" in daily.columns else ordinal("date")
+
+
 def leap_phases(daily: DataFrame) -> DataFrame:
     """Year mod 4 of each region's first February 29."""
+    day = _ordinal(daily)
     return (
-        daily.filter((month_of("date") == 2) & (day_of("date") == 29))
-        .groupBy(KEY).agg(F.min_by(F.pmod(year_of("date"), F.lit(4)), ordinal("date")).alias("phase"))
+        daily.filter(slot_of_ordinal(day) == LEAP_SLOT)
+        .groupBy(KEY).agg(F.min(day).alias("day")).select(KEY, F.pmod(year_of_ordinal(F.col("day")), F.lit(4)).cast("int").alias("phase"))
     )
 
 
 def climatology(daily: DataFrame) -> DataFrame:
     """Mean of every measure per region and slot of the year."""
     cols = present(MEASURES, daily)
-    return daily.groupBy(KEY, year_slot("date").alias("doy")).agg(*[F.avg(c).alias(c) for c in cols])
+    return daily.groupBy(KEY, slot_of_ordinal(_ordinal(daily)).alias("doy")).agg(*[F.avg(c).alias(c) for c in cols])
 
 
 def global_means(daily: DataFrame) -> DataFrame:
@@ -30,7 +36,7 @@ def global_means(daily: DataFrame) -> DataFrame:
 
 def pad_days(test: DataFrame, phases: DataFrame, days: int) -> DataFrame:
     """The ``days`` dates before each region's first one; ``pos`` 0 is the earliest."""
-    first = test.groupBy(KEY).agg(F.min_by("date", ordinal("date")).alias("first"))
+    first = test.groupBy(KEY).agg(F.min_by("date", _ordinal(test)).alias("first"))
     return (
         first.join(phases, KEY, "left")
         .withColumn("back", F.explode(F.sequence(F.lit(1), F.lit(days))))
@@ -43,7 +49,7 @@ def pad_days(test: DataFrame, phases: DataFrame, days: int) -> DataFrame:
 def fill_pad(pad: DataFrame, baseline: DataFrame, overall: DataFrame) -> DataFrame:
     """Look the padded days up in the climatology; days it lacks get the overall mean."""
     cols = present(MEASURES, baseline)
-    looked_up = pad.withColumn("doy", year_slot("date")).join(baseline, [KEY, "doy"], "left")
+    looked_up = pad.withColumn("doy", slot_of_ordinal(_ordinal(pad))).join(baseline, [KEY, "doy"], "left")
     return with_row(looked_up, overall.select(*cols)).select(
         *pad.columns, *[F.coalesce(F.col(c), F.col(f"_one.{c}")).alias(c) for c in cols])
 

@@ -14,6 +14,7 @@ from ..constants import (
 from ..functions.scalars import in_bin, pet, vapour_deficit
 from .distributions import _all_bins, box_stats, histogram
 from .impute import null_counts, present
+from . import rank_matrix
 from .ranks import average_ranks, long_form, quantiles
 from .regions import zero_share
 from .splits import KEY, dense_position
@@ -195,8 +196,9 @@ def rank_columns(df: DataFrame, cols: list[str], ids: list[str]) -> DataFrame:
     return ranked.groupBy(*ids).agg(by_name.alias("_r")).select(*ids, *[F.col("_r")[c].alias(c) for c in cols])
 
 
-def spearman_matrix(df: DataFrame, cols: list[str], ids: list[str]) -> DataFrame:
-    return correlation_matrix(rank_columns(df, cols, ids), cols)
+def spearman_matrix(df: DataFrame, cols: list[str], ids: list[str] = ()) -> DataFrame:
+    """(a, b, r) of all pairs of columns, over the rows where both are present. ``ids`` are not needed."""
+    return rank_matrix.spearman_matrix(df, cols).drop("n")
 
 
 #: Coefficients of log(erfc(x) / t) + x^2 in t = 2 / (2 + x), fractional error below 1.2e-7.
@@ -222,12 +224,10 @@ def log_p_value(r: Column, n: Column) -> Column:
 
 def spearman_with_score(weekly: DataFrame, cols: list[str] = DROUGHT_FEATURES) -> DataFrame:
     """Rank correlation of each feature with the score, by magnitude, with p-value and significance stars."""
-    ids = [KEY, "week_idx"]
     cols = present(cols, weekly)
     whole = weekly.dropna(subset=cols + ["score"])
-    ranked = rank_columns(whole, cols + ["score"], ids)
-    wide = ranked.agg(F.count(F.lit(1)).alias("n"), *[F.corr(c, "score").alias(f"r{i}") for i, c in enumerate(cols)])
-    out = wide.select("n", _rows(*[F.struct(F.lit(c).alias("feature"), F.col(f"r{i}").alias("r")) for i, c in enumerate(cols)]))
+    matrix = rank_matrix.spearman_matrix(whole, cols + ["score"])
+    out = matrix.filter((F.col("b") == "score") & (F.col("a") != "score")).select("n", F.col("a").alias("feature"), "r")
     r = F.col("r")
     log_p = F.when((F.abs(r) < 1) & (F.col("n") > 2), log_p_value(r, F.col("n")))
     out = out.withColumn("log10_p", log_p / F.log(F.lit(10.0)))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-
 from dataclasses import dataclass, field
+from threading import Lock
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -17,13 +19,19 @@ from .ranks import auc
 from .splits import KEY
 
 
+#: Rows that a task of a fit holds; smaller frames are put together, as each task sends whole histograms.
+ROWS_PER_TASK = 20_000
+
+
 @dataclass
 class TreeSettings:
-    """Boosting parameters. ``rounds`` is the most there are; the best number is chosen on the rows
-    marked ``is_val``: the last round of least error before ``patience`` rounds without a better one."""
+    """Boosting parameters. The best number of rounds is chosen on the rows marked ``is_val``: the last one of least
+    error before ``patience`` rounds without a better one. ``first`` rounds are fitted, then twice as many and so on, until
+    the patience has passed or there are ``rounds``."""
 
     rounds: int = 200
     patience: int = 20
+    first: int = 25
     depth: int = 7
     step: float = 0.05
     min_rows: int = 150
@@ -35,8 +43,11 @@ class TreeSettings:
 
 @dataclass
 class HurdleSettings:
+    """``most_rows`` bounds the labelled windows that a fold learns from, drawn by a hash of their keys; None takes all."""
+
     severity: TreeSettings = field(default_factory=TreeSettings)
     occurrence: TreeSettings = field(default_factory=lambda: TreeSettings(step=0.02, min_rows=500))
+    most_rows: int | None = None
 
 
 def vector_frame(samples: DataFrame) -> DataFrame:
@@ -54,7 +65,7 @@ def _params(s: TreeSettings, rounds: int) -> dict:
     return dict(
         featuresCol="features", maxIter=rounds, maxDepth=s.depth, stepSize=s.step,
         minInstancesPerNode=s.min_rows, featureSubsetStrategy=s.features, subsamplingRate=s.subsample,
-        maxBins=s.bins, seed=s.seed, checkpointInterval=10,
+        maxBins=s.bins, seed=s.seed, checkpointInterval=25,
     )
 
 
@@ -69,17 +80,50 @@ def best_round(errors: list[float], patience: int) -> int:
     return best + 1
 
 
-def _boosted(make, frame: DataFrame, settings: TreeSettings, errors):
+def first_trees(model, k: int):
+    """The model of the first ``k`` trees of a boosted model.
+
+    With the same seed and rows a fit of k rounds gives the same trees, so there is nothing to fit again.
+    """
+    if k >= model.getNumTrees:
+        return model
+    jvm, java = _jvm(), model._java_obj
+    all_trees, all_weights = java.trees(), java.treeWeights()
+    new_array = jvm.java.lang.reflect.Array.newInstance
+    trees, weights = new_array(all_trees[0].getClass(), k), new_array(jvm.java.lang.Double.TYPE, k)
+    for i in range(k):
+        trees[i], weights[i] = all_trees[i], all_weights[i]
+    kind = jvm.org.apache.spark.ml
+    kind = kind.regression.GBTRegressionModel if isinstance(model, GBTRegressionModel) else kind.classification.GBTClassificationModel
+    short = type(model)(kind(f"{java.uid()}_{k}", trees, weights))
+    return model._copyValues(short)
+
+
+def _jvm():
+    from pyspark import SparkContext
+    return SparkContext._active_spark_context._jvm
+
+
+def _put_together(frame: DataFrame, rows: int) -> DataFrame:
+    return frame.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
+
+
+def _boosted(make: Callable, frame: DataFrame, settings: TreeSettings, errors: Callable):
     """Fit on the train rows and keep the number of rounds that serves the validation rows best.
 
-    With the same seed and rows a fit of fewer rounds gives the first trees of the longer one.
+    Rounds double until ``patience`` rounds have passed since the best, so the last fit has less than twice the
+    rounds that had to be seen, and all together less than twice the last.
     """
     train, val = frame.filter(~F.col("is_val")), frame.filter("is_val")
-    model = make(settings.rounds).fit(train)
     if val.limit(1).count() == 0:
-        return model
-    rounds = best_round(errors(model, val), settings.patience)
-    return model if rounds == settings.rounds else make(rounds).fit(train)
+        return make(settings.rounds).fit(train)
+    rounds = min(settings.first, settings.rounds)
+    while True:
+        model = make(rounds).fit(train)
+        best = best_round(errors(model, val), settings.patience)
+        if best + settings.patience <= rounds or rounds >= settings.rounds:
+            return first_trees(model, best)
+        rounds = min(2 * rounds, settings.rounds)
 
 
 def fit_severity(frame: DataFrame, settings: TreeSettings) -> GBTRegressionModel:
@@ -138,13 +182,45 @@ def one_class(samples: DataFrame, horizon: int) -> dict:
     return {(r["fold"], h): r[f"s{h}"] for r in share.collect() for h in range(horizon) if r[f"s{h}"] in (0.0, 1.0)}
 
 
+def _fold_rows(samples: DataFrame, fold: int, most: int | None) -> DataFrame:
+    """Vectors of the rows of a fold, its training rows bounded."""
+    from .explore import seeded_sample
+    mine = samples.filter(F.col("fold") == fold)
+    train, val = mine.filter(F.col("split") == "train"), mine.filter(F.col("split") == "val")
+    if most is not None:
+        train = seeded_sample(train, most, [KEY, "start"])
+    both = train.unionByName(val)
+    vectors = vector_frame(both).select(KEY, "features", "y", (F.col("split") == "val").alias("is_val"))
+    return _put_together(vectors, both.count())
+
+
+class _Held:
+    """Frames of folds, cached when the first of their fits begins and let go after the last."""
+
+    def __init__(self, make: Callable[[int], DataFrame], fits: int):
+        self.make, self.fits, self.lock = make, fits, Lock()
+        self.frames: dict[int, list] = {}
+
+    def take(self, fold: int) -> DataFrame:
+        with self.lock:
+            if fold not in self.frames:
+                self.frames[fold] = [self.make(fold).persist(), self.fits]
+            return self.frames[fold][0]
+
+    def give_back(self, fold: int) -> None:
+        with self.lock:
+            self.frames[fold][1] -= 1
+            if not self.frames[fold][1]:
+                self.frames.pop(fold)[0].unpersist()
+
+
 def train_hurdle(
     samples: DataFrame, test: DataFrame, settings: HurdleSettings | None = None,
-    horizon: int = HORIZON, model_folder: str | None = None, parallelism: int = 5,
+    horizon: int = HORIZON, model_folder: str | None = None, parallelism: int = 8,
 ) -> tuple[DataFrame, DataFrame]:
     """Fit every fold and horizon; return long out-of-fold and test predictions.
 
-    ``samples`` has fold, split, x, y and encodings; ``test`` has fold, x and encodings. The loop
+    ``samples`` has fold, split, start, x, y and encodings; ``test`` has fold, x and encodings. The loop
     runs over folds and horizons only; each fit is distributed, and the fits of a fold share its
     cached frame, ``parallelism`` at a time.
     """
@@ -154,17 +230,14 @@ def train_hurdle(
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     constant = one_class(samples, horizon)
     folds = [r[0] for r in samples.select("fold").distinct().orderBy("fold").collect()]
-    held, ahead = [], []
-    for fold in folds:
-        rows = vector_frame(samples.filter(F.col("fold") == fold)).select(
-            KEY, "features", "y", (F.col("split") == "val").alias("is_val")).persist()
-        new = vector_frame(test.filter(F.col("fold") == fold)).select(KEY, "features")
+    parts = ("severity", "occurrence")
+    held = _Held(lambda fold: _fold_rows(samples, fold, settings.most_rows), horizon * len(parts))
 
-        def fit(task: tuple[int, str]):
-            h, part = task
-            frame = rows.select(
-                "features", "is_val", F.col("y")[h].cast("double").alias("y"),
-                (F.col("y")[h] > 0).cast("double").alias("occurs"))
+    def fit(task: tuple[int, int, str]):
+        fold, h, part = task
+        frame = held.take(fold).select(
+            "features", "is_val", F.col("y")[h].cast("double").alias("y"), (F.col("y")[h] > 0).cast("double").alias("occurs"))
+        try:
             if part == "severity":
                 model = fit_severity(frame, settings.severity)
             elif (fold, h) in constant:
@@ -174,18 +247,24 @@ def train_hurdle(
             if model_folder:
                 model.write().overwrite().save(model_path(model_folder, part, fold, h + 1))
             return model
-
-        tasks = [(h, part) for h in range(horizon) for part in ("severity", "occurrence")]
-        try:
-            with ThreadPoolExecutor(parallelism) as pool:
-                models = dict(zip(tasks, pool.map(fit, tasks)))
-            tag = F.lit(fold).alias("fold")
-            val = rows.filter("is_val").select(KEY, "features", "y")
-            held.append(stage(predict_all(models, val, horizon).select(tag, "*"), "out-of-fold"))
-            ahead.append(stage(predict_all(models, new, horizon).select(tag, "*"), "predictions"))
         finally:
-            rows.unpersist()
-    return _union(held), _union(ahead)
+            held.give_back(fold)
+
+    tasks = [(fold, h, part) for fold in folds for part in parts for h in range(horizon)]
+    with ThreadPoolExecutor(parallelism) as pool:
+        models = dict(zip(tasks, pool.map(fit, tasks)))
+
+    def predictions(fold: int) -> tuple[DataFrame, DataFrame]:
+        mine = {(h, part): models[fold, h, part] for h in range(horizon) for part in parts}
+        tag = F.lit(fold).alias("fold")
+        val = vector_frame(samples.filter((F.col("fold") == fold) & (F.col("split") == "val"))).select(KEY, "features", "y")
+        new = vector_frame(test.filter(F.col("fold") == fold)).select(KEY, "features")
+        return (stage(predict_all(mine, val, horizon).select(tag, "*"), "out-of-fold"),
+                stage(predict_all(mine, new, horizon).select(tag, "*"), "predictions"))
+
+    with ThreadPoolExecutor(min(parallelism, len(folds))) as pool:
+        out, ahead = zip(*pool.map(predictions, folds))
+    return _union(list(out)), _union(list(ahead))
 
 
 def load_fold(folder: str, fold: int, constant: dict, horizon: int = HORIZON) -> dict:
@@ -204,16 +283,63 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def tree_nodes(spark, paths: list[str]) -> DataFrame:
+    """Nodes of stored models: model (the last part of its path), tree, node, feature, threshold, gain, rows, prediction,
+    left and right. A leaf has neither feature nor children."""
+    stored = spark.read.parquet(*[f"{p}/data" for p in paths])
+    n, inner = F.col("nodeData"), F.col("nodeData.leftChild") >= 0
+    return stored.select(
+        F.regexp_extract(F.input_file_name(), r"([^/]+)/data/[^/]+$", 1).alias("model"), F.col("treeID").alias("tree"),
+        n["id"].alias("node"), F.when(inner, n["split"]["featureIndex"]).alias("feature"),
+        F.when(inner, F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0))).alias("threshold"), F.when(inner, n["gain"]).alias("gain"),
+        n["rawCount"].alias("rows"), n["prediction"].alias("prediction"),
+        F.when(inner, n["leftChild"]).alias("left"), F.when(inner, n["rightChild"]).alias("right"))
+
+
+def tree_checks(nodes: DataFrame) -> DataFrame:
+    """Per model: trees, leaves, the leaf of fewest rows, the deepest level, and nodes that no split or no child fits.
+
+    In a binary tree every inner node has two children of its tree, whose rows add up to its own.
+    """
+    child = nodes.select("model", "tree", F.col("node").alias("child"), F.col("rows").alias("child_rows"))
+    inner = nodes.filter("feature is not null").select(
+        "model", "tree", "node", "rows", F.explode(F.array("left", "right")).alias("child"))
+    sums = inner.join(child, ["model", "tree", "child"], "left").groupBy("model", "tree", "node", "rows").agg(
+        F.count("child_rows").alias("children"), F.sum("child_rows").alias("below"))
+    broken = sums.groupBy("model").agg(F.count(F.when((F.col("children") != 2) | (F.col("below") != F.col("rows")), 1)).alias("broken"))
+    leaf = F.col("feature").isNull()
+    return nodes.groupBy("model").agg(
+        F.countDistinct("tree").alias("trees"), F.count(F.when(leaf, 1)).alias("leaves"), F.count(F.lit(1)).alias("nodes"),
+        F.min(F.when(leaf, F.col("rows"))).alias("least_rows"),
+    ).join(broken, "model", "left").fillna(0, ["broken"])
+
+
+def split_counts(nodes: DataFrame, cols: list[str]) -> DataFrame:
+    """(feature, importance, gain): splits on a feature and their gain, as means over the models.
+
+    Features without a split have zeros.
+    """
+    models = nodes.agg(F.countDistinct("model").cast("double")).scalar()
+    names = nodes.sparkSession.createDataFrame(list(enumerate(cols)), "at int, feature string")
+    used = nodes.filter("feature is not null").groupBy(F.col("feature").alias("at")).agg(
+        F.count(F.lit(1)).alias("splits"), F.sum("gain").alias("gain"))
+    zero = F.lit(0.0)
+    return names.join(used, "at", "left").select(
+        "feature", (F.coalesce("splits", zero) / models).alias("importance"), (F.coalesce("gain", zero) / models).alias("gain"))
+
+
 def adversarial(
     train: DataFrame, test: DataFrame, cols: list[str], settings: TreeSettings | None = None,
-    folds: int = 3, sample: int | None = None, seed: int = SEED,
+    folds: int = 3, sample: int | None = None, seed: int = SEED, model_folder: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Can a classifier tell the cohorts apart? Out-of-fold scores and mean importances.
+    """Can a classifier tell the cohorts apart? Out-of-fold scores and the nodes of the models.
 
-    Folds are stratified by cohort; each fold's rows choose the rounds of its model.
+    Folds are stratified by cohort; each fold's rows choose the rounds of its model. The folds are fitted side by side.
     """
     from .explore import hash_order, seeded_sample, stratified_folds
     settings = settings or TreeSettings(rounds=500, depth=4, min_rows=20, features="all", subsample=1.0)
+    spark = train.sparkSession
+    model_folder = model_folder or f"{shared_folder(spark)}/fieldloom/adversarial-{uuid.uuid4().hex}"
     ids = [KEY, "week_idx"]
     keep = [*ids, *cols]
     a = train.select(*keep).dropna(subset=cols)
@@ -221,23 +347,26 @@ def adversarial(
         a = seeded_sample(a, sample, ids, seed)
     both = a.withColumn("label", F.lit(0)).unionByName(
         test.select(*keep).dropna(subset=cols).withColumn("label", F.lit(1)))
-    both = stratified_folds(stage(both, "adversarial"), hash_order(ids, seed), folds)
-    both = both.select(*ids, F.col("label").cast("double").alias("label"), "fold", array_to_vector(
-        F.array(*[F.col(c).cast("double") for c in cols])).alias("features")).persist()
-    scored, weights = [], []
+    both = stage(both, "adversarial")
+    rows = both.count()
+    both = stratified_folds(both, hash_order(ids, seed), folds)
+    both = _put_together(both.select(*ids, F.col("label").cast("double").alias("label"), "fold", array_to_vector(
+        F.array(*[F.col(c).cast("double") for c in cols])).alias("features")), rows).persist()
+
+    def fit(f: int) -> tuple[DataFrame, str]:
+        frame = both.withColumn("is_val", F.col("fold") == f)
+        model = fit_occurrence(frame, settings, "label")
+        path = f"{model_folder}/fold{f}"
+        model.write().overwrite().save(path)
+        return stage(model.transform(frame.filter("is_val")).select(
+            *ids, "fold", "label", vector_to_array("_prob")[1].alias("score")), "adversarial-scores"), path
+
     try:
-        for f in range(folds):
-            frame = both.withColumn("is_val", F.col("fold") == f)
-            model = fit_occurrence(frame, settings, "label")
-            scored.append(stage(model.transform(frame.filter("is_val")).select(
-                *ids, "fold", "label", vector_to_array("_prob")[1].alias("score")), "adversarial-scores"))
-            weights.append(model.featureImportances.toArray())
+        with ThreadPoolExecutor(folds) as pool:
+            scored, paths = zip(*pool.map(fit, range(folds)))
     finally:
         both.unpersist()
-    spark = train.sparkSession
-    mean = sum(weights) / folds
-    importance = spark.createDataFrame([(c, float(w)) for c, w in zip(cols, mean)], "feature string, importance double")
-    return _union(scored), importance
+    return _union(list(scored)), tree_nodes(spark, list(paths))
 
 
 def adversarial_summary(scored: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ def test_model_queries_fit_with_the_settings_of_the_operators(monkeypatch):
 
     def adversarial(train, test, cols, settings=None, **more):
         seen["adversarial"] = settings, more
+        return None, None
 
     nothing = SimpleNamespace(schema=[], columns=[], folded=None, test=None)
     monkeypatch.setattr(catalog.src, "stored", lambda spark, sf, name, make: make())
@@ -26,4 +27,4 @@ def test_model_queries_fit_with_the_settings_of_the_operators(monkeypatch):
     except InterruptedError:
         pass
     catalog._adversarial(None, "")
-    assert seen == {"hurdle": hurdle.HurdleSettings(), "adversarial": (None, {})}
+    assert seen == {"hurdle": hurdle.HurdleSettings(most_rows=catalog.LABELLED), "adversarial": (None, {})}

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.operators import distributions as dist, explore, hurdle, ranks
+from fieldloom.operators import distributions as dist, explore, hurdle, rank_matrix, ranks
 from fieldloom.sources import tables
 
 
@@ -47,6 +47,56 @@ def test_no_sorted_bucket_is_above_the_limit(spark, skewed, monkeypatch):
     assert got.tolist() == pd.Series(skewed).rank().tolist()
 
 
+def gapped(n=700):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=n)
+    frame = pd.DataFrame({
+        "a": base, "b": np.round(base + rng.normal(size=n), 1), "heavy": np.where(rng.random(n) < 0.4, 0.0, base ** 2),
+        "gap": np.where(rng.random(n) < 0.2, np.nan, -base), "one": 1.0})
+    frame["same_gap"] = np.where(frame["gap"].isna(), np.nan, rng.random(n))
+    frame["other_gap"] = np.where(rng.random(n) < 0.5, np.nan, np.round(base))
+    frame["two"] = np.where(np.arange(n) < 2, np.arange(n), np.nan)
+    return frame
+
+
+@pytest.mark.parametrize("cuts,rows,bits", [(64, 500_000, 14), (4, 30, 5), (8, 1, 3)])
+def test_spearman_of_pairs_with_gaps(spark, monkeypatch, cuts, rows, bits):
+    """As pandas has it: ranks over the rows where both columns are present."""
+    monkeypatch.setattr(rank_matrix, "CUTS", cuts)
+    monkeypatch.setattr(rank_matrix, "ROWS_PER_BUCKET", rows)
+    monkeypatch.setattr(rank_matrix, "BLOCK_BITS", bits)
+    monkeypatch.setattr(rank_matrix, "HELD", 900)
+    frame = gapped()
+    cols = list(frame.columns)
+    df = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), ", ".join(f"{c} double" for c in cols)).repartition(3)
+    assert sorted(map(sorted, rank_matrix.same_gaps(df, cols))) == [["a", "b", "heavy", "one"], ["gap", "same_gap"], ["other_gap"], ["two"]]
+    got = {(r.a, r.b): (r.r, r.n) for r in rank_matrix.spearman_matrix(df, cols).collect()}
+    want = frame.corr("spearman")
+    for a in cols:
+        for b in cols:
+            both = frame[[a, b]].dropna() if a != b else frame[[a]].dropna()
+            if len(both) < 2:
+                assert (a, b) not in got
+                continue
+            assert got[a, b][1] == len(both)
+            if np.isnan(want.loc[a, b]):
+                assert got[a, b][0] is None
+            else:
+                assert got[a, b][0] == pytest.approx(want.loc[a, b], abs=1e-12)
+
+
+def test_no_sorted_bucket_of_the_matrix_is_above_the_limit(spark, skewed, monkeypatch):
+    monkeypatch.setattr(rank_matrix, "ROWS_PER_BUCKET", 25)
+    monkeypatch.setattr(rank_matrix, "CUTS", 6)
+    df = values(spark, skewed).select("value", F.col("id").alias("_row"))
+    cuts = rank_matrix._cuts_of(df, ["value"])
+    counts = rank_matrix._counts(df, ["value"], cuts)
+    while (counts[0][::2] > 25).any():
+        cuts = rank_matrix._cut_again(df, ["value"], cuts, counts)
+        counts = rank_matrix._counts(df, ["value"], cuts)
+    assert counts[0].sum() == 3000 and counts[0][::2].max() <= 25 and counts[0][1::2].max() >= 1000
+
+
 def test_sample_and_folds_of_any_order(spark, monkeypatch):
     df = spark.range(5000).select("id", (F.col("id") % 3).alias("label"), ((F.col("id") * 7919) % 5003).alias("o"))
     monkeypatch.setattr(explore, "SAMPLE_BUCKETS", 4)
@@ -156,9 +206,16 @@ def test_adversarial_sees_a_shift(spark):
         [(1, i, float(v), float(u)) for i, (v, u) in enumerate(zip(rng.normal(shift, 1, 300), rng.normal(0, 1, 300)))],
         "region_id long, week_idx long, moved double, still double")
     s = hurdle.TreeSettings(rounds=5, depth=2, step=0.3, min_rows=5, features="all", subsample=1.0)
-    scored, weights = hurdle.adversarial(frame(0), frame(3), ["moved", "still"], s)
+    scored, nodes = hurdle.adversarial(frame(0), frame(3), ["moved", "still"], s)
     assert hurdle.adversarial_summary(scored).first()["shift"] == "high"
-    assert hurdle.top_importances(weights, 1).first()["feature"] == "moved"
+    counts = hurdle.split_counts(nodes, ["moved", "still", "unused"])
+    top = hurdle.top_importances(counts).collect()
+    assert top[0]["feature"] == "moved" and (top[-1]["feature"], top[-1]["importance"], top[-1]["gain"]) == ("unused", 0, 0)
+    rows = nodes.collect()
+    assert {r.model for r in rows} == {"fold0", "fold1", "fold2"}
+    assert sum(r["importance"] for r in top) * 3 == pytest.approx(sum(r.feature is not None for r in rows))
+    checks = hurdle.tree_checks(nodes).collect()
+    assert all(c.broken == 0 and c.least_rows >= 5 and c.nodes == 2 * c.leaves - c.trees for c in checks)
 
 
 def test_files(spark, tmp_path):

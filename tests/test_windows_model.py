@@ -131,6 +131,56 @@ def test_default_step_boosts_beyond_one_tree_and_beats_constants(spark):
     assert hurdle.fit_occurrence(frame.withColumn("occurs", (F.col("y") > 0).cast("double")), s).getNumTrees > 1
 
 
+def noisy(spark, n=900, seed=7):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        a, b, c = rng.random(3)
+        rows.append((i % 3 == 0, [float(a), float(b), float(c)], float(max(0.0, (a > 0.5) * (1 + b) + rng.normal(0, 0.4)))))
+    return vectors(spark, rows)
+
+
+@pytest.mark.parametrize("part", ["severity", "occurrence"])
+def test_first_trees_predict_like_a_fit_of_as_many_rounds(spark, part, tmp_path):
+    frame = noisy(spark).withColumn("occurs", (F.col("y") > 0.8).cast("double"))
+    none = frame.filter("not is_val").withColumn("is_val", F.lit(False))
+    fit = hurdle.fit_severity if part == "severity" else hurdle.fit_occurrence
+    s = hurdle.TreeSettings(rounds=12, depth=3, step=0.3, min_rows=5, subsample=0.7)
+    short = hurdle.first_trees(fit(none, s), 5)
+    other = fit(none, hurdle.TreeSettings(rounds=5, depth=3, step=0.3, min_rows=5, subsample=0.7))
+    path = str(tmp_path / "short")
+    short.write().overwrite().save(path)
+    again = type(short).load(path)
+    col = "pred_a" if part == "severity" else "_raw"
+    rows = lambda m: [r[0] for r in m.transform(frame).select(col).collect()]
+    assert short.getNumTrees == again.getNumTrees == 5 and rows(short) == rows(other) == rows(again)
+    assert hurdle.first_trees(other, 9) is other
+
+
+def test_rounds_double_until_the_patience_has_passed(spark):
+    frame, made = noisy(spark), []
+
+    def make(rounds):
+        made.append(rounds)
+        return hurdle.GBTRegressor(labelCol="y", maxIter=rounds, maxDepth=4, stepSize=0.5, seed=1, predictionCol="pred_a")
+
+    s = hurdle.TreeSettings(rounds=64, first=4, patience=3)
+    model = hurdle._boosted(make, frame, s, lambda m, val: m.evaluateEachIteration(val, "squared"))
+    errors = make(64).fit(frame.filter("not is_val")).evaluateEachIteration(frame.filter("is_val"), "squared")
+    best = hurdle.best_round(errors, 3)
+    assert model.getNumTrees == best < 32
+    assert made[:-1] == [4 * 2 ** i for i in range(len(made) - 1)] and best + 3 <= made[-2] < 2 * (best + 3) or made[-2] == 4
+
+
+def test_labelled_rows_are_bounded(spark):
+    rows = [(0, i, "val" if i >= 90 else "train", i, [float(i)], [1.0]) for i in range(100)]
+    samples = spark.createDataFrame(rows, "fold int, region_id long, split string, start long, x array<float>, y array<float>")
+    got = hurdle._fold_rows(samples, 0, 20)
+    assert got.filter("is_val").count() == 10 and got.filter("not is_val").count() == 20 and got.rdd.getNumPartitions() == 1
+    assert sorted(hurdle._fold_rows(samples, 0, 20).collect()) == sorted(got.collect())
+    assert hurdle._fold_rows(samples, 0, None).count() == 100
+
+
 def vectors(spark, rows):
     from pyspark.ml.functions import array_to_vector
     return spark.createDataFrame(rows, "is_val boolean, x array<double>, y double").withColumn("features", array_to_vector("x")).cache()
