@@ -864,10 +864,9 @@ def _(spark, sf):
     return _window_digest(windows.sliding_windows(src.samples(spark, sf).weekly, PANEL_FEATURES))
 
 
-WIDE = len(PANEL_FEATURES) + 2
-WIDE_ROWS = ("select fold || '|' || w.region_id || '|' || w.start as k, w.start % 97 as o, r.pos - w.start + 1 as w, " + ", ".join(f"r.{c}" for c in PANEL_FEATURES)
+WIDE_ROWS = ("select w.fold || '|' || w.region_id || '|' || w.start as k, w.start % 97 as o, r.pos - w.start + 1 as w, " + ", ".join(f"r.{c}" for c in PANEL_FEATURES)
              + ", cast(e.region_mean_score as real) as region_mean_score, cast(e.region_zero_prob as real) as region_zero_prob"
-             + " from t_folds w join t_rows r on r.region_id = w.region_id and r.pos between w.start and w.start + 12 join t_encoding e using (fold, region_id) where w.split = 'val'")
+             + " from t_folds w join t_rows r on r.region_id = w.region_id and r.pos between w.start and w.start + 12 join t_encoding e on e.fold = w.fold and e.region_id = w.region_id where w.split = 'val'")
 
 
 @register("t1_wide_sample", _elements_sql(WIDE_ROWS, "k", "o", [*PANEL_FEATURES, "region_mean_score", "region_zero_prob"]), 2)
@@ -946,21 +945,6 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("regions"), F.count(F.when((F.col("a") != F.col("pred_a")) | (F.col("b") != F.col("prob_b")), 1)).alias("different"))
 
 
-@register("s7_stored_trees", "select fold, horizon, part, true as has_trees, true as leaves_are_large, cast(0 as bigint) as broken from (select cast(range as bigint) as fold from range(0, 4)), (select cast(range as bigint) as horizon from range(1, 6)), (select unnest(['severity', 'occurrence']) as part)")
-def _(spark, sf):
-    """The node tables of all stored models: numbers of trees, smallest leaves, and nodes that do not fit together."""
-    _trained(spark, sf)
-    folder, s = _folder(spark, sf, "models"), hurdle.HurdleSettings()
-    paths = [hurdle.model_path(folder, part, fold, h) for part in ("severity", "occurrence") for fold in range(4) for h in range(1, 6)]
-    name = lambda i: F.regexp_extract("model", r"^(\w+)_fold(\d+)_h(\d+)$", i)
-    least = F.when(name(1) == "severity", s.severity.min_rows).otherwise(s.occurrence.min_rows)
-    most = F.when(name(1) == "severity", s.severity.rounds).otherwise(s.occurrence.rounds)
-    return hurdle.tree_checks(hurdle.tree_nodes(spark, paths)).select(
-        name(2).cast("long").alias("fold"), name(3).cast("long").alias("horizon"), name(1).alias("part"),
-        F.col("trees").between(1, most).alias("has_trees"), ((F.col("leaves") == F.col("trees")) | (F.col("least_rows") >= least)).alias("leaves_are_large"),
-        "broken")
-
-
 @register("m5_gate_out_of_fold", "select region_id, fold, horizon, " + q("pred") + " from gated")
 def _(spark, sf):
     return _gated(spark, sf).select("region_id", "fold", "horizon", "pred")
