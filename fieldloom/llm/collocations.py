@@ -4,7 +4,7 @@ A stripe belongs to a prefix of words and counts, associatively, the words that
 one more follower. Tasks build stripes of their texts, Spark adds those of equal prefixes element by element. A merged
 stripe then gives three things: its elements are the counts of the prefix's extensions by a word, its total is the
 count of the prefix itself, and its largest element is the highest count of any extension to the right (for those to the
-left, the stripes of the other prefixes with the same last words are asked).
+left, the elements of all stripes are asked by their last words).
 
 Stripes are made length by length. A phrase is no more frequent than the phrases in it, so a prefix of k words is given a
 stripe only if it is frequent, and only followers count that end a frequent phrase of k words; the others are added up to
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,9 @@ IN_PIECES[np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8)] = 10
 HELD_HASHES = 4_000_000
 HELD_STRIPES = 400_000
 TOP_SALTS = 64
-STRIPE = "lang string, prefix string, next string, n long"
+PART = 1_000_000  # occurrences of a prefix that share a part of its stripe
+FIRST_PARTS = 1024  # parts of the stripe of the empty prefix
+STRIPE = "lang string, prefix string, part int, nexts string, ns array<long>"
 
 
 class Pieces:
@@ -79,46 +82,67 @@ def _lang_hash(names: list[str]) -> np.ndarray:
 
 
 class Held:
-    """Stripe elements of a task, added up by hash until there are many."""
+    """Stripe elements of a task, added up by hash until there are many, and handed on as parts of stripes."""
 
     def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray, pa.Table]] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Table]] = []
 
-    def add(self, key: np.ndarray, n: np.ndarray, rows: pa.Table) -> bool:
-        self.parts.append((key, n, rows))
+    def add(self, key: np.ndarray, n: np.ndarray, stripe: np.ndarray, part: np.ndarray, rows: pa.Table) -> bool:
+        self.parts.append((key, n, stripe, part, rows))
         if sum(len(p[0]) for p in self.parts) > 2 * HELD_STRIPES:
             self._merge()
             return len(self.parts[0][0]) > HELD_STRIPES
         return False
 
     def _merge(self) -> None:
-        key, at, back = np.unique(np.concatenate([p[0] for p in self.parts]), return_index=True, return_inverse=True)
-        n = np.bincount(back, np.concatenate([p[1] for p in self.parts])).astype(np.int64)
-        self.parts = [(key, n, pa.concat_tables([p[2] for p in self.parts]).take(pa.array(at)).combine_chunks())]
+        key, n, stripe, part = (np.concatenate([p[i] for p in self.parts]) for i in range(4))
+        key, at, back = np.unique(key, return_index=True, return_inverse=True)
+        rows = pa.concat_tables([p[4] for p in self.parts]).take(pa.array(at)).combine_chunks()
+        self.parts = [(key, np.bincount(back, n).astype(np.int64), stripe[at], part[at], rows)]
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        if self.parts:
-            self._merge()
-            _, n, rows = self.parts.pop()
-            yield from rows.append_column("n", pa.array(n)).to_batches(max_chunksize=50_000)
-
-
-def _known(sorted_hashes: np.ndarray, key: np.ndarray) -> np.ndarray:
-    if not len(sorted_hashes):
-        return np.zeros(len(key), bool)
-    at = np.searchsorted(sorted_hashes, key)
-    at[at == len(sorted_hashes)] = 0
-    return sorted_hashes[at] == key
-
-
-def stripes(docs: DataFrame, k: int, frequent: np.ndarray | None = None, share: tuple[int, int] = (0, 1), whole: bool = True) -> DataFrame:
-    """(lang, prefix, next, n) of (text, lang): stripes of prefixes of ``k`` words, one or more of a prefix from each task.
-
-    ``next`` is a word, or null for the rest of the stripe: the ends of pieces and the followers that end no frequent
-    phrase. With ``frequent`` (sorted hashes of the frequent phrases of k words whose hash modulo share[1] is share[0])
-    only they have stripes. ``whole`` tells that it has all frequent phrases, so followers can be told by it.
+        if not self.parts:
+            return
+        self._merge()
+        _, n, stripe, part, rows = self.parts.pop()
+        if not len(n):
+            return
+        by = np.lexsort((part, stripe))
+        stripe, part = stripe[by], part[by]
+        first = np.flatnonzero(np.r_[True, (stripe[1:] != stripe[:-1]) | (part[1:] != part[:-1])])
+        offsets = pa.array(np.r_[first, len(by)].astype(np.int32))
+        nexts = rows.column("next").take(pa.array(by)).combine_chunks()
+        table = rows.select(["lang", "prefix"]).take(pa.array(by[first])).append_column("part", pa.array(part[first].astype(np.int32)))
+        table = table.append_column("nexts", pc.binary_join(pa.ListArray.from_arrays(offsets, nexts), "\n"))
+        table = table.append_column("ns", pa.ListArray.from_arrays(offsets, pa.array(n[by])))
+        yield from table.combine_chunks().to_batches(max_chunksize=10_000)
+
+
+@dataclass
+class Known:
+    """Frequent phrases of one length: sorted hashes, and of how many parts their stripes are; ``whole`` if these are all."""
+
+    grams: np.ndarray
+    parts: np.ndarray
+    whole: bool = True
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(is frequent, parts) of each hash."""
+        if not len(self.grams):
+            return np.zeros(len(key), bool), np.ones(len(key), np.int64)
+        at = np.searchsorted(self.grams, key)
+        at[at == len(self.grams)] = 0
+        return self.grams[at] == key, self.parts[at]
+
+
+def stripes(docs: DataFrame, k: int, known: Known | None = None) -> DataFrame:
+    """(lang, prefix, part, nexts, ns) of (text, lang): stripes of prefixes of ``k`` words, one or more from each task.
+
+    A stripe's followers are in one text, a line each, beside their counts. An empty follower is the rest of the stripe: ends
+    of pieces, and followers that end no frequent phrase. With ``known`` only its phrases have stripes. A stripe is in parts
+    by the hash of its followers, one for each ``PART`` of the prefix's count, so no part grows with a hot prefix.
     """
-    sent = None if frequent is None else docs.sparkSession.sparkContext.broadcast(frequent)
+    sent = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Held()
@@ -126,27 +150,29 @@ def stripes(docs: DataFrame, k: int, frequent: np.ndarray | None = None, share:
             names = batch.column(1).to_pylist()
             langs = _lang_hash(names)
             name_of = dict(zip(langs.tolist(), names))
-            for row, part in text_slices(batch.column(0)):
-                pieces = Pieces(part, langs[row:row + len(part)])
+            for row, text in text_slices(batch.column(0)):
+                pieces = Pieces(text, langs[row:row + len(text)])
                 if not pieces.n:
                     continue
                 at = np.flatnonzero(pieces.left >= k)
                 grams = pieces.grams(k)
+                parts = np.full(len(at), 1 if k else FIRST_PARTS)
                 if sent is not None:
-                    at = at[_known(sent.value, grams[at])]
+                    is_known, parts = sent.value.find(grams[at])
+                    at, parts = at[is_known], parts[is_known]
                 follows = pieces.left[at] > k
-                if sent is not None and whole:
-                    inner = at[follows]
-                    follows[follows] = _known(sent.value, grams[inner + 1])
+                if sent is not None and sent.value.whole:
+                    follows[follows] = sent.value.find(grams[at[follows] + 1])[0]
                 # elements: (prefix, next) where a word follows, else (prefix, rest)
                 key = np.where(follows, pieces.grams(k + 1)[at], mixed(grams[at]))
                 key, first, n = np.unique(key, return_index=True, return_counts=True)
                 place, more = at[first], follows[first]
-                nexts = pieces.words.take(pa.array(np.minimum(place + k, pieces.n - 1)))
+                ahead = np.minimum(place + k, pieces.n - 1)
+                part = np.where(more, (pieces.hash[ahead] >> U(33)).astype(np.int64), 0) % parts[first]
                 rows = pa.table({
                     "lang": pa.array([name_of[x] for x in pieces.lang[place].tolist()], pa.string()),
-                    "prefix": pieces.phrases(place, k), "next": pc.if_else(pa.array(more), nexts, pa.scalar(None, pa.string()))})
-                if held.add(key, n, rows):
+                    "prefix": pieces.phrases(place, k), "next": pc.if_else(pa.array(more), pieces.words.take(pa.array(ahead)), "")})
+                if held.add(key, n, grams[place], part, rows):
                     yield from held.rows()
         yield from held.rows()
 
@@ -155,7 +181,7 @@ def stripes(docs: DataFrame, k: int, frequent: np.ndarray | None = None, share:
 
 
 def phrase_hashes(phrases: DataFrame) -> DataFrame:
-    """``gram`` of (lang, phrase), as tasks compute it, and nothing else."""
+    """(gram, f) of (lang, phrase, f), the hash as tasks compute it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,23 +193,31 @@ def phrase_hashes(phrases: DataFrame) -> DataFrame:
             grams = np.zeros(len(first), U)
             for k in np.unique(size).tolist():
                 grams[size == k] = pieces.grams(k)[first[size == k]]
-            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], ["gram"])
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), batch.column(2)], ["gram", "f"])
 
-    return phrases.select("lang", "phrase").mapInArrow(run, "gram long")
+    return phrases.select("lang", "phrase", "f").mapInArrow(run, "gram long, f long")
 
 
-def _lookup(phrases: DataFrame, held: int) -> Iterator[tuple[np.ndarray, tuple[int, int]]]:
-    """Sorted hashes of the phrases, at most about ``held`` at a time, and which share of all they are."""
+def _known(phrases: DataFrame, held: int) -> Iterator[Known]:
+    """The phrases' hashes, at most about ``held`` at a time."""
     hashes = stage(phrase_hashes(phrases), "phrase-hashes")
     shares = max(1, -(-hashes.count() // held))
     for i in range(shares):
-        mine = hashes.filter(F.pmod("gram", F.lit(shares)) == i)
-        yield np.sort(mine.toArrow().column("gram").to_numpy().view(U)), (i, shares)
+        mine = hashes.filter(F.pmod("gram", F.lit(shares)) == i).toArrow()
+        grams, f = mine.column("gram").to_numpy().view(U), mine.column("f").to_numpy()
+        by = np.argsort(grams)
+        yield Known(grams[by], 1 + f[by] // PART, shares == 1)
 
 
 def merged(parts: DataFrame, least: int) -> DataFrame:
-    """Stripes (lang, prefix, next, n) added up element by element; elements below ``least`` join the rest."""
-    whole = parts.groupBy("lang", "prefix", "next").agg(F.sum("n").alias("n"))
+    """Stripes (lang, prefix, next, n) added up element by element; elements below ``least`` join the rest.
+
+    Parts of one stripe meet in a task before their elements are taken apart, so nothing else is dealt out.
+    """
+    met = parts.repartition("lang", "prefix", "part")
+    each = met.select("lang", "prefix", "part", F.explode(F.arrays_zip(F.split("nexts", "\n", -1).alias("next"), F.col("ns").alias("n"))).alias("e"))
+    each = each.select("lang", "prefix", "part", F.nullif(F.col("e.next"), F.lit("")).alias("next"), F.col("e.n").alias("n"))
+    whole = each.groupBy("lang", "prefix", "part", "next").agg(F.sum("n").alias("n"))
     return whole.groupBy("lang", "prefix", F.when(F.col("n") >= least, F.col("next")).alias("next")).agg(F.sum("n").alias("n"))
 
 
@@ -203,8 +237,7 @@ def mine(docs: DataFrame, longest: int = 5, least: int = 100, held: int = HELD_H
     """Merged stripes (lang, prefix, next, n, k) of the frequent prefixes of k = 0 to ``longest`` - 1 words of (text, lang)."""
     levels = [stage(merged(stripes(docs, 0), least), "stripes-0")]
     for k in range(1, longest):
-        parts = [stage(merged(stripes(docs, k, frequent, share, share[1] == 1), least), f"stripes-{k}")
-                 for frequent, share in _lookup(extensions(levels[-1], k - 1), held)]
+        parts = [stage(merged(stripes(docs, k, known), least), f"stripes-{k}") for known in _known(extensions(levels[-1], k - 1), held)]
         level = parts[0]
         for more in parts[1:]:
             level = level.unionByName(more)
