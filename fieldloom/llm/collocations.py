@@ -1,16 +1,16 @@
 """Phrases that are more than the sum of their parts, mined from stripes.
 
-A stripe belongs to a prefix of words and counts, associatively, the words that follow it; the end of a piece counts as
-one more follower. Tasks build stripes of their texts, Spark adds those of equal prefixes element by element. A merged
-stripe then gives three things: its elements are the counts of the prefix's extensions by a word, its total is the
-count of the prefix itself, and its largest element is the highest count of any extension to the right (for those to the
-left, the elements of all stripes are asked by their last words).
-
-Stripes are made length by length. A phrase is no more frequent than the phrases in it, so a prefix of k words is given a
-stripe only if it is frequent, and only followers count that end a frequent phrase of k words; the others are added up to
-one element. Frequent phrases are told in tasks by sorted 64-bit hashes; at most ``held`` hashes are sent at once, and
-with more the texts are read once for each share of the prefixes. The hashes only spare work: what is counted is told
-apart by its words.
+A stripe belongs to a prefix of words and counts, associatively, the words that follow it; the end of a piece and rare
+followers make one more element, the rest. Tasks build stripes of their texts, Spark adds those of equal prefixes element
+by element. A merged stripe then gives three things: its elements are the counts of the prefix's extensions by a
+word, its total is the count of the prefix itself, and its largest element is the highest count of any extension to the
+right (for those to the left, the elements of all stripes are asked by their last words).
+
+Which prefixes and followers can be frequent at all is found first, length by length: phrases are counted by 40
+bits of their hash, which takes tasks about two bytes a phrase, and only phrases whose two parts of one word less have passed are
+counted. Phrases that share a hash count together, so no frequent one is missed; the stripes then tell phrases apart by
+their words, and their counts are exact. The hashes that pass go to tasks as sorted arrays, at most ``held`` of a length at once;
+of a length with more, the texts are read once for each share of the prefixes.
 
 Definitions: a null text is empty, a null language is ``und``; repeated rows count. Within a language, a document's pieces
 end at any of ``. , ; : ! ?`` and at line ends; words are what blanks and tabs leave of them, A-Z lower-cased.
@@ -38,8 +38,10 @@ HELD_HASHES = 4_000_000
 HELD_STRIPES = 400_000
 TOP_SALTS = 64
 PART = 1_000_000  # occurrences of a prefix that share a part of its stripe
-FIRST_PARTS = 1024  # parts of the stripe of the empty prefix
-STRIPE = "lang string, prefix string, part int, nexts string, ns array<long>"
+FIRST_PARTS = 64  # parts of the stripe of the empty prefix
+BUNDLES = 256  # rows, at least, in which a task hands on its stripes
+RANGES = 1024  # ranges, at least, that deal the counted hashes to tasks
+STRIPES = "bundle int, stripes array<struct<lang:string,prefix:string,part:int,nexts:array<string>,ns:array<long>>>"
 
 
 class Pieces:
@@ -60,13 +62,17 @@ class Pieces:
         self.words = pa.StringArray.from_buffers(self.n, pa.py_buffer(ends), pa.py_buffer(words.data[~IS_SPACE[words.data]]))
 
     def grams(self, k: int) -> np.ndarray:
-        """Hash of the k words from each word on, mixed with the language; meaningless across borders."""
+        """64-bit hash of the k words from each word on, mixed with the language; meaningless across borders."""
         total = mixed(self.lang.astype(U) + U(k << 8))
         total = np.broadcast_to(total, self.n).copy()
         for i in range(min(k, self.n)):
             total[:self.n - i] += self.hash[i:] * PLACE[i]
         return mixed(total)
 
+    def short(self, k: int, bits: int) -> np.ndarray:
+        """The leading bits of ``grams``, as signed numbers."""
+        return (self.grams(k) >> U(64 - bits)).view(np.int64)
+
     def phrases(self, at: np.ndarray, k: int) -> pa.Array:
         """The k words from each place on, joined with blanks."""
         if k == 0:
@@ -81,10 +87,138 @@ def _lang_hash(names: list[str]) -> np.ndarray:
     return np.array([of[x] for x in names], np.int64)
 
 
+@dataclass
+class Passed:
+    """Hashes of phrases of one length that may be frequent, sorted, with the counts of their hashes."""
+
+    grams: np.ndarray
+    counts: np.ndarray
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(has passed, count) of each hash."""
+        if not len(self.grams):
+            return np.zeros(len(key), bool), np.zeros(len(key), np.int64)
+        at = np.searchsorted(self.grams, key)
+        at[at == len(self.grams)] = 0
+        return self.grams[at] == key, self.counts[at]
+
+
+@dataclass
+class Share:
+    """The prefixes of one length whose hash modulo ``of`` is ``i``, and their extensions that passed.
+
+    ``prefixes`` is None for the empty prefix. ``all_prefixes`` tells that ``of`` is 1.
+    """
+
+    k: int
+    prefixes: Passed | None
+    longer: Passed | None = None
+    all_prefixes: bool = True
+    bits: int = 40
+
+    def places(self, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, count of the prefix there, whether a word follows)."""
+        at = np.flatnonzero(pieces.left >= self.k)
+        if self.prefixes is None:
+            return at, np.full(len(at), PART * (FIRST_PARTS - 1)), np.ones(len(at), bool)
+        found, count = self.prefixes.find(pieces.short(self.k, self.bits)[at])
+        at, count = at[found], count[found]
+        return at, count, pieces.left[at] > self.k
+
+    def extended(self, pieces: Pieces) -> np.ndarray:
+        """Hashes of the extensions of prefixes here of which the last words have passed, too."""
+        at, _, follows = self.places(pieces)
+        at = at[follows]
+        if self.prefixes is not None and self.all_prefixes:
+            at = at[self.prefixes.find(pieces.short(self.k, self.bits)[at + 1])[0]]
+        return pieces.short(self.k + 1, self.bits)[at]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Pieces, dict[int, str]]]:
+    """Slices of (text, lang) with the names of their languages."""
+    for batch in batches:
+        names = batch.column(1).to_pylist()
+        langs = _lang_hash(names)
+        name_of = dict(zip(langs.tolist(), names))
+        for row, text in text_slices(batch.column(0)):
+            pieces = Pieces(text, langs[row:row + len(text)])
+            if pieces.n:
+                yield pieces, name_of
+
+
+def _partitions(docs: DataFrame) -> int:
+    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return key, np.bincount(back, np.concatenate([p[1] for p in parts])).astype(np.int64)
+
+
+def passed(docs: DataFrame, share: Share, least: int) -> DataFrame:
+    """(gram, n) of the hashes that extensions of the share's prefixes have ``least`` times or more together."""
+    sent = docs.sparkSession.sparkContext.broadcast(share)
+    ranges = min(1 << max(RANGES.bit_length() - 1, (4 * _partitions(docs)).bit_length()), 1 << share.bits)
+    shift = np.int64(share.bits - ranges.bit_length() + 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rows() -> pa.RecordBatch:
+            key, n = _summed(held)
+            borders = np.searchsorted(key, np.arange(ranges + 1, dtype=np.int64) << shift)
+            spans = [(i, a, b) for i, (a, b) in enumerate(zip(borders[:-1], borders[1:])) if a < b]
+            steps = np.diff(key, prepend=0)
+            cuts = []
+            for _, a, b in spans:  # differences, each byte in a row of its own, which compresses well
+                step = steps[a:b].copy()
+                step[0] = key[a]
+                cuts.append(step.view(np.uint8).reshape(-1, 8).T.tobytes())
+            return pa.RecordBatch.from_arrays([
+                pa.array([i for i, _, _ in spans], pa.int32()), pa.array(cuts, pa.binary()),
+                pa.array([np.minimum(n[a:b], 0xFFFFFFFF).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes() for _, a, b in spans], pa.binary())],
+                ["range", "keys", "counts"])
+
+        for pieces, _ in _pieces(batches):
+            held.append(np.unique(sent.value.extended(pieces), return_counts=True))
+            if sum(len(k) for k, _ in held) > 4 * HELD_STRIPES:
+                held = [_summed(held)]
+                if len(held[0][0]) > 2 * HELD_STRIPES:
+                    yield rows()
+                    held = []
+        if held and any(len(k) for k, _ in held):
+            yield rows()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+
+        def out() -> pa.RecordBatch:
+            key, n = _summed(parts)
+            return pa.RecordBatch.from_arrays([pa.array(key[n >= least]), pa.array(n[n >= least])], ["gram", "n"])
+
+        for batch in batches:
+            for i, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if i != now and parts:
+                    yield out()
+                    parts = []
+                now = i
+                step = np.frombuffer(keys, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
+                parts.append((np.cumsum(step), np.frombuffer(counts, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64)))
+                if len(parts) > 64:
+                    parts = [_summed(parts)]
+        if parts:
+            yield out()
+
+    small_batches(docs)
+    dealt = docs.mapInArrow(count, "range int, keys binary, counts binary").repartition("range").sortWithinPartitions("range")
+    return dealt.mapInArrow(add, "gram long, n long")
+
+
 class Held:
     """Stripe elements of a task, added up by hash until there are many, and handed on as parts of stripes."""
 
-    def __init__(self):
+    def __init__(self, bundles: int):
+        self.bundles = bundles
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Table]] = []
 
     def add(self, key: np.ndarray, n: np.ndarray, stripe: np.ndarray, part: np.ndarray, rows: pa.Table) -> bool:
@@ -101,150 +235,119 @@ class Held:
         self.parts = [(key, np.bincount(back, n).astype(np.int64), stripe[at], part[at], rows)]
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        if not self.parts:
+        if self.parts:
+            self._merge()
+        if not self.parts or not len(self.parts[0][0]):
             return
-        self._merge()
         _, n, stripe, part, rows = self.parts.pop()
-        if not len(n):
-            return
-        by = np.lexsort((part, stripe))
-        stripe, part = stripe[by], part[by]
+        bundle = (mixed(stripe + part.astype(U)) % U(self.bundles)).astype(np.int32)
+        by = np.lexsort((part, stripe, bundle))
+        stripe, part, bundle = stripe[by], part[by], bundle[by]
         first = np.flatnonzero(np.r_[True, (stripe[1:] != stripe[:-1]) | (part[1:] != part[:-1])])
-        offsets = pa.array(np.r_[first, len(by)].astype(np.int32))
-        nexts = rows.column("next").take(pa.array(by)).combine_chunks()
-        table = rows.select(["lang", "prefix"]).take(pa.array(by[first])).append_column("part", pa.array(part[first].astype(np.int32)))
-        table = table.append_column("nexts", pc.binary_join(pa.ListArray.from_arrays(offsets, nexts), "\n"))
-        table = table.append_column("ns", pa.ListArray.from_arrays(offsets, pa.array(n[by])))
-        yield from table.combine_chunks().to_batches(max_chunksize=10_000)
-
-
-@dataclass
-class Known:
-    """Frequent phrases of one length: sorted hashes, and of how many parts their stripes are; ``whole`` if these are all."""
-
-    grams: np.ndarray
-    parts: np.ndarray
-    whole: bool = True
-
-    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(is frequent, parts) of each hash."""
-        if not len(self.grams):
-            return np.zeros(len(key), bool), np.ones(len(key), np.int64)
-        at = np.searchsorted(self.grams, key)
-        at[at == len(self.grams)] = 0
-        return self.grams[at] == key, self.parts[at]
-
-
-def stripes(docs: DataFrame, k: int, known: Known | None = None) -> DataFrame:
-    """(lang, prefix, part, nexts, ns) of (text, lang): stripes of prefixes of ``k`` words, one or more from each task.
-
-    A stripe's followers are in one text, a line each, beside their counts. An empty follower is the rest of the stripe: ends
-    of pieces, and followers that end no frequent phrase. With ``known`` only its phrases have stripes. A stripe is in parts
+        column = lambda name, at: rows.column(name).take(pa.array(by[at])).combine_chunks()
+        ends = pa.array(np.r_[first, len(by)].astype(np.int32))
+        stripes = pa.StructArray.from_arrays(
+            [column("lang", first), column("prefix", first), pa.array(part[first].astype(np.int32)),
+             pa.ListArray.from_arrays(ends, column("next", slice(None))), pa.ListArray.from_arrays(ends, pa.array(n[by]))],
+            ["lang", "prefix", "part", "nexts", "ns"])
+        own = bundle[first]
+        new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(own)].astype(np.int32)), stripes)
+        whole = pa.RecordBatch.from_arrays([pa.array(own[new]), lists], ["bundle", "stripes"])
+        for at in range(0, len(whole), 32):
+            yield whole.slice(at, 32)
+
+
+def stripes(docs: DataFrame, shares: list[Share]) -> DataFrame:
+    """Bundles of stripes of (text, lang): those of the shares' prefixes, one or more of a prefix from each task.
+
+    An empty follower is the rest of a stripe: ends of pieces, and words whose extension has not passed. A stripe is in parts
     by the hash of its followers, one for each ``PART`` of the prefix's count, so no part grows with a hot prefix.
     """
-    sent = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
+    sent = docs.sparkSession.sparkContext.broadcast(shares)
+    bundles = max(BUNDLES, 4 * _partitions(docs))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Held()
-        for batch in batches:
-            names = batch.column(1).to_pylist()
-            langs = _lang_hash(names)
-            name_of = dict(zip(langs.tolist(), names))
-            for row, text in text_slices(batch.column(0)):
-                pieces = Pieces(text, langs[row:row + len(text)])
-                if not pieces.n:
+        held = Held(bundles)
+        for pieces, name_of in _pieces(batches):
+            for share in sent.value:
+                k = share.k
+                at, count, follows = share.places(pieces)
+                if not len(at):
                     continue
-                at = np.flatnonzero(pieces.left >= k)
-                grams = pieces.grams(k)
-                parts = np.full(len(at), 1 if k else FIRST_PARTS)
-                if sent is not None:
-                    is_known, parts = sent.value.find(grams[at])
-                    at, parts = at[is_known], parts[is_known]
-                follows = pieces.left[at] > k
-                if sent is not None and sent.value.whole:
-                    follows[follows] = sent.value.find(grams[at[follows] + 1])[0]
+                grams, longer = pieces.grams(k)[at], pieces.grams(k + 1)[at]
+                follows = follows & share.longer.find(pieces.short(k + 1, share.bits)[at])[0]
                 # elements: (prefix, next) where a word follows, else (prefix, rest)
-                key = np.where(follows, pieces.grams(k + 1)[at], mixed(grams[at]))
+                key = np.where(follows, mixed(longer + U(k)), mixed(mixed(grams) + U(k)))
                 key, first, n = np.unique(key, return_index=True, return_counts=True)
                 place, more = at[first], follows[first]
                 ahead = np.minimum(place + k, pieces.n - 1)
-                part = np.where(more, (pieces.hash[ahead] >> U(33)).astype(np.int64), 0) % parts[first]
+                part = np.where(more, (pieces.hash[ahead] >> U(33)).astype(np.int64), 0) % (1 + count[first] // PART)
                 rows = pa.table({
                     "lang": pa.array([name_of[x] for x in pieces.lang[place].tolist()], pa.string()),
                     "prefix": pieces.phrases(place, k), "next": pc.if_else(pa.array(more), pieces.words.take(pa.array(ahead)), "")})
-                if held.add(key, n, grams[place], part, rows):
+                if held.add(key, n, grams[first], part, rows):
                     yield from held.rows()
         yield from held.rows()
 
     small_batches(docs)
-    return docs.mapInArrow(build, STRIPE)
-
+    return docs.mapInArrow(build, STRIPES)
 
-def phrase_hashes(phrases: DataFrame) -> DataFrame:
-    """(gram, f) of (lang, phrase, f), the hash as tasks compute it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            pieces = Pieces(batch.column(1), _lang_hash(batch.column(0).to_pylist()))
-            first = np.flatnonzero(np.r_[True, pieces.left[:-1] == 1])
-            size = pieces.left[first]
-            grams = np.zeros(len(first), U)
-            for k in np.unique(size).tolist():
-                grams[size == k] = pieces.grams(k)[first[size == k]]
-            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), batch.column(2)], ["gram", "f"])
-
-    return phrases.select("lang", "phrase", "f").mapInArrow(run, "gram long, f long")
-
-
-def _known(phrases: DataFrame, held: int) -> Iterator[Known]:
-    """The phrases' hashes, at most about ``held`` at a time."""
-    hashes = stage(phrase_hashes(phrases), "phrase-hashes")
-    shares = max(1, -(-hashes.count() // held))
-    for i in range(shares):
-        mine = hashes.filter(F.pmod("gram", F.lit(shares)) == i).toArrow()
-        grams, f = mine.column("gram").to_numpy().view(U), mine.column("f").to_numpy()
-        by = np.argsort(grams)
-        yield Known(grams[by], 1 + f[by] // PART, shares == 1)
-
-
-def merged(parts: DataFrame, least: int) -> DataFrame:
+def merged(bundles: DataFrame, least: int) -> DataFrame:
     """Stripes (lang, prefix, next, n) added up element by element; elements below ``least`` join the rest.
 
-    Parts of one stripe meet in a task before their elements are taken apart, so nothing else is dealt out.
+    The parts of one stripe meet in a task before their elements are taken apart, so nothing else is dealt out.
     """
-    met = parts.repartition("lang", "prefix", "part")
-    each = met.select("lang", "prefix", "part", F.explode(F.arrays_zip(F.split("nexts", "\n", -1).alias("next"), F.col("ns").alias("n"))).alias("e"))
-    each = each.select("lang", "prefix", "part", F.nullif(F.col("e.next"), F.lit("")).alias("next"), F.col("e.n").alias("n"))
-    whole = each.groupBy("lang", "prefix", "part", "next").agg(F.sum("n").alias("n"))
+    met = bundles.repartition("bundle").select("bundle", F.inline("stripes"))
+    each = met.select("bundle", "lang", "prefix", "part", F.explode(F.arrays_zip(F.col("nexts").alias("next"), F.col("ns").alias("n"))).alias("e"))
+    each = each.select("bundle", "lang", "prefix", "part", F.nullif(F.col("e.next"), F.lit("")).alias("next"), F.col("e.n").alias("n"))
+    whole = each.groupBy("bundle", "lang", "prefix", "part", "next").agg(F.sum("n").alias("n"))
     return whole.groupBy("lang", "prefix", F.when(F.col("n") >= least, F.col("next")).alias("next")).agg(F.sum("n").alias("n"))
 
 
-def extensions(stripe: DataFrame, k: int) -> DataFrame:
-    """(lang, phrase, words, f): the frequent prefixes of k words with one more word."""
-    phrase = F.col("next") if k == 0 else F.concat_ws(" ", "prefix", "next")
-    return stripe.filter("next is not null").select("lang", phrase.alias("phrase"), F.lit(k + 1).alias("words"), F.col("n").alias("f"))
-
-
 def totals(stripe: DataFrame) -> DataFrame:
     """(lang, phrase, f, above): each prefix's count, and its most frequent extension's if that is frequent."""
     return stripe.groupBy("lang", F.col("prefix").alias("phrase")).agg(
         F.sum("n").alias("f"), F.max(F.when(F.col("next").isNotNull(), F.col("n"))).alias("above"))
 
 
-def mine(docs: DataFrame, longest: int = 5, least: int = 100, held: int = HELD_HASHES) -> DataFrame:
-    """Merged stripes (lang, prefix, next, n, k) of the frequent prefixes of k = 0 to ``longest`` - 1 words of (text, lang)."""
-    levels = [stage(merged(stripes(docs, 0), least), "stripes-0")]
-    for k in range(1, longest):
-        parts = [stage(merged(stripes(docs, k, known), least), f"stripes-{k}") for known in _known(extensions(levels[-1], k - 1), held)]
-        level = parts[0]
-        for more in parts[1:]:
-            level = level.unionByName(more)
-        levels.append(level)
-    out = levels[0].withColumn("k", F.lit(0))
-    for k, level in enumerate(levels[1:], 1):
-        out = out.unionByName(level.withColumn("k", F.lit(k)))
+def _taken(rows: DataFrame) -> Passed:
+    table = rows.toArrow()
+    gram, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
+    by = np.argsort(gram)
+    return Passed(gram[by], n[by])
+
+
+def candidates(docs: DataFrame, longest: int, least: int, held: int, bits: int = 40) -> list[list[Share]]:
+    """Shares of the prefixes of each length from 0 to ``longest`` - 1 words."""
+    levels = [[Share(0, None, bits=bits)]]
+    for k in range(longest):
+        kept = []
+        for share in levels[k]:
+            rows = stage(passed(docs, share, least), f"passed-{k + 1}")
+            share.longer = _taken(rows)
+            kept.append(rows)
+        if k + 1 == longest:
+            break
+        rows = kept[0]
+        for more in kept[1:]:
+            rows = rows.unionByName(more)
+        rows = rows.groupBy("gram").agg(F.sum("n").alias("n")) if len(kept) > 1 else rows
+        of = max(1, -(-rows.count() // held))
+        levels.append([Share(k + 1, _taken(rows.filter(F.pmod("gram", F.lit(of)) == i)), None, of == 1, bits) for i in range(of)])
+    return levels
+
+
+def mine(docs: DataFrame, longest: int = 5, least: int = 100, held: int = HELD_HASHES, bits: int = 40) -> DataFrame:
+    """Merged stripes (lang, prefix, next, n) of all prefixes of up to ``longest`` - 1 words of (text, lang) that may be frequent."""
+    levels = candidates(docs, longest, least, held, bits)
+    whole = [level[0] for level in levels if len(level) == 1]
+    out = stage(merged(stripes(docs, whole), least), "stripes")
+    for level in levels:
+        if len(level) > 1:
+            for share in level:
+                out = out.unionByName(stage(merged(stripes(docs, [share]), least), "stripes"))
     return out
 
 
@@ -253,7 +356,7 @@ def _big(c: str | Column) -> Column:
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 5, least: int = 100, top: int = 2000,
-                 cover: int = 100, held: int = HELD_HASHES) -> DataFrame:
+                 cover: int = 100, held: int = HELD_HASHES, bits: int = 40) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first ``top`` phrases.
 
     A phrase of count a, cut in two of counts l and r, scores floor(1000 a n / (l r)), n being the language's words; the
@@ -261,13 +364,12 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     count, is left out.
     """
     docs = docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
-    found = mine(docs, longest, least, held)
-    one = found.filter("k = 0")
-    total = one.groupBy("lang").agg(F.sum("n").alias("n"))
-    phrases = stage(found.filter("k > 0 and next is not null").select(
+    found = mine(docs, longest, least, held, bits)
+    total = found.filter("prefix = ''").groupBy("lang").agg(F.sum("n").alias("n"))
+    phrases = stage(found.filter("prefix != '' and next is not null").select(
         "lang", F.concat_ws(" ", "prefix", "next").alias("phrase"), F.split(F.concat_ws(" ", "prefix", "next"), " ").alias("w"),
         F.col("n").alias("a")), "phrases")
-    prefixes = stage(totals(found.filter("k > 0")), "prefixes")
+    prefixes = stage(totals(found.filter("prefix != ''")), "prefixes")
     # what extends a phrase to the left: the elements of all stripes by their last words
     left = phrases.groupBy("lang", F.array_join(F.slice("w", F.lit(2), F.size("w") - 1), " ").alias("phrase")).agg(F.max("a").alias("before"))
     open_ = phrases.join(prefixes.select("lang", "phrase", "above"), ["lang", "phrase"], "left").join(left, ["lang", "phrase"], "left")

@@ -71,10 +71,13 @@ def test_coverage_below_one(spark):
 
 
 def test_many_elements_leave_a_task_in_parts(spark, monkeypatch):
+    """Stripes of two-word phrases, cut in parts and flushed early, are whole after they are added up."""
     monkeypatch.setattr(collocations, "HELD_STRIPES", 5)
+    monkeypatch.setattr(collocations, "PART", 10)
     docs = [("en", t) for _, t in documents()[:40]]
-    df = spark.createDataFrame(docs, "lang string, text string").coalesce(1)
-    rows = collocations.merged(collocations.stripes(df.select("text", "lang"), 1), 1).collect()
+    df = spark.createDataFrame(docs, "lang string, text string").select("text", "lang").coalesce(1)
+    levels = collocations.candidates(df, 2, 1, 10**6)
+    rows = collocations.merged(collocations.stripes(df, levels[1]), 1).collect()
     want = Counter()
     for _, t in docs:
         for piece in re.split("[.,;:!?\n\x0b\x0c\r]", lower(t)):
@@ -83,6 +86,14 @@ def test_many_elements_leave_a_task_in_parts(spark, monkeypatch):
     assert {(r.prefix, r.next): r.n for r in rows} == want
 
 
+def test_no_frequent_phrase_is_missed_when_hashes_are_short(spark):
+    """Phrases that share a hash only make the stripes larger."""
+    docs = documents()
+    df = spark.createDataFrame(docs, "lang string, text string").coalesce(1)
+    got = collocations.collocations(df, least=3, bits=8).collect()
+    assert {tuple(r) for r in got} == brute(docs, 5, 3, 2000)
+
+
 def test_awkward_documents(spark):
     docs = [(r[2], r[1]) for r in awkward.rows(2000)]
     got = collocations.collocations(awkward.frame(spark, long_words=2000), least=2).collect()
