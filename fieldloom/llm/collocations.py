@@ -297,13 +297,42 @@ def stripes(docs: DataFrame, shares: list[Share]) -> DataFrame:
 def merged(bundles: DataFrame, least: int) -> DataFrame:
     """Stripes (lang, prefix, next, n) added up element by element; elements below ``least`` join the rest.
 
-    The parts of one stripe meet in a task before their elements are taken apart, so nothing else is dealt out.
+    The parts of one stripe meet in a task, which adds them as they are, so no row is made of an element of a task.
     """
-    met = bundles.repartition("bundle").select("bundle", F.inline("stripes"))
-    each = met.select("bundle", "lang", "prefix", "part", F.explode(F.arrays_zip(F.col("nexts").alias("next"), F.col("ns").alias("n"))).alias("e"))
-    each = each.select("bundle", "lang", "prefix", "part", F.nullif(F.col("e.next"), F.lit("")).alias("next"), F.col("e.n").alias("n"))
-    whole = each.groupBy("bundle", "lang", "prefix", "part", "next").agg(F.sum("n").alias("n"))
-    return whole.groupBy("lang", "prefix", F.when(F.col("n") >= least, F.col("next")).alias("next")).agg(F.sum("n").alias("n"))
+    keys = ["lang", "prefix", "next"]
+
+    def summed(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by(keys).aggregate([("n", "sum")]).rename_columns([*keys, "n"])
+
+    def elements(stripes: pa.Array) -> pa.Table:
+        lang, prefix, _, nexts, ns = stripes.flatten()
+        of = pc.list_parent_indices(nexts)
+        return pa.table([lang.take(of), prefix.take(of), nexts.flatten(), ns.flatten()], [*keys, "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+
+        def out() -> list[pa.RecordBatch]:
+            whole = summed(parts)
+            stays = pc.and_(pc.greater_equal(whole["n"], least), pc.not_equal(whole["next"], ""))
+            rest = whole.filter(pc.invert(stays))
+            rest = rest.set_column(2, "next", pa.nulls(len(rest), pa.string()))
+            return pa.concat_tables([whole.filter(stays), summed([rest])]).combine_chunks().to_batches(max_chunksize=50_000)
+
+        for batch in batches:
+            for i in range(len(batch)):
+                if batch.column(0)[i].as_py() != now and parts:
+                    yield from out()
+                    parts = []
+                now = batch.column(0)[i].as_py()
+                parts.append(elements(batch.column(1)[i].values))
+                if sum(map(len, parts)) > 2 * HELD_STRIPES:
+                    parts = [summed(parts)]
+        if parts:
+            yield from out()
+
+    met = bundles.repartition("bundle").sortWithinPartitions("bundle")
+    return met.mapInArrow(add, "lang string, prefix string, next string, n long").groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
 def totals(stripe: DataFrame) -> DataFrame:
