@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -105,9 +105,11 @@ class Passed:
 
 @dataclass
 class Share:
-    """The prefixes of one length whose hash modulo ``of`` is ``i``, and their extensions that passed.
+    """Some prefixes of one length, and extensions of theirs that passed.
 
-    ``prefixes`` is None for the empty prefix. ``all_prefixes`` tells that ``of`` is 1.
+    ``prefixes`` is None for the empty prefix. ``all_prefixes`` tells that these are all of their length. Of ``slices`` of
+    the extensions by their hash, this one is number ``own``: it has the places where a word follows whose extension is in the slice,
+    number 0 also those where none follows, so each place is in one slice.
     """
 
     k: int
@@ -115,6 +117,17 @@ class Share:
     longer: Passed | None = None
     all_prefixes: bool = True
     bits: int = 40
+    own: int = 0
+    slices: int = 1
+
+    def sliced(self, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``places`` of the slice."""
+        at, count, follows = self.places(pieces)
+        if self.slices > 1:
+            slice_of = np.where(follows, pieces.short(self.k + 1, self.bits)[at] % self.slices, 0)
+            mine = slice_of == self.own
+            at, count, follows = at[mine], count[mine], follows[mine]
+        return at, count, follows
 
     def places(self, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, count of the prefix there, whether a word follows)."""
@@ -272,7 +285,7 @@ def stripes(docs: DataFrame, shares: list[Share]) -> DataFrame:
         for pieces, name_of in _pieces(batches):
             for share in sent.value:
                 k = share.k
-                at, count, follows = share.places(pieces)
+                at, count, follows = share.sliced(pieces)
                 if not len(at):
                     continue
                 grams, longer = pieces.grams(k)[at], pieces.grams(k + 1)[at]
@@ -348,35 +361,42 @@ def _taken(rows: DataFrame) -> Passed:
     return Passed(gram[by], n[by])
 
 
-def candidates(docs: DataFrame, longest: int, least: int, held: int, bits: int = 40) -> list[list[Share]]:
-    """Shares of the prefixes of each length from 0 to ``longest`` - 1 words."""
-    levels = [[Share(0, None, bits=bits)]]
+def candidates(docs: DataFrame, longest: int, least: int, held: int, bits: int = 40) -> list[tuple[Share, DataFrame]]:
+    """Shares of the prefixes of each length from 0 to ``longest`` - 1 words, and the stored (gram, n) of their extensions."""
+    out, level = [], [Share(0, None, bits=bits)]
     for k in range(longest):
-        kept = []
-        for share in levels[k]:
-            rows = stage(passed(docs, share, least), f"passed-{k + 1}")
-            share.longer = _taken(rows)
-            kept.append(rows)
-        if k + 1 == longest:
-            break
+        kept = [stage(passed(docs, share, least), f"passed-{k + 1}") for share in level]
+        out += zip(level, kept)
         rows = kept[0]
         for more in kept[1:]:
             rows = rows.unionByName(more)
         rows = rows.groupBy("gram").agg(F.sum("n").alias("n")) if len(kept) > 1 else rows
         of = max(1, -(-rows.count() // held))
-        levels.append([Share(k + 1, _taken(rows.filter(F.pmod("gram", F.lit(of)) == i)), None, of == 1, bits) for i in range(of)])
-    return levels
+        if k + 1 < longest:
+            level = [Share(k + 1, _taken(rows.filter(F.pmod("gram", F.lit(of)) == i)), None, of == 1, bits) for i in range(of)]
+    return out
+
+
+def slices(found: list[tuple[Share, DataFrame]], held: int) -> Iterator[list[Share]]:
+    """Shares with their extensions, at most about ``held`` of a share at a time, in lists for one reading of the texts each."""
+    together = []
+    for share, rows in found:
+        of = max(1, -(-rows.count() // held))
+        parts = (replace(share, longer=_taken(rows.filter(F.pmod("gram", F.lit(of)) == i)), own=i, slices=of) for i in range(of))
+        if of == 1 and share.all_prefixes:
+            together += parts
+        else:
+            yield from ([part] for part in parts)
+    if together:
+        yield together
 
 
 def mine(docs: DataFrame, longest: int = 5, least: int = 100, held: int = HELD_HASHES, bits: int = 40) -> DataFrame:
     """Merged stripes (lang, prefix, next, n) of all prefixes of up to ``longest`` - 1 words of (text, lang) that may be frequent."""
-    levels = candidates(docs, longest, least, held, bits)
-    whole = [level[0] for level in levels if len(level) == 1]
-    out = stage(merged(stripes(docs, whole), least), "stripes")
-    for level in levels:
-        if len(level) > 1:
-            for share in level:
-                out = out.unionByName(stage(merged(stripes(docs, [share]), least), "stripes"))
+    out = None
+    for shares in slices(candidates(docs, longest, least, held, bits), held):
+        part = stage(merged(stripes(docs, shares), least), "stripes")
+        out = part if out is None else out.unionByName(part)
     return out
 
 
