@@ -932,19 +932,52 @@ def _(spark, sf):
 def _(spark, sf):
     """Predictions of all reloaded models against those made before they were stored."""
     made, samples = _trained(spark, sf).predictions, src.samples(spark, sf)
-    constant = hurdle.one_class(samples.folded, 5)
-    parts = []
-    for fold in range(4):
-        test = hurdle.vector_frame(samples.test.filter(F.col("fold") == fold)).select("region_id", "features")
-        models = hurdle.load_fold(_folder(spark, sf, "models"), fold, constant)
-        parts.append(hurdle.predict_all(models, test, 5).select(F.lit(fold).alias("fold"), "*"))
-    again = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    again = hurdle.predict_nodes(hurdle.load_nodes(spark, _folder(spark, sf, "models")), samples.test, 5)
     again = again.withColumnsRenamed({"pred_a": "a", "prob_b": "b"})
     both = made.join(again, ["fold", "region_id", "horizon"])
     return both.groupBy("fold", "horizon").agg(
         F.count(F.lit(1)).alias("regions"), F.count(F.when((F.col("a") != F.col("pred_a")) | (F.col("b") != F.col("prob_b")), 1)).alias("different"))
 
 
+MODELS = "(select cast(range as bigint) as fold from range(0, 4)), (select unnest(['severity', 'occurrence']) as part), (select cast(range as bigint) as horizon from range(1, 6))"
+
+
+@register("s7_model_nodes", f"select concat(part, '_fold', fold, '_h', horizon) as model, true as leaves_fit, cast(0 as bigint) as broken, true as one_start, true as splits_known from {MODELS}")
+def _(spark, sf):
+    """Trees of all stored models: every inner node has two children with its rows, one starting leaf, known features."""
+    _trained(spark, sf)
+    nodes = hurdle.named_nodes(hurdle.load_nodes(spark, _folder(spark, sf, "models")))
+    more = nodes.groupBy("model").agg(
+        (F.count(F.when(F.col("tree") == 0, 1)) == 1).alias("one_start"),
+        F.bool_and(F.col("feature").isNull() | F.col("feature").between(0, 421) & F.col("threshold").isNotNull()).alias("splits_known"))
+    return hurdle.tree_checks(nodes).join(more, "model").select(
+        "model", (F.col("nodes") == 2 * F.col("leaves") - F.col("trees")).alias("leaves_fit"), "broken", "one_start", "splits_known")
+
+
+MEDIANS = " union all ".join(
+    f"select fold, {h} as horizon, median(y{h}) as m, avg((y{h} > 0)::double) as s from t_folds where split = 'train' group by fold" for h in range(1, 6))
+
+
+@register("m4_skill", "select fold, horizon, regions, " + q("zero_error") + ", " + q("median_error") + ", true as no_worse_than_start from (select fold, horizon, count(*) as regions, avg(abs(y)) as zero_error, avg(abs(y - m)) as median_error from "
+          f"({VAL_ROWS}) v join ({MEDIANS}) t using (fold, horizon) group by fold, horizon)")
+def _(spark, sf):
+    """Errors of two constant forecasts by fold and horizon, and that the severity model is no worse than the constant it starts from.
+
+    Fewer rows than the bound on validation rows, so these are the rows on which the rounds were chosen.
+    """
+    folded = src.samples(spark, sf).folded
+    long_form = encoding.horizons(folded.filter("split = 'train'").select("fold", "region_id", "start", "y"))
+    constant = long_form.groupBy("fold", "horizon").agg(F.median("y_true").alias("m"))
+    held = _trained(spark, sf).out_of_fold
+    start = hurdle.load_nodes(spark, _folder(spark, sf, "models")).filter("tree = 0 and part = 'severity'").select(
+        "fold", "horizon", F.col("prediction").alias("start"))
+    errors = held.join(constant, ["fold", "horizon"]).join(start, ["fold", "horizon"]).groupBy("fold", "horizon").agg(
+        F.count(F.lit(1)).alias("regions"), F.avg(F.abs("y_true")).alias("zero"), F.avg(F.abs(F.col("y_true") - F.col("m"))).alias("middle"),
+        F.avg(F.abs(F.col("y_true") - F.col("start"))).alias("start"), F.avg(F.abs(F.col("y_true") - F.col("pred_a"))).alias("severity"))
+    return errors.select("fold", "horizon", "regions", F.col("zero").alias("zero_error"), F.col("middle").alias("median_error"),
+                         (F.col("severity") <= F.col("start") + 1e-9).alias("no_worse_than_start"))
+
+
 @register("m5_gate_out_of_fold", "select region_id, fold, horizon, " + q("pred") + " from gated")
 def _(spark, sf):
     return _gated(spark, sf).select("region_id", "fold", "horizon", "pred")

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from threading import Lock
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import ENCODED, HORIZON, SEED
 from ..session import shared_folder, stage
+from . import boosting
 from .ranks import auc
 from .splits import KEY
 
@@ -43,7 +46,9 @@ class TreeSettings:
 
 @dataclass
 class HurdleSettings:
-    """``most_rows`` bounds the labelled windows that a fold learns from, drawn by a hash of their keys; None takes all."""
+    """``most_rows`` bounds the labelled windows that a fold learns from, and those on which it chooses its rounds, drawn by
+    a hash of their keys. Such bounded fits run side by side, each in a task (``boosting``); None takes all windows and
+    fits one distributed model after another. Predictions are made for all rows either way."""
 
     severity: TreeSettings = field(default_factory=TreeSettings)
     occurrence: TreeSettings = field(default_factory=lambda: TreeSettings(step=0.02, min_rows=500))
@@ -56,9 +61,12 @@ def vector_frame(samples: DataFrame) -> DataFrame:
     An encoding is the same in all weeks of a window, so it enters once: repeated columns give a
     tree no further split.
     """
+    return samples.withColumn("features", array_to_vector(flat_window(samples))).drop("x")
+
+
+def flat_window(samples: DataFrame) -> Column:
     pair = F.array(*[F.col(c).cast("float") for c in ENCODED])
-    flat = F.concat(F.col("x"), pair) if set(ENCODED) <= set(samples.columns) else F.col("x")
-    return samples.withColumn("features", array_to_vector(flat)).drop("x")
+    return F.concat(F.col("x"), pair) if set(ENCODED) <= set(samples.columns) else F.col("x")
 
 
 def _params(s: TreeSettings, rounds: int) -> dict:
@@ -226,6 +234,8 @@ def train_hurdle(
     """
     settings = settings or HurdleSettings()
     spark = samples.sparkSession
+    if settings.most_rows is not None:
+        return _train_bounded(samples, test, settings, horizon, model_folder)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     constant = one_class(samples, horizon)
@@ -267,6 +277,87 @@ def train_hurdle(
     return _union(list(out)), _union(list(ahead))
 
 
+def _drawn(samples: DataFrame, fold: int, most: int) -> DataFrame:
+    """At most ``most`` training and as many validation rows of a fold: fold, key, start, is_val, y and the flat window."""
+    from .explore import seeded_sample
+    mine = samples.filter(F.col("fold") == fold)
+    parts = [seeded_sample(mine.filter(F.col("split") == split), most, [KEY, "start"]) for split in ("train", "val")]
+    both = parts[0].unionByName(parts[1])
+    return both.select("fold", KEY, "start", (F.col("split") == "val").alias("is_val"), "y", flat_window(both).alias("x"))
+
+
+MODEL = ["fold", "part", "horizon"]
+
+
+def _train_bounded(
+    samples: DataFrame, test: DataFrame, settings: HurdleSettings, horizon: int, model_folder: str | None,
+) -> tuple[DataFrame, DataFrame]:
+    """All folds, horizons and parts as tasks of one job, over windows that are coded once per fold."""
+    folds = [r[0] for r in samples.select("fold").distinct().orderBy("fold").collect()]
+    with ThreadPoolExecutor(len(folds)) as pool:
+        drawn = stage(_union(list(pool.map(lambda fold: _drawn(samples, fold, settings.most_rows), folds))), "drawn-windows")
+    bins = max(settings.severity.bins, settings.occurrence.bins)
+    order = [KEY, "start"]
+    cuts = boosting.feature_cuts(drawn.filter(~F.col("is_val")), "fold", order, bins)
+    codes = stage(boosting.coded(drawn, "fold", cuts), "coded-windows")
+    labels = []
+    for h in range(horizon):
+        y = F.col("y")[h].cast("double")
+        labels.append(F.struct(F.lit("severity").alias("part"), F.lit(h + 1).alias("horizon"), y.alias("label")))
+        labels.append(F.struct(F.lit("occurrence").alias("part"), F.lit(h + 1).alias("horizon"), (y > 0).cast("double").alias("label")))
+    tasks = codes.select("fold", *order, "is_val", "codes", F.inline(F.array(*labels))).withColumnRenamed("label", "y")
+
+    def of(key: dict):
+        return ("absolute", settings.severity) if key["part"] == "severity" else ("logistic", settings.occurrence)
+
+    nodes = boosting.fit_trees(tasks, MODEL, order, cuts, "fold", of, len(folds) * horizon * 2)
+    model_folder = model_folder or f"{shared_folder(samples.sparkSession)}/fieldloom/models-{uuid.uuid4().hex}"
+    nodes.write.mode("overwrite").partitionBy(*MODEL).parquet(model_folder)
+    nodes = load_nodes(samples.sparkSession, model_folder)
+    held = predict_nodes(nodes, samples.filter(F.col("split") == "val"), horizon)
+    return stage(held, "out-of-fold"), stage(predict_nodes(nodes, test, horizon), "predictions")
+
+
+def load_nodes(spark, folder: str) -> DataFrame:
+    """Stored bounded models, one folder for each fold, part and horizon, as one table of nodes."""
+    return spark.read.schema(f"{boosting.NODE}, fold int, part string, horizon int").parquet(folder)
+
+
+def named_nodes(nodes: DataFrame) -> DataFrame:
+    """The same with one column ``model`` in place of its parts, as ``tree_nodes`` gives them."""
+    return nodes.select(F.concat_ws("_", "part", F.concat(F.lit("fold"), "fold"), F.concat(F.lit("h"), "horizon")).alias("model"),
+                        *boosting.NODE_COLUMNS)
+
+
+def predict_nodes(nodes: DataFrame, frame: DataFrame, horizon: int) -> DataFrame:
+    """Long predictions of all rows of ``frame`` by the models of their fold, one pass a fold; with y_true where it has ``y``."""
+    has_y = "y" in frame.columns
+    kind = f"fold int, {KEY} {frame.schema[KEY].dataType.simpleString()}, horizon int, pred_a double, prob_b double"
+    rows = frame.select("fold", KEY, flat_window(frame).alias("x"), *(["y"] if has_y else []))
+    out = []
+    for fold in [r[0] for r in nodes.select("fold").distinct().orderBy("fold").collect()]:
+        models = boosting.forests(nodes.filter(F.col("fold") == fold), ["part", "horizon"])
+        out.append(rows.filter(F.col("fold") == fold).mapInArrow(
+            _scorer(models, horizon, has_y), kind + (", y_true double" if has_y else "")))
+    return _union(out)
+
+
+def _scorer(models: dict, horizon: int, has_y: bool) -> Callable:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, n = boosting.matrix(batch.column("x")), batch.num_rows
+            y = boosting.matrix(batch.column("y")) if has_y else None
+            for h in range(horizon):
+                a, b = models["severity", h + 1].raw(x), models["occurrence", h + 1].share(x)
+                columns = [batch.column(0), batch.column(1), pa.array(np.full(n, h + 1, dtype=np.int32)), pa.array(a), pa.array(b)]
+                names = ["fold", KEY, "horizon", "pred_a", "prob_b"]
+                if has_y:
+                    columns.append(pa.array(y[:, h]) if n else pa.array([], pa.float64()))
+                    names.append("y_true")
+                yield pa.RecordBatch.from_arrays(columns, names)
+    return score
+
+
 def load_fold(folder: str, fold: int, constant: dict, horizon: int = HORIZON) -> dict:
     """The stored models of a fold; ``constant`` as of ``one_class``."""
     out = {}
@@ -331,10 +422,13 @@ def split_counts(nodes: DataFrame, cols: list[str]) -> DataFrame:
 def adversarial(
     train: DataFrame, test: DataFrame, cols: list[str], settings: TreeSettings | None = None,
     folds: int = 3, sample: int | None = None, seed: int = SEED, model_folder: str | None = None,
+    most_rows: int | None = 50_000,
 ) -> tuple[DataFrame, DataFrame]:
     """Can a classifier tell the cohorts apart? Out-of-fold scores and the nodes of the models.
 
     Folds are stratified by cohort; each fold's rows choose the rounds of its model. The folds are fitted side by side.
+    ``most_rows`` bounds the labelled rows of a fold and cohort that models learn from and choose their rounds on; all rows
+    are scored. None learns from all rows, by distributed fits.
     """
     from .explore import hash_order, seeded_sample, stratified_folds
     settings = settings or TreeSettings(rounds=500, depth=4, min_rows=20, features="all", subsample=1.0)
@@ -350,6 +444,8 @@ def adversarial(
     both = stage(both, "adversarial")
     rows = both.count()
     both = stratified_folds(both, hash_order(ids, seed), folds)
+    if most_rows is not None:
+        return _adversarial_bounded(stage(both, "adversarial-folds"), ids, cols, settings, folds, most_rows, seed)
     both = _put_together(both.select(*ids, F.col("label").cast("double").alias("label"), "fold", array_to_vector(
         F.array(*[F.col(c).cast("double") for c in cols])).alias("features")), rows).persist()
 
@@ -369,6 +465,35 @@ def adversarial(
     return _union(list(scored)), tree_nodes(spark, list(paths))
 
 
+def _adversarial_bounded(both: DataFrame, ids: list[str], cols: list[str], settings: TreeSettings, folds: int, most: int, seed: int):
+    from .explore import seeded_sample
+    numbers = F.array(*[F.col(c).cast("double") for c in cols]).alias("x")
+    groups = [(f, label) for f in range(folds) for label in (0, 1)]
+    with ThreadPoolExecutor(len(groups)) as pool:
+        drawn = _union(list(pool.map(
+            lambda g: seeded_sample(both.filter((F.col("fold") == g[0]) & (F.col("label") == g[1])), most, ids, seed), groups)))
+    drawn = stage(drawn.select(*ids, F.lit(0).alias("all"), "fold", F.col("label").cast("double").alias("y"), numbers), "adversarial-drawn")
+    cuts = boosting.feature_cuts(drawn, "all", ids, settings.bins)
+    codes = boosting.coded(drawn, "all", cuts)
+    tasks = codes.select(*ids, "all", "y", "codes", "fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("f")).select(
+        *ids, "all", "y", "codes", (F.col("fold") == F.col("f")).alias("is_val"), F.concat(F.lit("fold"), "f").alias("model"))
+    nodes = stage(boosting.fit_trees(tasks, ["all", "model"], ids, cuts, "all", lambda key: ("logistic", settings), folds).drop("all"), "adversarial-nodes")
+    models = boosting.forests(nodes, ["model"])
+    keep = [*ids, "fold", "label"]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, fold = boosting.matrix(batch.column("x")), batch.column("fold").to_numpy()
+            out = np.zeros(batch.num_rows)
+            for f in np.unique(fold):
+                out[fold == f] = models[f"fold{f}"].share(x[fold == f])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], [*keep, "score"])
+
+    rows = both.select(*ids, F.col("fold").cast("int").alias("fold"), F.col("label").cast("double").alias("label"), numbers)
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
+    return stage(rows.mapInArrow(score, schema), "adversarial-scores"), nodes
+
+
 def adversarial_summary(scored: DataFrame) -> DataFrame:
     """AUC and what it says about the shift."""
     band = F.when(F.col("auc") < 0.55, "low").when(F.col("auc") < 0.65, "moderate").otherwise("high")
