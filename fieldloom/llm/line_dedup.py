@@ -1,9 +1,11 @@
 """Dropping lines found in many documents, with line counts kept as levelled sorted runs.
 
-``LineRuns`` is a log-structured store of (line hash, number of documents): a batch becomes a run at
-level 0, sorted by hash; ``fanout`` runs of a level are merged into one run of the next. Keys that have
-reached the document limit go to a separate frequent run; a later batch anti-joins that run and adds only
-its other keys, so keys of very common lines are stored once. All of it is DataFrame code.
+``LineRuns`` is a log-structured store of (line hash, number of documents): a batch becomes a run at level 0, sorted by
+hash; ``fanout`` runs of a level are merged into one run of the next and then removed. A run keeps the keys that have
+reached the document limit apart from the others. Every batch anti-joins the frequent keys found so far and adds only its
+other keys, so a very common line is stored once and not counted again; frequent parts are compacted in the same way. The
+number of batches grows with the lines, and there are never fewer than ``fanout`` squared, so that two levels are reached.
+All of it is DataFrame code.
 
 Definitions: a null or empty text is one empty line. A key is the line without white space at its ends,
 A-Z lower-cased; keys shorter than ``min_chars`` are never dropped. Rows equal in id and text are one
@@ -37,7 +39,10 @@ def key_hash(key: Column) -> Column:
 
 
 class LineRuns:
-    """Sorted runs of line counts by level, compacted when a level holds ``fanout`` runs."""
+    """Sorted runs of line counts by level, compacted when a level holds ``fanout`` runs.
+
+    ``anti_joins`` counts batches that met frequent keys, ``merges`` the compactions of each level.
+    """
 
     def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 4):
         if fanout < 2:
@@ -46,53 +51,72 @@ class LineRuns:
         self.folder = f"{shared_folder(spark)}/fieldloom/line-runs-{uuid.uuid4().hex}"
         self.levels: list[list[str]] = [[]]
         self.frequent_runs: list[str] = []
+        self.anti_joins, self.merges = 0, [0]
         self._written = 0
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
+    def _read(self, paths: list[str], frequent: bool) -> DataFrame:
+        if not paths:
+            return self.spark.createDataFrame([], RUN)
+        runs = self.spark.read.schema(f"{RUN}, run int, frequent boolean").option("basePath", f"{self.folder}/runs").parquet(*paths)
+        return runs.filter(F.col("frequent") == frequent).select("h1", "h2", "n")
 
-    def _write(self, rows: DataFrame, kind: str) -> str:
+    def _write(self, rows: DataFrame) -> str:
+        """One run, its frequent keys in a part of their own."""
         self._written += 1
-        path = f"{self.folder}/{kind}-{self._written}"
-        rows.select("h1", "h2", "n").sortWithinPartitions("h1", "h2").write.parquet(path)
+        path = f"{self.folder}/runs/run={self._written}"
+        rows.select("h1", "h2", "n", (F.col("n") >= self.min_docs).alias("frequent")).sortWithinPartitions(
+            "frequent", "h1", "h2").write.partitionBy("frequent").parquet(path)
         return path
 
+    def _remove(self, paths: list[str]) -> None:
+        for path in paths:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
     def frequent(self) -> DataFrame:
-        return self._read(self.frequent_runs)
+        return self._read(self.frequent_runs, True)
+
+    def _others(self, counts: DataFrame) -> DataFrame:
+        """Keys not yet found frequent."""
+        return counts.join(self.frequent(), ["h1", "h2"], "left_anti") if self.frequent_runs else counts
 
     def add(self, counts: DataFrame) -> None:
         """Add a batch of (h1, h2, n), one row per key of the batch."""
-        new = counts.join(self.frequent(), ["h1", "h2"], "left_anti") if self.frequent_runs else counts
-        self.levels[0].append(self._write(new, "run-0"))
+        self.anti_joins += bool(self.frequent_runs)
+        self.levels[0].append(self._keep(self._others(counts)))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            merged = self._merged(self.levels[level])
-            self.levels[level] = []
-            self.levels[level + 1].append(self._split(merged, f"run-{level + 1}"))
+                self.merges.append(0)
+            merged, self.levels[level] = self.levels[level], []
+            self.levels[level + 1].append(self._merge(merged))
+            self.merges[level] += 1
             level += 1
 
-    def _merged(self, paths: list[str]) -> DataFrame:
-        return self._read(paths).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+    def _keep(self, rows: DataFrame) -> str:
+        path = self._write(rows)
+        self.frequent_runs.append(path)
+        if len(self.frequent_runs) > self.fanout:
+            old = self.frequent_runs
+            self.frequent_runs = [self._write(self._read(old, True))]
+            self._remove([f"{p}/frequent=true" for p in old])
+        return path
 
-    def _split(self, merged: DataFrame, kind: str) -> str:
-        """Store the keys that reached the limit as a frequent run, the others as a run.
-
-        Keys already found frequent are left out: older runs may still hold some of their lines.
-        """
-        if self.frequent_runs:
-            merged = merged.join(self.frequent(), ["h1", "h2"], "left_anti")
-        whole = self._write(merged, kind + "-all")
-        rows = self._read([whole])
-        self.frequent_runs.append(self._write(rows.filter(F.col("n") >= self.min_docs), "frequent"))
-        return self._write(rows.filter(F.col("n") < self.min_docs), kind)
+    def _merge(self, paths: list[str]) -> str:
+        """One run of several. Keys found frequent since are left out: older runs may still hold some of their lines."""
+        run = self._keep(self._others(self._read(paths, False).groupBy("h1", "h2").agg(F.sum("n").alias("n"))))
+        self._remove([f"{p}/frequent=false" for p in paths])
+        return run
 
     def close(self) -> DataFrame:
-        """Merge all runs and return the frequent keys (h1, h2, n), each once; n counts up to when it got frequent."""
+        """Merge all runs and return the frequent keys (h1, h2, n), each once; n counts up to when it got frequent.
+
+        The result reads stored runs: take it before adding more.
+        """
         left = [p for level in self.levels for p in level]
-        if len(left) > 1 or self.levels[0]:
-            self.levels = [[], [self._split(self._merged(left), "run-final")]]
+        if len(left) > 1:
+            self.levels = [[], [self._merge(left)]]
         return self.frequent()
 
 
@@ -108,19 +132,29 @@ def distinct_line_hashes(docs: DataFrame, doc_id: str, text: str, min_chars: int
     return keys.select("_id", "_text_hash", F.inline(F.array(key_hash(F.col("_key"))))).distinct()
 
 
+#: Line hashes of a batch; a table of more than fanout squared such batches has more batches.
+BATCH_LINES = 500_000_000
+#: Files that a batch is stored in at most.
+BATCH_FILES = 64
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10,
-                min_chars: int = 1, batches: int = 4, fanout: int = 4) -> DataFrame:
+                min_chars: int = 1, batches: int | None = None, fanout: int = 4) -> DataFrame:
     """``docs`` with two more columns: kept_text without the frequent lines, n_lines and n_dropped.
 
-    Lines of a document that has none of the frequent keys are left as they are, a null text is null.
+    Lines of a document that has none of the frequent keys are left as they are, a null text is null. ``batches`` is by
+    default one for BATCH_LINES different lines of documents, fanout squared at least; the result does not depend on it.
     """
     spark = docs.sparkSession
     hashes = stage(distinct_line_hashes(docs, doc_id, text, min_chars), "line-hashes")
     runs = LineRuns(spark, min_docs, fanout)
+    if batches is None:
+        batches = max(fanout * fanout, -(-hashes.count() // BATCH_LINES))
     counts = hashes.groupBy(F.pmod(F.xxhash64("_id", "_text_hash"), F.lit(batches)).cast("int").alias("_batch"), "h1", "h2").agg(
         F.count(F.lit(1)).alias("n"))
     path = f"{runs.folder}/batches"
-    counts.write.partitionBy("_batch").parquet(path)
+    # without this, every task would write a file for every batch
+    counts.repartition(F.col("_batch"), F.pmod("h1", F.lit(BATCH_FILES))).write.partitionBy("_batch").parquet(path)
     stored = spark.read.schema(RUN + ", _batch int").parquet(path)
     for batch in range(batches):
         runs.add(stored.filter(F.col("_batch") == batch).select("h1", "h2", "n"))

@@ -45,6 +45,33 @@ def test_lines_of_awkward_documents(spark):
     assert line_dedup.dedup_lines(awkward.empty(spark)).collect() == []
 
 
+def test_defaults_anti_join_batches_and_reach_two_levels(spark, monkeypatch):
+    made = []
+
+    class Watched(line_dedup.LineRuns):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self)
+
+    monkeypatch.setattr(line_dedup, "LineRuns", Watched)
+    docs = [(i, "\n".join(["in all", f"in some {i % 40}", f"own {i}"])) for i in range(400)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got.collect()), key=str) == brute_lines(docs, 10)
+    runs, = made
+    assert runs.anti_joins >= 12 and runs.merges[:2] == [4, 1] and len(runs.levels) >= 2
+    keys = runs.frequent().collect()
+    assert len(keys) == len({(r.h1, r.h2) for r in keys}) == 41  # each once, though batches go on having them
+
+
+def test_batches_grow_with_the_lines(spark, monkeypatch):
+    added = []
+    monkeypatch.setattr(line_dedup, "BATCH_LINES", 10)
+    monkeypatch.setattr(line_dedup.LineRuns, "add", lambda self, counts, add=line_dedup.LineRuns.add: (added.append(1), add(self, counts)))
+    docs = [(i, f"in all\nown {i}") for i in range(60)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), fanout=2)
+    assert {r.kept_text for r in got.collect()} == {f"own {i}" for i in range(60)} and len(added) == 12
+
+
 # --- secrets ------------------------------------------------------------------------------------
 def brute_base(text):
     text, out = text or "", []
