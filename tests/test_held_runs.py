@@ -2,11 +2,12 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.checks import catalog, inputs as src
 from fieldloom.constants import MEASURES
-from fieldloom.operators import impute
+from fieldloom.operators import clean, impute
 
 
 def _rows(df):
@@ -50,6 +51,18 @@ def test_rounding_needs_no_text(spark):
     values = [0.12345, -0.12345, 1e-9, 123456.78905, 2.5e11, 1e300, -3.0, math.inf, None]
     df = spark.createDataFrame([(v,) for v in values], "v double").select(
         catalog.rounded(F.col("v") + 2.3e-9, 4).alias("ours"), F.round(F.col("v") + 2.3e-9, 4).alias("usual"))
-    assert all(r["ours"] == r["usual"] for r in df.collect())
+    got = df.collect()
+    assert [r["ours"] is None for r in got] == [v is None for v in values]
+    assert all(r["ours"] == pytest.approx(r["usual"], rel=1e-15, abs=0) for r in got if r["usual"] is not None)
     plan = catalog.CATALOG["f1_zclip"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "round(" not in plan
+
+
+def test_clipped_runs_are_clipped_days(spark, sf_dir):
+    for variant in ("v51", "v54"):
+        assert _rows(src.clean_train(spark, sf_dir, variant)) == _rows(clean.clip_outliers(src.filled_train(spark, sf_dir, variant))), variant
+
+
+def test_bounds_are_worked_out_on_runs(spark, sf_dir):
+    plan = src.clean_train(spark, sf_dir, "v54")._jdf.queryExecution().optimizedPlan().toString()
+    assert "tmp_sd" not in plan.split("Generate ")[0] and "tmp_sd" in plan
